@@ -173,9 +173,11 @@ class Model:
         units: dict[str, dict[int, tuple[int, str]]] = {}
         for state, found in sequences(text).items():
             e, u = [low] * n, {}
+            starts, ends = {x[0]: x[2] for x in found}, {x[1]: x[2] for x in found}
             for s, t, d in found:
                 k = at[s]
-                e[k] = self.log_p(before[k], d, after[at[t - 1]])
+                a = _cls(ends[s]) if s in ends else before[k]
+                e[k] = self.log_p(a, d, _cls(starts[t]) if t in starts else after[at[t - 1]])
                 for p in range(s + 1, t):
                     e[at[p]] = 0.0
                 u[k] = (t, d)
