@@ -64,7 +64,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of ``df`` in bytes."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def broadcast_if_small(df: DataFrame, rows: int | None = None, row_bytes: int = 64, limit: int = BROADCAST_BYTES) -> DataFrame:
