@@ -153,7 +153,7 @@ def with_places(records: DataFrame) -> DataFrame:
 def _close(lat: Column, lon: Column, mlat: Column, mlon: Column) -> Column:
     """Evidence of a point for an entity's centre: near, far, or nothing."""
     d = geo.haversine_m(lat, lon, mlat, mlon)
-    return F.coalesce(F.when(d <= 4000, 2.5).when(d <= 12_000, 1.0).when(d >= 45_000, -2.5), F.lit(0.0))
+    return F.coalesce(F.when(d <= 3000, 4.0).when(d <= 12_000, 1.0).when(d >= 45_000, -2.5), F.lit(0.0))
 
 
 def resolve_records(parts: list[DataFrame]) -> DataFrame:
@@ -194,6 +194,10 @@ def resolve_records(parts: list[DataFrame]) -> DataFrame:
         F.max((F.col("src") == "reviewed").cast("int")).alias("sure"),
     )
     options = centre.groupBy("state", "main").agg(F.collect_list(F.struct("county", "n", "mdist", "mlat", "mlon", "sure")).alias("opts"))  # at most the counties of a state
+    # one name at one spot in two counties is one working under a mistaken county
+    near = lambda o: F.filter("opts", lambda q: (q["county"] == o["county"]) | F.coalesce(geo.haversine_m(q["mlat"], q["mlon"], o["mlat"], o["mlon"]) <= 3000, F.lit(False)))
+    best = lambda o: F.array_max(F.transform(near(o), lambda q: F.struct(q["sure"], q["n"], q["county"])))["county"]
+    options = options.withColumn("opts", F.transform("opts", lambda o: o.withField("to", best(o))))
     rec = rec.join(options, ["state", "main"], "left")
 
     def score(o: Column) -> Column:
@@ -205,7 +209,7 @@ def resolve_records(parts: list[DataFrame]) -> DataFrame:
         district = F.when(F.col("district").isNull() | o["mdist"].isNull() | alone, 0.0).when(o["mdist"] == F.col("district"), 3.0).otherwise(-1.5)
         return weight + county + district + F.when(alone, 0.0).otherwise(_close(F.col("lat"), F.col("lon"), o["mlat"], o["mlon"]))
 
-    ranked = F.array_max(F.transform("opts", lambda o: F.struct(score(o).alias("s"), o["county"].alias("county"))))
+    ranked = F.array_max(F.transform("opts", lambda o: F.struct(score(o).alias("s"), o["to"].alias("county"))))
     rec = rec.withColumn("place", F.coalesce(ranked["county"], F.col("county"))).drop("opts")
     # a record placed now may go by a further name of its county
     late = alias.withColumnsRenamed({"county": "place"})

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import entities
+from ..functions import geo
+from ..session import materialize
+from . import entities, matching
 
 # Postal codes of the states by full name.
 STATES = dict(
@@ -51,5 +53,46 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(reviewed, "entity").select("row_id", "mine_id")
 
 
-QUERIES = {"p3_found": p3_found}
+#: Log-odds of a pair of equal names in one state, and what counties and points add.
+PRIOR, SAME_COUNTY, OTHER_COUNTY, NEAR, FAR = -0.5, 4.0, -3.0, 6.0, -2.5
+
+
+def p1_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Rows with the sites that may be the same mine and the marginal probability."""
+    rec = entities.resolve_records([rows_part(spark, d), sites_part(spark, d)])
+    rec = materialize(rec.select("src", "id", "state", "county", "place", "main", "own", "also", "lat", "lon", "entity"), "records")
+    rows, sites = rec.where("src = 'rows'"), rec.where("src = 'sites'")
+    mid = lambda c: F.percentile_approx(c, 0.5)
+    left = rows.groupBy("entity", "state", "main", "place").agg(mid("lat").alias("ulat"), mid("lon").alias("ulon"))
+    # entries of one site: of a county, or of a spot where none is given
+    spot = F.concat_ws(",", F.round("lat", 1), F.round("lon", 1))
+    sites = sites.withColumn("vkey", F.concat_ws("|", "state", "main", F.coalesce("county", F.when(F.col("lat").isNotNull(), F.concat(F.lit("@"), spot)), F.concat(F.lit("#"), F.col("id")))))
+    right = sites.groupBy("vkey", "state", "main", "county").agg(mid("lat").alias("vlat"), mid("lon").alias("vlon"), F.max("place").alias("vplace"))
+    pairs = left.join(right, ["state", "main"])
+    km = geo.haversine_m(F.col("ulat"), F.col("ulon"), F.col("vlat"), F.col("vlon")) / 1000
+    logit = (
+        PRIOR
+        + F.when(F.col("county").isNull() | F.col("place").isNull(), 0.0).when(F.col("county") == F.col("place"), SAME_COUNTY).otherwise(OTHER_COUNTY)
+        + F.coalesce(F.when(km <= 3, NEAR).when(km >= 20, FAR), F.lit(0.0))
+    )
+    # spots without a county that lie at a site of a county are entries of that site
+    host = right.where("county is not null").select("state", "main", F.col("vkey").alias("_host"), F.col("vlat").alias("_hlat"), F.col("vlon").alias("_hlon"))
+    lone = right.where("county is null and vlat is not null").select("vkey", "state", "main", "vlat", "vlon").join(host, ["state", "main"])
+    near = geo.haversine_m(F.col("vlat"), F.col("vlon"), F.col("_hlat"), F.col("_hlon"))
+    lone = lone.where(near <= 3000).groupBy("vkey").agg(F.min_by("_host", near).alias("_host"))
+    edges = pairs.select("entity", "vkey", logit.alias("logit")).where("logit > -4")
+    edges = edges.join(lone, "vkey", "left").withColumn("site", F.coalesce("_host", "vkey"))
+    edges = edges.groupBy("entity", "site").agg(F.max("logit").alias("logit"))
+    found = matching.belief_propagation(edges, "entity", "site", "logit").where("p > 0.01")
+    members = sites.select("vkey", F.col("id").cast("bigint").alias("dep_id")).join(lone, "vkey", "left").withColumn("site", F.coalesce("_host", "vkey"))
+    out = found.join(members.select("site", "dep_id"), "site").join(rows.select("entity", F.col("id").cast("bigint").alias("row_id")), "entity")
+    return out.select("row_id", "dep_id", "p")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and sites of the same mine, at a marginal probability of one half or more."""
+    return p1_matches(spark, d).where("p >= 0.5").select("row_id", "dep_id")
+
+
+QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p3_found": p3_found}
 ORACLE: dict[str, str] = {}
