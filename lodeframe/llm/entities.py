@@ -86,7 +86,7 @@ def resolve_names(parsed: DataFrame, lex: DataFrame) -> DataFrame:
         part = lex.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == block)
         entries = [(tuple(r.words.split(" ")), r.n) for r in part.collect()]  # at most about LEXICON_BLOCK names
 
-        @F.pandas_udf("array<struct<name:string,score:double>>")
+        @F.pandas_udf("array<string>")
         def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             lexi, memo = N.Lexicon(entries), {}
 
@@ -98,7 +98,8 @@ def resolve_names(parsed: DataFrame, lex: DataFrame) -> DataFrame:
                     hit = lexi.resolve(tuple(words.split(" ")))
                     memo[words] = (" ".join(lexi.names[hit[0][1]]), hit[0][0]) if hit else None
                 m = memo[words]
-                return {"name": f"{m[0]}#{num}", "score": m[1]} if m else {"name": None, "score": 99.0}
+                # the first sixteen characters hold the score, for the choice between blocks
+                return f"{m[1] + 1000:016.9f}{m[0]}#{num}" if m else None
 
             for s in parts:
                 yield pd.Series([[one(p) for p in ps] for ps in s], dtype=object)
@@ -110,11 +111,11 @@ def resolve_names(parsed: DataFrame, lex: DataFrame) -> DataFrame:
     for b in range(blocks):
         out = out.withColumn(f"_r{b}", resolver(b)(both))
     best = F.col("_r0") if blocks == 1 else reduce(
-        lambda a, b: F.zip_with(a, F.col(b), lambda x, y: F.when(y["score"] < x["score"], y).otherwise(x)), [f"_r{b}" for b in range(1, blocks)], F.col("_r0")
+        lambda a, b: F.zip_with(a, F.col(b), lambda x, y: F.least(x, y)), [f"_r{b}" for b in range(1, blocks)], F.col("_r0")
     )
     out = out.withColumn("_best", best).drop(*[f"_r{b}" for b in range(blocks)])
     k = F.size("names.own")
-    found = lambda a: F.transform(F.filter(a, lambda x: x["name"].isNotNull()), lambda x: x["name"])
+    found = lambda a: F.transform(F.array_compact(a), lambda x: F.substring(x, 17, 10_000))
     plain = F.transform("names.own", lambda p: F.concat(_stems(p), F.lit("#"), F.substring_index(p, "#", -1)))
     own = found(F.slice("_best", F.lit(1), k))
     out = out.withColumn("own", F.when(F.size(own) > 0, F.array_distinct(own)).otherwise(plain))

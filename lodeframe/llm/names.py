@@ -148,16 +148,27 @@ def token_cost(typed: str, word: str) -> float | None:
 
 def align(typed: tuple[str, ...], words: tuple[str, ...]) -> float | None:
     """Least cost of an assignment of typed tokens to words, one to one; None if a token or word stays alone."""
-    if len(typed) != len(words) or len(typed) > 6:
+    return assign([{w: c for w in words if (c := token_cost(t, w)) is not None} for t in typed], words)
+
+
+def assign(readings: list[dict[str, float]], words: tuple[str, ...]) -> float | None:
+    """The assignment from what each token can be read as."""
+    n = len(words)
+    if len(readings) != n or n > 6:
         return None
-    cost = [[token_cost(t, w) for w in words] for t in typed]
+    if n == 2:
+        x, y = readings
+        a = x[words[0]] + y[words[1]] if words[0] in x and words[1] in y else None
+        b = x[words[1]] + y[words[0]] + 0.01 if words[1] in x and words[0] in y else None
+        return b if a is None else a if b is None else min(a, b)
     best = None
-    for order in itertools.permutations(range(len(words))):
-        total = 0.01 * (order != tuple(range(len(words))))
-        for i, j in enumerate(order):
-            if cost[i][j] is None:
+    for order in itertools.permutations(range(n)):
+        total = 0.01 * (order != tuple(range(n)))
+        for r, j in zip(readings, order):
+            c = r.get(words[j])
+            if c is None:
                 break
-            total += cost[i][j]
+            total += c
         else:
             best = total if best is None else min(best, total)
     return best
@@ -175,6 +186,7 @@ class Lexicon:
         self.by_prefix: dict[str, set[str]] = defaultdict(set)
         self.squeezed: dict[str, int] = {}
         self.squeezed_delete: dict[str, set[int]] = defaultdict(set)
+        self.read: dict[str, dict[str, float]] = {}
         for words, n in names:
             i = len(self.names)
             self.names.append(words)
@@ -195,7 +207,15 @@ class Lexicon:
                     self.squeezed_delete[d].add(i)
 
     def readings(self, typed: str) -> dict[str, float]:
-        """Words that a typed token can be read as, with the cost."""
+        """Words that a typed token can be read as, with the cost; kept for the next name with the token."""
+        known = self.read.get(typed)
+        if known is None:
+            if len(self.read) > 200_000:
+                self.read.clear()
+            known = self.read[typed] = self._readings(typed)
+        return known
+
+    def _readings(self, typed: str) -> dict[str, float]:
         clipped, t = typed.endswith("."), typed.rstrip(".")
         s = stem(t)
         if s in self.by_token and not clipped:
@@ -225,8 +245,9 @@ class Lexicon:
             found[i] = 0.0 if len(typed) == len(self.names[i]) else 0.02
         if len(typed) > 1:
             hits = [self.readings(t) for t in typed]
-            for i in set.intersection(*[{i for w in h for i in self.by_token[w]} for h in hits]):
-                c = align(typed, self.names[i])
+            rarest = min(hits, key=lambda h: sum(len(self.by_token[w]) for w in h))
+            for i in {i for w in rarest for i in self.by_token[w]}:
+                c = assign(hits, self.names[i])
                 if c is not None:
                     found[i] = min(found.get(i, 9.0), c)
         if not found and len(q) >= 7:
