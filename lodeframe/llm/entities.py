@@ -147,7 +147,7 @@ def with_places(records: DataFrame) -> DataFrame:
     """Replaces typed counties and districts by the spellings the records support."""
     for c in ("county", "district"):
         m = place_map(records, c).select("state", F.col("place").alias(c), F.col("target").alias("_t"))
-        records = records.join(broadcast_if_small(materialize(m, "map")), ["state", c], "left").withColumn(c, F.coalesce("_t", c)).drop("_t")
+        records = records.join(broadcast_if_small(materialize(m, "map"), limit=1 << 20), ["state", c], "left").withColumn(c, F.coalesce("_t", c)).drop("_t")
     return records
 
 
@@ -185,21 +185,31 @@ def resolve_records(parts: list[DataFrame]) -> DataFrame:
     by_main = rec.where("county is not null").groupBy("state", "county", "main").agg(F.count(F.lit(1)).alias("_own"))
     alias = alias.join(by_main.withColumnRenamed("main", "alias"), ["state", "county", "alias"], "left").where("_own is null or _own < 3 * _as + 3")
     alias = materialize(alias.select("state", "county", F.col("alias").alias("main"), "_to"), "alias")
-    rec = rec.join(broadcast_if_small(alias), ["state", "county", "main"], "left").withColumn("main", F.coalesce("_to", "main")).drop("_to")
-    any_alias = alias.groupBy("state", "main").agg(F.min("_to").alias("_one"), F.count_distinct("_to").alias("_k")).where("_k = 1")
+    rec = rec.join(broadcast_if_small(alias, limit=1 << 20), ["state", "county", "main"], "left").withColumn("main", F.coalesce("_to", "main")).drop("_to")
+    any_alias = alias.groupBy("state", "main").agg(F.min("_to").alias("_one"), F.max("_to").alias("_k")).where("_k = _one")
+    any_alias = materialize(any_alias, "alias")
 
     # entities with their weight, district and centre; a record does not vouch for itself
     known = rec.where("county is not null")
-    centre = known.groupBy("state", "main", "county").agg(
-        F.count(F.lit(1)).alias("n"), F.mode("district").alias("mdist"), F.percentile_approx("lat", 0.5).alias("mlat"), F.percentile_approx("lon", 0.5).alias("mlon"),
-        F.max((F.col("src") == "reviewed").cast("int")).alias("sure"),
-    )
+    # counted by spot and district first: what follows sees a row for each, not for each record
+    spots = known.groupBy("state", "main", "county", "district", F.round("lat", 2).alias("_y"), F.round("lon", 2).alias("_x")).agg(
+        F.count(F.lit(1)).alias("_n"), F.avg("lat").alias("_lat"), F.avg("lon").alias("_lon"), F.max((F.col("src") == "reviewed").cast("int")).alias("sure")
+    )
+    spots = materialize(spots, "spots")
+    key = ["state", "main", "county"]
+    centre = spots.groupBy(*key).agg(F.sum("_n").alias("n"), F.max("sure").alias("sure"))
+    most = F.struct("_n", "_y", "_x")
+    place = spots.where("_lat is not null").groupBy(*key, "_y", "_x").agg(F.sum("_n").alias("_n"), F.max("_lat").alias("_lat"), F.max("_lon").alias("_lon"))
+    place = place.groupBy(*key).agg(F.max_by("_lat", most).alias("mlat"), F.max_by("_lon", most).alias("mlon"))
+    dist = spots.where("district is not null").groupBy(*key, "district").agg(F.sum("_n").alias("_n"))
+    dist = dist.groupBy(*key).agg(F.max_by("district", F.struct("_n", "district")).alias("mdist"))
+    centre = centre.join(place, key, "left").join(dist, key, "left")
     options = centre.groupBy("state", "main").agg(F.collect_list(F.struct("county", "n", "mdist", "mlat", "mlon", "sure")).alias("opts"))  # at most the counties of a state
     # one name at one spot in two counties is one working under a mistaken county
     near = lambda o: F.filter("opts", lambda q: (q["county"] == o["county"]) | F.coalesce(geo.haversine_m(q["mlat"], q["mlon"], o["mlat"], o["mlon"]) <= 3000, F.lit(False)))
     best = lambda o: F.array_max(F.transform(near(o), lambda q: F.struct(q["sure"], q["n"], q["county"])))["county"]
     options = options.withColumn("opts", F.transform("opts", lambda o: o.withField("to", best(o))))
-    rec = rec.join(options, ["state", "main"], "left")
+    rec = rec.join(broadcast_if_small(materialize(options, "options"), limit=1 << 20), ["state", "main"], "left")
 
     def score(o: Column) -> Column:
         self = (o["county"] == F.col("county")).cast("int")
@@ -214,7 +224,7 @@ def resolve_records(parts: list[DataFrame]) -> DataFrame:
     rec = rec.withColumn("place", F.coalesce(ranked["county"], F.col("county"))).drop("opts")
     # a record placed now may go by a further name of its county
     late = alias.withColumnsRenamed({"county": "place"})
-    rec = rec.join(broadcast_if_small(late), ["state", "place", "main"], "left").withColumn("main", F.coalesce("_to", "main")).drop("_to")
-    rec = rec.join(broadcast_if_small(any_alias), ["state", "main"], "left")
+    rec = rec.join(broadcast_if_small(late, limit=1 << 20), ["state", "place", "main"], "left").withColumn("main", F.coalesce("_to", "main")).drop("_to")
+    rec = rec.join(broadcast_if_small(any_alias, limit=1 << 20), ["state", "main"], "left")
     rec = rec.withColumn("main", F.when(F.col("place").isNull(), F.coalesce("_one", "main")).otherwise(F.col("main"))).drop("_one", "_k")
     return rec.withColumn("entity", F.concat_ws("|", "state", F.coalesce("place", F.lit("?")), "main"))
