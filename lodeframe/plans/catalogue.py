@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import general_problems
+from . import general_problems, relational
 
-MODULES = [general_problems]
+MODULES = [general_problems, relational]
 
 
 def queries() -> dict:
