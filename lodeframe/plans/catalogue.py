@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import general_problems, relational
+from . import general_problems, relational, texts
 
-MODULES = [general_problems, relational]
+MODULES = [general_problems, relational, texts]
 
 
 def queries() -> dict:
