@@ -21,33 +21,40 @@ from . import names as N
 
 #: Most lexicon names held in one Python worker; larger lexicons are resolved in as many blocks as needed.
 LEXICON_BLOCK = 100_000
-_PARSED = "struct<own:array<string>,also:array<string>>"
+#: Names travel to Python and back as one string a record: lists of strings would be converted row by row.
+_SEP, _PART = "\x1f", "\x1e"
 
 
 def _text(words: tuple[str, ...], num: int) -> str:
     return " ".join(words) + f"#{num}"
 
 
+def _split(c: Column, i: int) -> Column:
+    """The array in part i of a string that travelled."""
+    part = F.split_part(c, F.lit(_PART), F.lit(i))
+    return F.when(part != "", F.split(part, _SEP)).otherwise(F.array().cast("array<string>"))
+
+
 def parse_names(name: Column, further: Column) -> Column:
     """Column struct<own, also>: parsed alternatives of a name and of an array of further names, as "tokens#number"."""
 
-    @F.pandas_udf(_PARSED)
-    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        memo: dict[str, list[str]] = {}
+    @F.pandas_udf("string")
+    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        memo: dict[str, str] = {}
 
-        def one(s):
-            if s not in memo:
+        def one(s: str) -> str:
+            m = memo.get(s)
+            if m is None:
                 if len(memo) > 100_000:
                     memo.clear()
-                memo[s] = [_text(*x) for x in N.parse(s)]
-            return memo[s]
+                m = memo[s] = _SEP.join(_text(*x) for x in N.parse(s))
+            return m
 
         for a, b in parts:
-            own = [one(x) if x else [] for x in a]
-            also = [[y for x in ks if x for y in one(x)] if ks is not None else [] for ks in b]
-            yield pd.DataFrame({"own": own, "also": also})
+            yield pd.Series([(one(x) if x else "") + _PART + (_SEP.join(y for k in ks.split(_SEP) if k and (y := one(k))) if ks else "") for x, ks in zip(a, b)])
 
-    return run(name, further)
+    joined = run(name, F.array_join(further, _SEP))
+    return F.struct(_split(joined, 1).alias("own"), _split(joined, 2).alias("also"))
 
 
 def _stems(parsed: Column) -> Column:
@@ -86,36 +93,37 @@ def resolve_names(parsed: DataFrame, lex: DataFrame) -> DataFrame:
         part = lex.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == block)
         entries = [(tuple(r.words.split(" ")), r.n) for r in part.collect()]  # at most about LEXICON_BLOCK names
 
-        @F.pandas_udf("array<string>")
+        @F.pandas_udf("string")
         def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             lexi, memo = N.Lexicon(entries), {}
 
-            def one(p: str):
-                words, num = p.rsplit("#", 1)
-                if words not in memo:
+            def one(p: str) -> str:
+                words, _, num = p.rpartition("#")
+                m = memo.get(words)
+                if m is None:
                     if len(memo) > 300_000:
                         memo.clear()
                     hit = lexi.resolve(tuple(words.split(" ")))
-                    memo[words] = (" ".join(lexi.names[hit[0][1]]), hit[0][0]) if hit else None
-                m = memo[words]
-                # the first sixteen characters hold the score, for the choice between blocks
-                return f"{m[1] + 1000:016.9f}{m[0]}#{num}" if m else None
+                    # the first sixteen characters hold the score, for the choice between blocks
+                    m = memo[words] = f"{hit[0][0] + 1000:016.9f}" + " ".join(lexi.names[hit[0][1]]) if hit else ""
+                return f"{m}#{num}" if m else ""
 
             for s in parts:
-                yield pd.Series([[one(p) for p in ps] for ps in s], dtype=object)
+                yield pd.Series([_SEP.join(map(one, ps.split(_SEP))) if ps else "" for ps in s])
 
         return run
 
-    both = F.concat("names.own", "names.also")
+    both = F.array_join(F.concat("names.own", "names.also"), _SEP)
     out = parsed
     for b in range(blocks):
-        out = out.withColumn(f"_r{b}", resolver(b)(both))
+        # an entry without a hit comes back blank and is put behind every hit
+        out = out.withColumn(f"_r{b}", F.transform(F.split(resolver(b)(both), _SEP), lambda x: F.when(x == "", "~").otherwise(x)))
     best = F.col("_r0") if blocks == 1 else reduce(
         lambda a, b: F.zip_with(a, F.col(b), lambda x, y: F.least(x, y)), [f"_r{b}" for b in range(1, blocks)], F.col("_r0")
     )
     out = out.withColumn("_best", best).drop(*[f"_r{b}" for b in range(blocks)])
     k = F.size("names.own")
-    found = lambda a: F.transform(F.array_compact(a), lambda x: F.substring(x, 17, 10_000))
+    found = lambda a: F.transform(F.filter(a, lambda x: x != "~"), lambda x: F.substring(x, 17, 10_000))
     plain = F.transform("names.own", lambda p: F.concat(_stems(p), F.lit("#"), F.substring_index(p, "#", -1)))
     own = found(F.slice("_best", F.lit(1), k))
     out = out.withColumn("own", F.when(F.size(own) > 0, F.array_distinct(own)).otherwise(plain))
