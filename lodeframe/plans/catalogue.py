@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import general_problems, relational, texts
+from . import general_problems, relational, shapes, texts
 
-MODULES = [general_problems, relational, texts]
+MODULES = [general_problems, relational, texts, shapes]
 
 
 def queries() -> dict:
