@@ -159,10 +159,18 @@ def with_places(records: DataFrame) -> DataFrame:
     return records
 
 
+def _km2(lat: Column, lon: Column, lat2: Column, lon2: Column) -> Column:
+    """Square of the distance in km in the plane, good enough to tell near from far."""
+    dx = F.abs(lon - lon2)
+    dx = F.least(dx, 360.0 - dx) * F.cos(F.radians(lat)) * 111.2
+    dy = (lat - lat2) * 111.2
+    return dx * dx + dy * dy
+
+
 def _close(lat: Column, lon: Column, mlat: Column, mlon: Column) -> Column:
     """Evidence of a point for an entity's centre: near, far, or nothing."""
-    d = geo.haversine_m(lat, lon, mlat, mlon)
-    return F.coalesce(F.when(d <= 3000, 4.0).when(d <= 12_000, 1.0).when(d >= 45_000, -2.5), F.lit(0.0))
+    d = _km2(lat, lon, mlat, mlon)
+    return F.coalesce(F.when(d <= 9, 4.0).when(d <= 144, 1.0).when(d >= 2025, -2.5), F.lit(0.0))
 
 
 def resolve_records(parts: list[DataFrame]) -> DataFrame:
@@ -214,7 +222,7 @@ def resolve_records(parts: list[DataFrame]) -> DataFrame:
     centre = centre.join(place, key, "left").join(dist, key, "left")
     options = centre.groupBy("state", "main").agg(F.collect_list(F.struct("county", "n", "mdist", "mlat", "mlon", "sure")).alias("opts"))  # at most the counties of a state
     # one name at one spot in two counties is one working under a mistaken county
-    near = lambda o: F.filter("opts", lambda q: (q["county"] == o["county"]) | F.coalesce(geo.haversine_m(q["mlat"], q["mlon"], o["mlat"], o["mlon"]) <= 3000, F.lit(False)))
+    near = lambda o: F.filter("opts", lambda q: (q["county"] == o["county"]) | F.coalesce(_km2(q["mlat"], q["mlon"], o["mlat"], o["mlon"]) <= 9, F.lit(False)))
     best = lambda o: F.array_max(F.transform(near(o), lambda q: F.struct(q["sure"], q["n"], q["county"])))["county"]
     options = options.withColumn("opts", F.transform("opts", lambda o: o.withField("to", best(o))))
     rec = rec.join(broadcast_if_small(materialize(options, "options"), limit=1 << 20), ["state", "main"], "left")
@@ -228,8 +236,9 @@ def resolve_records(parts: list[DataFrame]) -> DataFrame:
         district = F.when(F.col("district").isNull() | o["mdist"].isNull() | alone, 0.0).when(o["mdist"] == F.col("district"), 3.0).otherwise(-1.5)
         return weight + county + district + F.when(alone, 0.0).otherwise(_close(F.col("lat"), F.col("lon"), o["mlat"], o["mlon"]))
 
-    ranked = F.array_max(F.transform("opts", lambda o: F.struct(score(o).alias("s"), o["to"].alias("county"))))
-    rec = rec.withColumn("place", F.coalesce(ranked["county"], F.col("county"))).drop("opts")
+    ranked = F.array_max(F.transform("opts", lambda o: F.struct(score(o).alias("s"), o["to"].alias("county"))))["county"]
+    only = F.when(F.size("opts") == 1, F.col("opts")[0]["to"]).otherwise(ranked)  # nothing to weigh for most names
+    rec = rec.withColumn("place", F.coalesce(only, F.col("county"))).drop("opts")
     # a record placed now may go by a further name of its county
     late = alias.withColumnsRenamed({"county": "place"})
     rec = rec.join(broadcast_if_small(late, limit=1 << 20), ["state", "place", "main"], "left").withColumn("main", F.coalesce("_to", "main")).drop("_to")

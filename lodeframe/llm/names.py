@@ -110,6 +110,21 @@ def slips(a: str, b: str, most: int = 2) -> int:
         return 0
     if abs(len(a) - len(b)) > most:
         return most + 1
+    # what both begin and end with doesn't count
+    i = 0
+    for x, y in zip(a, b):
+        if x != y:
+            break
+        i += 1
+    a, b = a[i:], b[i:]
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    if len(a) <= 1 or len(b) <= 1:
+        # a letter against others: it is among them or not
+        short, long = (a, b) if len(a) <= len(b) else (b, a)
+        return min(len(long) - (len(short) == 1 and short in long), most + 1)
+    if len(a) == len(b) == 2:
+        return 1 if a == b[::-1] else 2
     before, row = None, list(range(len(b) + 1))
     for i, x in enumerate(a):
         new = [i + 1]
@@ -287,12 +302,13 @@ def slip_map(tokens: DataFrame, token: str, n: str, block: list[str] | None = No
     block = block or []
     keyed = tokens.select(*block, F.col(token).alias("_t"), F.col(n).alias("_n")).where(F.length("_t") >= 4)
     keyed = keyed.withColumn("_k", F.explode(delete_keys(F.col("_t"), two_from)))
+    most = 1 if two_from > 1000 else 2
     rare = keyed.select(*block, "_k", "_t", "_n")
     often = keyed.where(F.col("_n") >= ratio).select(*block, "_k", F.col("_t").alias("_f"), F.col("_n").alias("_m"))
     pairs = rare.join(often, [*block, "_k"]).where((F.col("_m") >= F.col("_n") * ratio) & (F.col("_t") != F.col("_f")))
-    pairs = pairs.select(*block, "_t", "_f", "_m").distinct()
+    pairs = pairs.where(F.abs(F.length("_t") - F.length("_f")) <= most).select(*block, "_t", "_f", "_m").distinct()
+    pairs = pairs.withColumn("_d", F.levenshtein("_t", "_f", 2)).where("_d >= 0")
     swap = F.array_sort(F.split("_t", "")) == F.array_sort(F.split("_f", ""))
-    d = F.when(swap, 1).otherwise(F.levenshtein("_t", "_f"))
-    pairs = pairs.withColumn("_d", d).where((F.col("_d") <= 1) | ((F.col("_d") <= 2) & (F.length("_f") >= two_from)))
+    pairs = pairs.withColumn("_d", F.when((F.col("_d") == 2) & swap, 1).otherwise(F.col("_d"))).where((F.col("_d") <= 1) | (F.length("_f") >= two_from))
     best = F.max_by("_f", F.struct(-F.col("_d"), F.col("_m"), F.col("_f")))
     return pairs.groupBy(*block, "_t").agg(best.alias("target")).withColumnRenamed("_t", token)
