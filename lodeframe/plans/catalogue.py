@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import general_problems, relational, shapes, texts
+from . import general_problems, records, relational, shapes, streams, texts
 
-MODULES = [general_problems, relational, texts, shapes]
+MODULES = [general_problems, relational, texts, shapes, streams, records]
 
 
 def queries() -> dict:

@@ -32,7 +32,7 @@ class PagedSource(DataSource):
         return "objectid bigint, attributes string"
 
     def reader(self, schema) -> DataSourceReader:
-        return _PagedReader(self.options)
+        return (_PushingReader if self.options.get("pushdown") == "true" else _PagedReader)(self.options)
 
 
 class _PagedReader(DataSourceReader):
@@ -40,13 +40,6 @@ class _PagedReader(DataSourceReader):
         self.path = options["path"]
         self.above = int(options.get("after", -1))
 
-    def pushFilters(self, filters):
-        for f in filters:
-            if isinstance(f, GreaterThan) and f.attribute == ("objectid",):
-                self.above = max(self.above, int(f.value))
-            else:
-                yield f
-
     def partitions(self):
         pages = []
         for p in sorted(Path(self.path).glob("*.json")):
@@ -67,6 +60,15 @@ class _PagedReader(DataSourceReader):
                     yield f["objectid"], json.dumps(f["attributes"], sort_keys=True)
 
 
+class _PushingReader(_PagedReader):
+    def pushFilters(self, filters):
+        for f in filters:
+            if isinstance(f, GreaterThan) and f.attribute == ("objectid",):
+                self.above = max(self.above, int(f.value))
+            else:
+                yield f
+
+
 def write_pages(records: list[tuple[int, dict]], folder: str, size: int) -> None:
     """Lands records as pages: a head line with the id range, then one record a line."""
     Path(folder).mkdir(parents=True, exist_ok=True)
@@ -80,7 +82,8 @@ def write_pages(records: list[tuple[int, dict]], folder: str, size: int) -> None
 def read_pages(spark: SparkSession, folder: str, after: int = -1) -> DataFrame:
     """Records of landed pages with ids above a cursor."""
     spark.dataSource.register(PagedSource)
-    return spark.read.format("pagedjson").option("path", folder).option("after", after).load()
+    push = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    return spark.read.format("pagedjson").option("path", folder).option("after", after).option("pushdown", push).load()
 
 
 def plan_tiles(count: Callable[[tuple[float, float, float, float]], int], box: tuple[float, float, float, float], cap: int, depth: int = 3) -> list[tuple[tuple[float, float, float, float], bool]]:
