@@ -29,14 +29,16 @@ def _text(words: tuple[str, ...], num: int) -> str:
     return " ".join(words) + f"#{num}"
 
 
-def _split(c: Column, i: int) -> Column:
-    """The array in part i of a string that travelled."""
-    part = F.split_part(c, F.lit(_PART), F.lit(i))
-    return F.when(part != "", F.split(part, _SEP)).otherwise(F.array().cast("array<string>"))
+def _split(c: Column) -> Column:
+    """The array in a part of a string that travelled."""
+    return F.when(c != "", F.split(c, _SEP)).otherwise(F.array().cast("array<string>"))
 
 
 def parse_names(name: Column, further: Column) -> Column:
-    """Column struct<own, also>: parsed alternatives of a name and of an array of further names, as "tokens#number"."""
+    """Column of parsed names: alternatives of a name, then of an array of further names, as "tokens#number".
+
+    A further name that is an earlier one without its spaces is dropped.
+    """
 
     @F.pandas_udf("string")
     def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -50,11 +52,21 @@ def parse_names(name: Column, further: Column) -> Column:
                 m = memo[s] = _SEP.join(_text(*x) for x in N.parse(s))
             return m
 
+        def also(ks: str) -> str:
+            out = memo.get(_PART + ks)
+            if out is None:
+                got: dict[str, str] = {}
+                for k in ks.split(_SEP):
+                    if k:
+                        for y in one(k).split(_SEP):
+                            got.setdefault(y.replace(" ", ""), y)
+                out = memo[_PART + ks] = _SEP.join(y for y in got.values() if y)
+            return out
+
         for a, b in parts:
-            yield pd.Series([(one(x) if x else "") + _PART + (_SEP.join(y for k in ks.split(_SEP) if k and (y := one(k))) if ks else "") for x, ks in zip(a, b)])
+            yield pd.Series([(one(x) if x else "") + _PART + (also(ks) if ks else "") for x, ks in zip(a, b)])
 
-    joined = run(name, F.array_join(further, _SEP))
-    return F.struct(_split(joined, 1).alias("own"), _split(joined, 2).alias("also"))
+    return run(name, F.array_join(further, _SEP))
 
 
 def _stems(parsed: Column) -> Column:
@@ -69,7 +81,8 @@ def lexicon(parsed: DataFrame) -> DataFrame:
     Left out are clipped names, names that are a much rarer slip of another, and
     names that are another one written without spaces.
     """
-    typed = parsed.select(F.explode(F.array_distinct(F.concat("names.own", "names.also"))).alias("p")).where(~F.col("p").contains("."))
+    both = F.split(F.regexp_replace("names", _PART, _SEP), _SEP)
+    typed = parsed.select(F.explode(F.array_distinct(both)).alias("p")).where((F.col("p") != "") & ~F.col("p").contains("."))
     counts = typed.groupBy(_stems(F.col("p")).alias("words")).agg(F.count(F.lit(1)).alias("n"))
     counts = materialize(counts.where(F.length("words") >= 3), "names")
     # whole names one slip apart, the first or the last token being equal or the whole string a deletion apart
@@ -90,45 +103,46 @@ def resolve_names(parsed: DataFrame, lex: DataFrame) -> DataFrame:
     blocks = max(1, -(-total // LEXICON_BLOCK))
 
     def resolver(block: int):
+        """What a block of the lexicon makes of each name: "score words#number", or what came from the blocks before."""
         part = lex.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == block)
         entries = [(tuple(r.words.split(" ")), r.n) for r in part.collect()]  # at most about LEXICON_BLOCK names
 
         @F.pandas_udf("string")
-        def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
             lexi, memo = N.Lexicon(entries), {}
 
             def one(p: str) -> str:
+                if not p:
+                    return p
                 words, _, num = p.rpartition("#")
                 m = memo.get(words)
                 if m is None:
                     if len(memo) > 300_000:
                         memo.clear()
                     hit = lexi.resolve(tuple(words.split(" ")))
-                    # the first sixteen characters hold the score, for the choice between blocks
                     m = memo[words] = f"{hit[0][0] + 1000:016.9f}" + " ".join(lexi.names[hit[0][1]]) if hit else ""
                 return f"{m}#{num}" if m else ""
 
-            for s in parts:
-                yield pd.Series([_SEP.join(map(one, ps.split(_SEP))) if ps else "" for ps in s])
+            def each(names: str, before: str | None) -> str:
+                new = [[one(p) for p in part.split(_SEP)] for part in names.split(_PART)]
+                if before:
+                    old = [part.split(_SEP) for part in before.split(_PART)]
+                    new = [[min(filter(None, xy), default="") for xy in zip(x, y)] for x, y in zip(new, old)]
+                return _PART.join(_SEP.join(x) for x in new)
+
+            for a, b in parts:
+                yield pd.Series([each(x, y) for x, y in zip(a, b)])
 
         return run
 
-    both = F.array_join(F.concat("names.own", "names.also"), _SEP)
-    out = parsed
+    out = parsed.withColumn("_best", F.lit(None).cast("string"))
     for b in range(blocks):
-        # an entry without a hit comes back blank and is put behind every hit
-        out = out.withColumn(f"_r{b}", F.transform(F.split(resolver(b)(both), _SEP), lambda x: F.when(x == "", "~").otherwise(x)))
-    best = F.col("_r0") if blocks == 1 else reduce(
-        lambda a, b: F.zip_with(a, F.col(b), lambda x, y: F.least(x, y)), [f"_r{b}" for b in range(1, blocks)], F.col("_r0")
-    )
-    out = out.withColumn("_best", best).drop(*[f"_r{b}" for b in range(blocks)])
-    k = F.size("names.own")
-    found = lambda a: F.transform(F.filter(a, lambda x: x != "~"), lambda x: F.substring(x, 17, 10_000))
-    plain = F.transform("names.own", lambda p: F.concat(_stems(p), F.lit("#"), F.substring_index(p, "#", -1)))
-    own = found(F.slice("_best", F.lit(1), k))
-    out = out.withColumn("own", F.when(F.size(own) > 0, F.array_distinct(own)).otherwise(plain))
-    out = out.withColumn("also", F.array_distinct(found(F.slice("_best", k + 1, F.size("names.also") + 1))))
-    return out.drop("_best", "names")
+        out = out.withColumn("_best", resolver(b)("names", "_best"))
+    hits = lambda i: F.transform(F.filter(F.split(F.split_part("_best", F.lit(_PART), F.lit(i)), _SEP), lambda x: x != ""), lambda x: F.substring(x, 17, 10_000))
+    typed = _split(F.split_part("names", F.lit(_PART), F.lit(1)))
+    plain = F.transform(typed, lambda p: F.concat(_stems(p), F.lit("#"), F.substring_index(p, "#", -1)))
+    out = out.withColumn("own", hits(1)).withColumn("also", hits(2))
+    return out.withColumn("own", F.when(F.size("own") > 0, F.col("own")).otherwise(plain)).drop("_best", "names")
 
 
 def plain_place(c: Column) -> Column:
@@ -225,7 +239,11 @@ def resolve_records(parts: list[DataFrame]) -> DataFrame:
     near = lambda o: F.filter("opts", lambda q: (q["county"] == o["county"]) | F.coalesce(_km2(q["mlat"], q["mlon"], o["mlat"], o["mlon"]) <= 9, F.lit(False)))
     best = lambda o: F.array_max(F.transform(near(o), lambda q: F.struct(q["sure"], q["n"], q["county"])))["county"]
     options = options.withColumn("opts", F.transform("opts", lambda o: o.withField("to", best(o))))
-    rec = rec.join(broadcast_if_small(materialize(options, "options"), limit=1 << 20), ["state", "main"], "left")
+    options = materialize(options, "options")
+    rec = rec.join(broadcast_if_small(options, limit=1 << 20), ["state", "main"], "left")
+    own = options.select("state", "main", F.inline("opts")).select("state", "main", "county", F.col("n").alias("_n"), F.col("mdist").alias("_d"), F.col("to").alias("_to"))
+    rec = rec.join(broadcast_if_small(materialize(own, "own"), limit=1 << 20), ["state", "main", "county"], "left")
+    agreed = F.coalesce((F.col("_n") > 1) & (F.col("_d") == F.col("district")), F.lit(False))
 
     def score(o: Column) -> Column:
         self = (o["county"] == F.col("county")).cast("int")
@@ -237,8 +255,9 @@ def resolve_records(parts: list[DataFrame]) -> DataFrame:
         return weight + county + district + F.when(alone, 0.0).otherwise(_close(F.col("lat"), F.col("lon"), o["mlat"], o["mlon"]))
 
     ranked = F.array_max(F.transform("opts", lambda o: F.struct(score(o).alias("s"), o["to"].alias("county"))))["county"]
-    only = F.when(F.size("opts") == 1, F.col("opts")[0]["to"]).otherwise(ranked)  # nothing to weigh for most names
-    rec = rec.withColumn("place", F.coalesce(only, F.col("county"))).drop("opts")
+    # nothing to weigh where there is one candidate, or where others confirm the county and the district agrees
+    only = F.when(F.size("opts") == 1, F.col("opts")[0]["to"]).when(agreed, F.col("_to")).otherwise(ranked)
+    rec = rec.withColumn("place", F.coalesce(only, F.col("county"))).drop("opts", "_n", "_d", "_to")
     # a record placed now may go by a further name of its county
     late = alias.withColumnsRenamed({"county": "place"})
     rec = rec.join(broadcast_if_small(late, limit=1 << 20), ["state", "place", "main"], "left").withColumn("main", F.coalesce("_to", "main")).drop("_to")
