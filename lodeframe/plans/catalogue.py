@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import general_problems, records, relational, shapes, streams, texts
+from . import evidence, general_problems, records, relational, shapes, streams, texts
 
-MODULES = [general_problems, relational, texts, shapes, streams, records]
+MODULES = [general_problems, relational, texts, shapes, streams, records, evidence]
 
 
 def queries() -> dict:

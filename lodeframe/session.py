@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -33,6 +34,22 @@ def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in the Python workers of a session.
+
+    Nothing is done where they find it anyway, by PYTHONPATH or the working folder.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    sc = spark.sparkContext
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if getattr(sc, "_lodeframe_shipped", False) or any(os.path.abspath(p) == root for p in known if p):
+        return
+    folder = tempfile.mkdtemp(prefix="lodeframe-zip-")
+    archive = shutil.make_archive(os.path.join(folder, "lodeframe"), "zip", root, "lodeframe")
+    sc.addPyFile(archive)
+    sc._lodeframe_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
