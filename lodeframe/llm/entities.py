@@ -123,11 +123,19 @@ def resolve_names(parsed: DataFrame, lex: DataFrame) -> DataFrame:
                     m = memo[words] = f"{hit[0][0] + 1000:016.9f}" + " ".join(lexi.names[hit[0][1]]) if hit else ""
                 return f"{m}#{num}" if m else ""
 
+            whole: dict[str, str] = {}
+
             def each(names: str, before: str | None) -> str:
+                if not before:
+                    out = whole.get(names)
+                    if out is None:
+                        if len(whole) > 100_000:
+                            whole.clear()
+                        out = whole[names] = _PART.join(_SEP.join(map(one, part.split(_SEP))) for part in names.split(_PART))
+                    return out
                 new = [[one(p) for p in part.split(_SEP)] for part in names.split(_PART)]
-                if before:
-                    old = [part.split(_SEP) for part in before.split(_PART)]
-                    new = [[min(filter(None, xy), default="") for xy in zip(x, y)] for x, y in zip(new, old)]
+                old = [part.split(_SEP) for part in before.split(_PART)]
+                new = [[min(filter(None, xy), default="") for xy in zip(x, y)] for x, y in zip(new, old)]
                 return _PART.join(_SEP.join(x) for x in new)
 
             for a, b in parts:
@@ -209,8 +217,9 @@ def resolve_records(parts: list[DataFrame]) -> DataFrame:
     rec = materialize(rec.withColumn("main", main).where("main is not null and state is not null"), "resolved")
 
     # a further name of a county's working stands for the name that its records put first
-    pairs = rec.where(F.size(F.array_union("own", "also")) > 1).select("state", "county", "main", F.explode(F.array_union("own", "also")).alias("alias"))
-    alias = pairs.where("alias <> main and county is not null").groupBy("state", "county", "alias", "main").agg(F.count(F.lit(1)).alias("n"))
+    more = (F.size("also") > 1) | (F.size("own") > 1) | (F.col("own")[0] != F.col("main"))
+    pairs = rec.where(F.col("county").isNotNull() & more).select("state", "county", "main", F.explode(F.array_union("own", "also")).alias("alias"))
+    alias = pairs.where("alias <> main").groupBy("state", "county", "alias", "main").agg(F.count(F.lit(1)).alias("n"))
     alias = alias.groupBy("state", "county", "alias").agg(F.max_by("main", F.struct("n", "main")).alias("_to"), F.max("n").alias("_as"))
     by_main = rec.where("county is not null").groupBy("state", "county", "main").agg(F.count(F.lit(1)).alias("_own"))
     alias = alias.join(by_main.withColumnRenamed("main", "alias"), ["state", "county", "alias"], "left").where("_own is null or _own < 3 * _as + 3")
