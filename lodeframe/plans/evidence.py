@@ -25,8 +25,8 @@ _D = "districts WHERE lat IS NOT NULL AND lon IS NOT NULL"
     "j15_blocked_scored_match",
     """WITH a AS (SELECT mine_id, state, county, lower(split_part(name, ' ', 1)) AS w, district FROM reviewed_grade_evidence), b AS (SELECT row_id, state AS rs, county AS rc, lower(split_part(name, ' ', 1)) AS rw, district AS rd FROM rows_igs_b11),
             p AS (SELECT mine_id, row_id, (state = rs AND w = rw AND coalesce(county = rc, false)) AS same_county, coalesce(district = rd, false) AS same_district,
-                         (coalesce(state || '|' || county || '|' || w = rs || '|' || rc || '|' || rw, false))::INT + 2 * (coalesce(state || '|' || district || '|' || w = rs || '|' || rd || '|' || rw, false))::INT AS by FROM a JOIN b ON state = rs AND w = rw),
-            s AS (SELECT mine_id, row_id, round((by & 1) * 0.6 + (by >> 1) * 0.5, 3) AS score FROM p WHERE by > 0),
+                         (coalesce(state || '|' || county || '|' || w = rs || '|' || rc || '|' || rw, false))::INT + 2 * (coalesce(state || '|' || district || '|' || w = rs || '|' || rd || '|' || rw, false))::INT AS msk FROM a JOIN b ON state = rs AND w = rw),
+            s AS (SELECT mine_id, row_id, round((msk % 2) * 0.6 + (msk // 2) * 0.5, 3) AS score FROM p WHERE msk > 0),
             r AS (SELECT *, row_number() OVER (PARTITION BY mine_id ORDER BY score DESC, row_id) AS rank FROM s WHERE score >= 0.5)
        SELECT mine_id, row_id, score, rank FROM r WHERE rank <= 3""",
 )
@@ -200,7 +200,7 @@ def a14(spark, d):
 
 @query("a23_grouped_set_union", "SELECT state, county, string_agg(DISTINCT district, '/' ORDER BY district) AS districts, count(DISTINCT name) AS names FROM reviewed_grade_evidence GROUP BY 1, 2")
 def a23(spark, d):
-    return table(spark, d, "reviewed_grade_evidence").groupBy("state", "county").agg(F.array_join(F.array_sort(F.collect_set("district")), "/").alias("districts"), F.count_distinct("name").alias("names"))
+    return table(spark, d, "reviewed_grade_evidence").groupBy("state", "county").agg(F.nullif(F.array_join(F.array_sort(F.collect_set("district")), "/"), F.lit("")).alias("districts"), F.count_distinct("name").alias("names"))
 
 
 @query("v05_inputs_unchanged", "SELECT 'nation' AS input, true AS same UNION ALL SELECT 'region', true")
