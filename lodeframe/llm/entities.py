@@ -273,3 +273,13 @@ def resolve_records(parts: list[DataFrame]) -> DataFrame:
     rec = rec.join(broadcast_if_small(any_alias, limit=1 << 20), ["state", "main"], "left")
     rec = rec.withColumn("main", F.when(F.col("place").isNull(), F.coalesce("_one", "main")).otherwise(F.col("main"))).drop("_one", "_k")
     return rec.withColumn("entity", F.concat_ws("|", "state", F.coalesce("place", F.lit("?")), "main"))
+
+
+def centres(records: DataFrame, keys: list[str], lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """Centre of the fullest spot (a hundredth of a degree) of each key: keys, ``clat``, ``clon``; null without a point.
+
+    Bad points lie elsewhere and don't move it. Counted by spot first, in hash aggregates.
+    """
+    s = records.groupBy(*keys, F.round(lat, 2).alias("_y"), F.round(lon, 2).alias("_x")).agg(F.count(lat).alias("_n"), F.avg(lat).alias("_lat"), F.avg(lon).alias("_lon"))
+    most = F.struct("_n", "_y", "_x")
+    return s.groupBy(*keys).agg(F.max_by("_lat", most).alias("clat"), F.max_by("_lon", most).alias("clon"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..session import materialize
+from ..session import broadcast_if_small, materialize
 from . import entities, matching
 
 # Postal codes of the states by full name.
@@ -60,14 +60,14 @@ PRIOR, SAME_COUNTY, OTHER_COUNTY, NEAR, FAR = -0.5, 4.0, -3.0, 6.0, -2.5
 def p1_matches(spark: SparkSession, d: str) -> DataFrame:
     """Rows with the sites that may be the same mine and the marginal probability."""
     rec = entities.resolve_records([rows_part(spark, d), sites_part(spark, d)])
-    rec = materialize(rec.select("src", "id", "state", "county", "place", "main", "own", "also", "lat", "lon", "entity"), "records")
+    rec = materialize(rec.select("src", "id", "state", "county", "place", "main", "lat", "lon", "entity"), "records")
     rows, sites = rec.where("src = 'rows'"), rec.where("src = 'sites'")
-    mid = lambda c: F.percentile_approx(c, 0.5)
-    left = rows.groupBy("entity", "state", "main", "place").agg(mid("lat").alias("ulat"), mid("lon").alias("ulon"))
+    left = entities.centres(rows, ["entity", "state", "main", "place"]).withColumnsRenamed({"clat": "ulat", "clon": "ulon"})
     # entries of one site: of a county, or of a spot where none is given
     spot = F.concat_ws(",", F.round("lat", 1), F.round("lon", 1))
     sites = sites.withColumn("vkey", F.concat_ws("|", "state", "main", F.coalesce("county", F.when(F.col("lat").isNotNull(), F.concat(F.lit("@"), spot)), F.concat(F.lit("#"), F.col("id")))))
-    right = sites.groupBy("vkey", "state", "main", "county").agg(mid("lat").alias("vlat"), mid("lon").alias("vlon"), F.max("place").alias("vplace"))
+    right = entities.centres(sites, ["vkey", "state", "main", "county"]).withColumnsRenamed({"clat": "vlat", "clon": "vlon"})
+    left, right = materialize(left, "left"), materialize(right, "right")
     pairs = left.join(right, ["state", "main"])
     km = geo.haversine_m(F.col("ulat"), F.col("ulon"), F.col("vlat"), F.col("vlon")) / 1000
     logit = (
@@ -85,8 +85,9 @@ def p1_matches(spark: SparkSession, d: str) -> DataFrame:
     edges = edges.groupBy("entity", "site").agg(F.max("logit").alias("logit"))
     found = matching.belief_propagation(edges, "entity", "site", "logit").where("p > 0.01")
     members = sites.select("vkey", F.col("id").cast("bigint").alias("dep_id")).join(lone, "vkey", "left").withColumn("site", F.coalesce("_host", "vkey"))
-    out = found.join(members.select("site", "dep_id"), "site").join(rows.select("entity", F.col("id").cast("bigint").alias("row_id")), "entity")
-    return out.select("row_id", "dep_id", "p")
+    # entities with their sites: rows meet them by a size-checked broadcast, else by a shuffle
+    linked = materialize(found.join(members.select("site", "dep_id"), "site").select("entity", "dep_id", "p"), "linked")
+    return rows.select("entity", F.col("id").cast("bigint").alias("row_id")).join(broadcast_if_small(linked, limit=1 << 20), "entity").select("row_id", "dep_id", "p")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
