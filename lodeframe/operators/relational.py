@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import materialize
+
 
 # --- first and last wins ---------------------------------------------------------------------
 
@@ -51,6 +53,7 @@ def dense_rank_where(df: DataFrame, eligible: Column, *order: Column, buckets: i
     good = df.where(eligible).repartitionByRange(buckets, *order).sortWithinPartitions(*order)
     good = good.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
     good = good.withColumn("_i", F.col("_i").bitwiseAND(F.lit((1 << 33) - 1)))
+    good = materialize(good, "ranked")  # sizes and rows must come from one and the same partitioning
     sizes = good.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     start = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_s"))  # one row a partition
     ranked = good.join(F.broadcast(start), "_p").withColumn(name, F.col("_s") + F.col("_i") + 1).drop("_p", "_i", "_s")
@@ -149,7 +152,7 @@ def id_inventory(df: DataFrame, key: str, buckets: int = 1024) -> DataFrame:
 def id_gaps(df: DataFrame, key: str) -> DataFrame:
     """Ranges of whole numbers missing between the least and greatest id: (gap_from, gap_to)."""
     d = df.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("k")).distinct()
-    d = d.repartitionByRange(8, "k").withColumn("_b", F.spark_partition_id())
+    d = materialize(d.repartitionByRange(64, "k").withColumn("_b", F.spark_partition_id()), "ids")
     w = Window.partitionBy("_b").orderBy("k")
     inner = d.select(F.lag("k").over(w).alias("p"), "k")
     ends = d.groupBy("_b").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))  # one row a partition

@@ -147,10 +147,10 @@ def j32(spark, d):
 @query(
     "j33_left_join_collected",
     """SELECT s_suppkey, len(coalesce(v.sizes, [])) AS n_sizes, array_to_string(coalesce(v.sizes, []), ',') AS sizes FROM supplier LEFT JOIN
-       (SELECT l_suppkey, list_sort(list_distinct(list(p_size))) AS sizes FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity >= 49 GROUP BY 1) v ON v.l_suppkey = s_suppkey""",
+       (SELECT l_suppkey, list_sort(list_distinct(list(p_size))) AS sizes FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1) v ON v.l_suppkey = s_suppkey""",
 )
 def j33(spark, d):
-    j = table(spark, d, "lineitem").where("l_quantity >= 49").join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    j = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
     v = j.groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.array_sort(F.collect_set("p_size")).alias("v"))
     out = table(spark, d, "supplier").join(v, "s_suppkey", "left")
     return out.select("s_suppkey", F.coalesce(F.size("v"), F.lit(0)).alias("n_sizes"), F.coalesce(F.array_join("v", ","), F.lit("")).alias("sizes"))
@@ -159,13 +159,13 @@ def j33(spark, d):
 @query(
     "j36_nearest_key_asof",
     """WITH k AS (SELECT DISTINCT price_year FROM rows_igs_b11 WHERE price_year IS NOT NULL),
-            p AS (SELECT price_year AS y, price_usd FROM metal_prices WHERE commodity = 'Ag' AND price_year % 3 = 0),
+            p AS (SELECT price_year AS y, price_usd FROM metal_prices WHERE commodity = 'Ag'),
             r AS (SELECT k.price_year, p.y, p.price_usd, row_number() OVER (PARTITION BY k.price_year ORDER BY abs(k.price_year - p.y), p.y) AS rn FROM k, p)
        SELECT row_id, x.price_year, r.y AS near_price_year, r.price_usd FROM rows_igs_b11 x LEFT JOIN r ON r.price_year = x.price_year AND rn = 1""",
 )
 def j36(spark, d):
     """Nearest year of a price table, ties to the earlier year."""
-    p = table(spark, d, "metal_prices").where("commodity = 'Ag' and price_year % 3 = 0").select(F.col("price_year").alias("y"), "price_usd")
+    p = table(spark, d, "metal_prices").where("commodity = 'Ag'").select(F.col("price_year").alias("y"), "price_usd")
     rows = table(spark, d, "rows_igs_b11").select("row_id", "price_year")
     return R.nearest_key(rows, "price_year", p, "y", ["price_usd"]).select("row_id", "price_year", F.col("near_y").alias("near_price_year"), "price_usd")
 

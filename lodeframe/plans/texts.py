@@ -232,9 +232,9 @@ def t15(spark, d):
 def t16(spark, d):
     """Score of each eval item on the documents that hold its first words (tested against brute force)."""
     it = table(spark, d, "eval_items").select("item_id", F.col("text").alias("q"), F.lower(F.substring_index("text", " ", 4)).alias("head"))
-    docs = table(spark, d, "documents").where("text is not null").select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.lower("text"), F.lit(r"(?=\b(\S+ \S+ \S+ \S+))"), F.lit(1)), lambda x: x))).alias("head"))
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?=\b(\S+ \S+ \S+ \S+))"), F.lit(1)))).alias("head"))
     j = docs.join(it, "head")
-    return j.select("item_id", "doc_id", T.quote_score(F.substring("q", 1, 200), F.col("text")).alias("score"))
+    return j.select("item_id", "doc_id", T.quote_score(F.col("q"), F.col("text")).alias("score"))
 
 
 @query("t18_weighted_terms", "SELECT doc_id, 2.0 * len(regexp_extract_all(text, 'assay')) + 1.5 * len(regexp_extract_all(text, 'ounces')) + 1.0 * len(regexp_extract_all(text, 'per cent')) AS score FROM documents WHERE text IS NOT NULL")
@@ -351,9 +351,9 @@ def n06(spark, d):
     return table(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-@query("n07_bounded_references", "SELECT src_key, len(ids) AS n, array_to_string(ids[1:19], ',') AS head, CASE WHEN len(ids) > 19 THEN sha256(array_to_string(ids, ',')) END AS rest FROM (SELECT src_key, list_sort(list(row_id)) AS ids FROM rows_igs_b11 WHERE pdf_page % 10 = 0 GROUP BY 1)")
+@query("n07_bounded_references", "SELECT src_key, len(ids) AS n, array_to_string(ids[1:19], ',') AS head, CASE WHEN len(ids) > 19 THEN sha256(array_to_string(ids, ',')) END AS rest FROM (SELECT src_key, list_sort(list(row_id)) AS ids FROM rows_igs_b11 GROUP BY 1)")
 def n07(spark, d):
-    g = table(spark, d, "rows_igs_b11").where("pdf_page % 10 = 0").groupBy("src_key").agg(F.array_sort(F.collect_list("row_id")).alias("ids"))
+    g = table(spark, d, "rows_igs_b11").groupBy("src_key").agg(F.array_sort(F.collect_list("row_id")).alias("ids"))
     n = F.size("ids")
     return g.select("src_key", n.cast("bigint").alias("n"), F.array_join(F.slice("ids", 1, 19), ",").alias("head"), F.when(n > 19, F.sha2(F.array_join("ids", ","), 256)).alias("rest"))
 
