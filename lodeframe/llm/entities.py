@@ -29,11 +29,6 @@ def _text(words: tuple[str, ...], num: int) -> str:
     return " ".join(words) + f"#{num}"
 
 
-def _split(c: Column) -> Column:
-    """The array in a part of a string that travelled."""
-    return F.when(c != "", F.split(c, _SEP)).otherwise(F.array().cast("array<string>"))
-
-
 def parse_names(name: Column, further: Column) -> Column:
     """Column of parsed names: alternatives of a name, then of an array of further names, as "tokens#number".
 
@@ -97,19 +92,24 @@ def lexicon(parsed: DataFrame) -> DataFrame:
 
 
 def resolve_names(parsed: DataFrame, lex: DataFrame) -> DataFrame:
-    """Adds ``own`` and ``also``: arrays of resolved "words#number"; a name out of reach stays as typed."""
+    """Adds ``main``, the name a record goes by, and ``others``, its further ones in one string, as "words#number".
+
+    Further names come with the main one first; a record without them goes by its own
+    name. A name out of reach stays as typed.
+    """
     lex = materialize(lex, "lexicon")
     total = lex.count()
     blocks = max(1, -(-total // LEXICON_BLOCK))
 
     def resolver(block: int):
-        """What a block of the lexicon makes of each name: "score words#number", or what came from the blocks before."""
+        """What this block of the lexicon and those before make of each name, as "score words#number"; the last one decides."""
         part = lex.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == block)
         entries = [(tuple(r.words.split(" ")), r.n) for r in part.collect()]  # at most about LEXICON_BLOCK names
+        last = block == blocks - 1
 
         @F.pandas_udf("string")
         def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-            lexi, memo = N.Lexicon(entries), {}
+            lexi, memo, whole = N.Lexicon(entries), {}, {}
 
             def one(p: str) -> str:
                 if not p:
@@ -123,48 +123,59 @@ def resolve_names(parsed: DataFrame, lex: DataFrame) -> DataFrame:
                     m = memo[words] = f"{hit[0][0] + 1000:016.9f}" + " ".join(lexi.names[hit[0][1]]) if hit else ""
                 return f"{m}#{num}" if m else ""
 
-            whole: dict[str, str] = {}
+            def best(names: str, before: str | None) -> list[list[str]]:
+                new = [[one(p) for p in part.split(_SEP)] for part in names.split(_PART)]
+                if before:
+                    old = [part.split(_SEP) for part in before.split(_PART)]
+                    new = [[min(filter(None, xy), default="") for xy in zip(x, y)] for x, y in zip(new, old)]
+                return new
+
+            def typed(p: str) -> str:
+                words, _, num = p.rpartition("#")
+                return " ".join(sorted(map(N.stem, words.split(" ")))) + f"#{num}"
 
             def each(names: str, before: str | None) -> str:
-                if not before:
-                    out = whole.get(names)
-                    if out is None:
-                        if len(whole) > 100_000:
-                            whole.clear()
-                        out = whole[names] = _PART.join(_SEP.join(map(one, part.split(_SEP))) for part in names.split(_PART))
-                    return out
-                new = [[one(p) for p in part.split(_SEP)] for part in names.split(_PART)]
-                old = [part.split(_SEP) for part in before.split(_PART)]
-                new = [[min(filter(None, xy), default="") for xy in zip(x, y)] for x, y in zip(new, old)]
-                return _PART.join(_SEP.join(x) for x in new)
+                scored = best(names, before)
+                if not last:
+                    return _PART.join(_SEP.join(x) for x in scored)
+                own, also = ([x[16:] for x in part if x] for part in scored)
+                if not own:
+                    own = [typed(p) for p in names.split(_PART)[0].split(_SEP) if p]
+                known = list(dict.fromkeys(also + own))
+                return known[0] + _PART + _SEP.join(known[1:]) if known else ""
 
             for a, b in parts:
-                yield pd.Series([each(x, y) for x, y in zip(a, b)])
+                out = []
+                for x, y in zip(a, b):
+                    r = whole.get(x) if y is None else each(x, y)
+                    if r is None:
+                        if len(whole) > 100_000:
+                            whole.clear()
+                        r = whole[x] = each(x, None)
+                    out.append(r)
+                yield pd.Series(out)
 
         return run
 
     out = parsed.withColumn("_best", F.lit(None).cast("string"))
     for b in range(blocks):
         out = out.withColumn("_best", resolver(b)("names", "_best"))
-    hits = lambda i: F.transform(F.filter(F.split(F.split_part("_best", F.lit(_PART), F.lit(i)), _SEP), lambda x: x != ""), lambda x: F.substring(x, 17, 10_000))
-    typed = _split(F.split_part("names", F.lit(_PART), F.lit(1)))
-    plain = F.transform(typed, lambda p: F.concat(_stems(p), F.lit("#"), F.substring_index(p, "#", -1)))
-    out = out.withColumn("own", hits(1)).withColumn("also", hits(2))
-    return out.withColumn("own", F.when(F.size("own") > 0, F.col("own")).otherwise(plain)).drop("_best", "names")
+    main = F.nullif(F.split_part("_best", F.lit(_PART), F.lit(1)), F.lit(""))
+    return out.withColumn("main", main).withColumn("others", F.split_part("_best", F.lit(_PART), F.lit(2))).drop("_best", "names")
 
 
 def plain_place(c: Column) -> Column:
-    """A county or district in plain form; null where blank."""
-    s = F.lower(F.trim(F.regexp_replace(c, r"\([^)]*\)?", " ")))
-    s = F.trim(F.regexp_replace(s, r"\s+(co|county|parish|borough|mining district|mng\.? dist|district|dist)\.?\s*$", ""))
-    return F.nullif(F.regexp_replace(s, r"\s+", " "), F.lit(""))
+    """A county or district in plain form; null where blank. Patterns run only on texts they can change."""
+    s = F.lower(F.trim(F.when(c.contains("("), F.regexp_replace(c, r"\([^)]*\)?", " ")).otherwise(c)))
+    kind = F.regexp_replace(F.trim(F.regexp_replace(s, r"\s+(co|county|parish|borough|mining district|mng\.? dist|district|dist)\.?\s*$", "")), r"\s+", " ")
+    return F.nullif(F.translate(F.when(s.rlike(r"\s"), kind).otherwise(s), "|", "/"), F.lit(""))  # a bar parts an entity's key
 
 
 def place_map(records: DataFrame, place: str) -> DataFrame:
     """Typed places of a state with the supported spelling they stand for: (state, place, target)."""
     counts = materialize(records.where(F.col(place).isNotNull()).groupBy("state", F.col(place).alias("place")).agg(F.count(F.lit(1)).alias("n")), "places")
     full = counts.where(~F.col("place").endswith("."))
-    slips = N.slip_map(full, "place", "n", ["state"], ratio=3.0)
+    slips = N.slip_map(full, "place", "n", ["state"], ratio=3.0, two_from=10_000)  # typed places are a slip away
     kept = full.join(slips, ["state", "place"], "left_anti")
     cut = counts.where(F.col("place").endswith(".")).select("state", "place", F.regexp_replace("place", r"\.$", "").alias("_p")).where(F.length("_p") >= 3)
     heads = kept.select("state", F.col("place").alias("_full"), F.col("n").alias("_m"), F.substring("place", 1, 3).alias("_h"))
@@ -195,31 +206,30 @@ def _close(lat: Column, lon: Column, mlat: Column, mlon: Column) -> Column:
     return F.coalesce(F.when(d <= 9, 4.0).when(d <= 144, 1.0).when(d >= 2025, -2.5), F.lit(0.0))
 
 
-def resolve_records(parts: list[DataFrame]) -> DataFrame:
+def resolve_records(parts: list[DataFrame], carry: list[str] | None = None) -> DataFrame:
     """One table of all records with resolved names and places and their entity.
 
     Each part has columns src, id (string), name, further (array<string>), state,
-    county, district, lat, lon. Adds own, also (resolved names), ``main`` (the name
-    the record goes by), ``place`` (county of the entity, null if undecided) and
-    ``entity``. Records without a name or state have no entity. Extra columns are dropped.
+    county, district, lat, lon. Adds ``main`` (the name the record goes by),
+    ``others`` (its further names in one string), ``place`` (county of the entity,
+    null if undecided) and ``entity``. Records without a name or state have no entity. Extra columns are
+    dropped but for those to ``carry``.
     """
-    cols = ["src", "id", "name", "further", "state", "county", "district", "lat", "lon"]
+    carry = carry or []
+    cols = ["src", "id", "name", "further", "state", "county", "district", "lat", "lon", *carry]
     rec = reduce(lambda a, b: a.unionByName(b), [p.select(*cols) for p in parts])
     ok = geo.valid_point(F.col("lat"), F.col("lon")) & ~((F.abs("lat") < 0.01) & (F.abs("lon") < 0.01))
     rec = rec.select(
-        "src", "id", F.upper(F.trim("state")).alias("state"), plain_place(F.col("county")).alias("county"), plain_place(F.col("district")).alias("district"),
+        "src", "id", *carry, F.upper(F.trim("state")).alias("state"), plain_place(F.col("county")).alias("county"), plain_place(F.col("district")).alias("district"),
         F.when(ok, F.col("lat")).alias("lat"), F.when(ok, F.col("lon")).alias("lon"), parse_names(F.col("name"), F.coalesce("further", F.array().cast("array<string>"))).alias("names"),
     )
     rec = materialize(rec, "parsed")
     rec = resolve_names(with_places(rec), lexicon(rec))
-    # further names come with the main one first; a record without them goes by its own name
-    main = F.coalesce(F.try_element_at("also", F.lit(1)), F.try_element_at("own", F.lit(1)))
-    rec = materialize(rec.withColumn("main", main).where("main is not null and state is not null"), "resolved")
+    rec = materialize(rec.where("main is not null and state is not null"), "resolved")
 
     # a further name of a county's working stands for the name that its records put first
-    more = (F.size("also") > 1) | (F.size("own") > 1) | (F.col("own")[0] != F.col("main"))
-    pairs = rec.where(F.col("county").isNotNull() & more).select("state", "county", "main", F.explode(F.array_union("own", "also")).alias("alias"))
-    alias = pairs.where("alias <> main").groupBy("state", "county", "alias", "main").agg(F.count(F.lit(1)).alias("n"))
+    pairs = rec.where((F.col("others") != "") & F.col("county").isNotNull()).select("state", "county", "main", F.explode(F.split("others", _SEP)).alias("alias"))
+    alias = pairs.groupBy("state", "county", "alias", "main").agg(F.count(F.lit(1)).alias("n"))
     alias = alias.groupBy("state", "county", "alias").agg(F.max_by("main", F.struct("n", "main")).alias("_to"), F.max("n").alias("_as"))
     by_main = rec.where("county is not null").groupBy("state", "county", "main").agg(F.count(F.lit(1)).alias("_own"))
     alias = alias.join(by_main.withColumnRenamed("main", "alias"), ["state", "county", "alias"], "left").where("_own is null or _own < 3 * _as + 3")

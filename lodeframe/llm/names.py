@@ -305,7 +305,8 @@ def slip_map(tokens: DataFrame, token: str, n: str, block: list[str] | None = No
     most = 1 if two_from > 1000 else 2
     rare = keyed.select(*block, "_k", "_t", "_n")
     often = keyed.where(F.col("_n") >= ratio).select(*block, "_k", F.col("_t").alias("_f"), F.col("_n").alias("_m"))
-    pairs = rare.join(often, [*block, "_k"]).where((F.col("_m") >= F.col("_n") * ratio) & (F.col("_t") != F.col("_f")))
+    # not broadcast: the exploded keys are many times what Catalyst estimates
+    pairs = rare.join(often.hint("shuffle_hash"), [*block, "_k"]).where((F.col("_m") >= F.col("_n") * ratio) & (F.col("_t") != F.col("_f")))
     pairs = pairs.where(F.abs(F.length("_t") - F.length("_f")) <= most).select(*block, "_t", "_f", "_m").distinct()
     pairs = pairs.withColumn("_d", F.levenshtein("_t", "_f", 2)).where("_d >= 0")
     swap = F.array_sort(F.split("_t", "")) == F.array_sort(F.split("_f", ""))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -22,9 +22,9 @@ STATES = dict(
 )
 
 
-def rows_part(spark: SparkSession, d: str) -> DataFrame:
+def rows_part(spark: SparkSession, d: str, *more: Column) -> DataFrame:
     return spark.read.parquet(f"{d}/rows_igs_b11.parquet").select(
-        F.lit("rows").alias("src"), F.col("row_id").cast("string").alias("id"), "name", F.col("keys").alias("further"), "state", "county", "district", "lat", "lon"
+        F.lit("rows").alias("src"), F.col("row_id").cast("string").alias("id"), "name", F.col("keys").alias("further"), "state", "county", "district", "lat", "lon", *more
     )
 
 

@@ -16,23 +16,23 @@ def passage_key(quote: Column) -> Column:
 
     Digits within words are noise. A passage without numbers is told by its letters.
     """
-    text = F.regexp_replace(quote, r"\s+", " ")
-    numbers = F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\d.])(\d+(?:,\d{3})*(?:\.\d+)?[¼½¾]?|[¼½¾])(?![\p{L}\d])"), F.lit(1))
+    numbers = F.regexp_extract_all(quote, F.lit(r"(?<![\p{L}\d.])(\d+(?:,\d{3})*(?:\.\d+)?[¼½¾]?|[¼½¾])(?![\p{L}\d])"), F.lit(1))
     return F.when(F.size(numbers) > 0, F.array_join(numbers, " ")).otherwise(F.lower(F.regexp_replace(quote, r"[^\p{L}]+", "")))
 
 
 def p6_records(spark: SparkSession, d: str, singles: bool = True) -> DataFrame:
     """Groups of rows with one passage about one mine: best row and voted fields."""
-    rec = entities.resolve_records([rows_part(spark, d)]).select(F.col("id").cast("bigint").alias("row_id"), "state", "main", "place")
     rows = spark.read.parquet(f"{d}/rows_igs_b11.parquet")
-    sources = spark.read.parquet(f"{d}/source_list.parquet").groupBy(survivors.source_key(F.col("src_key")).alias("_src")).agg(F.min("trust_rank").alias("_rank"))
-    rows = rows.select("row_id", "extracted_at", survivors.source_key(F.col("src_key")).alias("_src"), passage_key(F.col("quote")).alias("_passage"), *FIELDS)
-    rows = rows.join(F.broadcast(sources), "_src", "left").join(rec, "row_id")  # tens of sources
+    part = rows_part(spark, d, passage_key(F.col("quote")).alias("_passage"))
+    rec = entities.resolve_records([part], ["_passage"]).select(F.col("id").cast("bigint").alias("row_id"), "state", "main", "place", "_passage")
     # one number alone may recur in other passages of the name: the county decides too
-    rows = rows.withColumn("_where", F.when(F.col("_passage").contains(" "), F.lit("")).otherwise(F.coalesce("place", F.lit("?"))))
+    rec = rec.withColumn("_where", F.when(F.col("_passage").contains(" "), F.lit("")).otherwise(F.coalesce("place", F.lit("?"))))
+    sources = spark.read.parquet(f"{d}/source_list.parquet").groupBy(survivors.source_key(F.col("src_key")).alias("_src")).agg(F.min("trust_rank").alias("_rank"))
+    with_rank = lambda df: df.withColumn("_src", survivors.source_key(F.col("src_key"))).join(F.broadcast(sources), "_src", "left")  # noqa: E731 - tens of sources
     return survivors.best_representatives(
-        rows, ["state", "main", "_where", "_passage"], "row_id", FIELDS, 1.0 / F.col("_rank"), F.col("_rank"), F.col("extracted_at"), singles=singles
-    )
+        rows.select("row_id", "extracted_at", "src_key", *FIELDS), ["state", "main", "_where", "_passage"], "row_id", FIELDS,
+        1.0 / F.col("_rank"), F.col("_rank"), F.col("extracted_at"), singles=singles, groups=rec, prepare=with_rank,
+    )
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

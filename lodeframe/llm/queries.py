@@ -2,16 +2,8 @@
 
 from __future__ import annotations
 
-from importlib import import_module
+from . import q_canonical, q_encoding, q_leakage, q_names, q_packing, q_survivors
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-for _name in ("q_encoding", "q_canonical", "q_names", "q_survivors", "q_packing", "q_leakage"):
-    try:
-        _m = import_module(f".{_name}", __package__)
-    except ModuleNotFoundError as e:
-        if not str(e.name or "").endswith(_name):
-            raise
-        continue
-    QUERIES |= _m.QUERIES
-    ORACLE |= _m.ORACLE
+MODULES = [q_names, q_canonical, q_survivors, q_packing, q_leakage, q_encoding]
+QUERIES: dict = {k: f for m in MODULES for k, f in m.QUERIES.items()}
+ORACLE: dict[str, str] = {k: s for m in MODULES for k, s in m.ORACLE.items()}

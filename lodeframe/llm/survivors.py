@@ -7,6 +7,8 @@ max_by and pivoted back. Along with it comes the best single record of the group
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,12 +16,13 @@ from ..session import broadcast_if_small, materialize
 
 # Entries that fill nothing.
 PLACEHOLDERS = ["n/a", "na", "n.a.", "not given", "not stated", "not reported", "not recorded", "unknown", "none", "nil", "null", "no data", "illegible", "tbd"]
+_TIGHT = [p.replace(" ", "") for p in PLACEHOLDERS]
 
 
 def filled(c: Column) -> Column:
     """True where a value says something: not null, blank, a placeholder or a lone mark."""
-    s = F.lower(F.trim(F.regexp_replace(c.cast("string"), r"[\s ]+", " ")))
-    return F.coalesce(s.rlike(r"[\p{L}\p{N}]") & ~s.isin(*PLACEHOLDERS), F.lit(False))
+    s = F.translate(F.lower(c.cast("string")), " \t\n\r\u00a0", "")
+    return F.coalesce(s.rlike(r"[\p{L}\p{N}]") & ~s.isin(*_TIGHT), F.lit(False))
 
 
 def plain(c: Column) -> Column:
@@ -34,7 +37,17 @@ def source_key(c: Column) -> Column:
 
 
 def best_representatives(
-    records: DataFrame, group: list[str], key: str, fields: list[str], trust: Column, rank: Column, when: Column, half_life_days: float = 730.0, singles: bool = True
+    records: DataFrame,
+    group: list[str],
+    key: str,
+    fields: list[str],
+    trust: Column,
+    rank: Column,
+    when: Column,
+    half_life_days: float = 730.0,
+    singles: bool = True,
+    groups: DataFrame | None = None,
+    prepare: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> DataFrame:
     """One row for each group: ``n`` records, ``best`` (the key of the best record) and the winning value of each field.
 
@@ -44,27 +57,42 @@ def best_representatives(
     them. Records with a null in ``group`` belong to no group. Without ``singles``
     only groups of two or more come out. A group may be of any size: everything is
     aggregated partially, no list of members is built. Empty tables give none.
+
+    The ``group`` columns are those of ``records``, or of the narrow table ``groups``
+    (key and group columns), where keys must be unique on both sides; then
+    only the records of groups of two or more are read in full, and ``prepare`` may
+    add to those what ``trust``, ``rank`` and ``when`` need.
     """
-    g = F.xxhash64(*group)
-    count = [filled(F.col(f)).cast("int") for f in fields]
+    narrow = groups if groups is not None else records
+    g = F.xxhash64(*[F.col(c).cast("string") for c in group])
+    known = F.lit(True)
+    for c in group:
+        known = known & F.col(c).isNotNull()
+    ids = materialize(narrow.where(known).select(F.col(key), g.alias("_g")), "ids")
+    sizes = materialize(ids.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "sizes")
     age = F.unix_micros(when.cast("timestamp")) / F.lit(86_400e6)
     weight = F.coalesce(trust, F.lit(0.01)) * F.pow(F.lit(2.0), F.coalesce(age - 18_262, F.lit(-7000.0)) / half_life_days)
-    order = F.struct(sum(count[1:], count[0]).alias("filled"), F.coalesce(-rank.cast("double"), F.lit(-1e18)).alias("rank"), F.coalesce(age, F.lit(-1e9)).alias("at"), (-F.col(key)).alias("key"))
-    src = records.where(F.concat(*[F.col(x).cast("string") for x in group]).isNotNull())
-    src = src.select(g.alias("_g"), *[F.col(f).cast("string").alias(f) for f in fields], weight.alias("_w"), order.alias("_o"))
-    src = materialize(src, "members")
-    sizes = materialize(src.groupBy("_g").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
-    many = src.join(broadcast_if_small(sizes), "_g")
+    values = [F.when(filled(F.col(f)), F.col(f).cast("string")).alias(f"_v{i}") for i, f in enumerate(fields)]
+    count = [F.col(f"_v{i}").isNotNull().cast("int") for i in range(len(fields))]
+    order = F.struct(sum(count[1:], count[0]).alias("filled"), F.col("_rank").alias("rank"), F.col("_at").alias("at"), (-F.col(key)).alias("key"))
+    if groups is not None:
+        members = materialize(ids.join(broadcast_if_small(sizes, limit=1 << 20), "_g"), "members")
+        src = records.join(broadcast_if_small(members, limit=1 << 20), key)
+    else:
+        src = records.where(known).withColumn("_g", g).join(broadcast_if_small(sizes, limit=1 << 20), "_g")
+    src = prepare(src).select("_g", "_n", key, weight.alias("_w"), F.coalesce(-rank.cast("double"), F.lit(-1e18)).alias("_rank"), F.coalesce(age, F.lit(-1e9)).alias("_at"), *values)
+    many = src.select("_g", "_n", "_w", order.alias("_o"), *[f"_v{i}" for i in range(len(fields))])
 
     # one long row for each filled field, and one for the record itself
-    entries = [F.when(filled(F.col(f)), F.struct(F.lit(i).alias("field"), plain(F.col(f)).alias("norm"), F.col(f).alias("value"))) for i, f in enumerate(fields)]
+    entries = [F.when(F.col(f"_v{i}").isNotNull(), F.struct(F.lit(i).alias("field"), plain(F.col(f"_v{i}")).alias("norm"), F.col(f"_v{i}").alias("value"))) for i in range(len(fields))]
     record = F.struct(F.lit(-1).alias("field"), F.lit("").alias("norm"), F.lit(None).cast("string").alias("value"))
-    long = many.select("_g", "n", "_w", "_o", F.inline(F.array_compact(F.array(record, *entries))))
-    votes = long.groupBy("_g", "field", "norm").agg(F.sum("_w").alias("v"), F.max("_o").alias("o"), F.max_by("value", "_o").alias("value"), F.max("n").alias("n"))
+    long = many.select("_g", "_n", "_w", "_o", F.inline(F.array_compact(F.array(record, *entries))))
+    votes = long.groupBy("_g", "field", "norm").agg(F.sum("_w").alias("v"), F.max("_o").alias("o"), F.max_by("value", "_o").alias("value"), F.max("_n").alias("_n"))
     wins = [F.max_by("value", F.when(F.col("field") == i, F.struct("v", "o"))).alias(f) for i, f in enumerate(fields)]
-    out = votes.groupBy("_g").agg(F.max("n").alias("n"), (-F.max("o")["key"]).alias("best"), *wins)
+    out = votes.groupBy("_g").agg(F.max("_n").alias("n"), (-F.max("o")["key"]).alias("best"), *wins)
     if singles:
-        alone = src.join(broadcast_if_small(sizes.select("_g")), "_g", "left_anti")
-        alone = alone.select("_g", F.lit(1).cast("bigint").alias("n"), (-F.col("_o.key")).alias("best"), *[F.when(filled(F.col(f)), F.col(f)).alias(f) for f in fields])
+        alone = ids.join(broadcast_if_small(sizes.select("_g"), limit=1 << 20), "_g", "left_anti")
+        alone = alone.join(records.select(key, *fields), key) if groups is not None else records.where(known).withColumn("_g", g).join(broadcast_if_small(sizes.select("_g"), limit=1 << 20), "_g", "left_anti")
+        alone = alone.select("_g", F.lit(1).cast("bigint").alias("n"), F.col(key).alias("best"), *[F.when(filled(F.col(f)), F.col(f).cast("string")).alias(f) for f in fields])
         out = out.unionByName(alone)
     return out.withColumnRenamed("_g", "group_key")
