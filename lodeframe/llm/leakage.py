@@ -66,9 +66,21 @@ def fingerprints(ws: list[str], k: int = K, w: int = W, ids: dict | None = None)
     else:
         win = np.lib.stride_tricks.sliding_window_view(h, w)
         at = np.unique(np.arange(n - w + 1) + win.argmin(axis=1))
+        if (h[at][1:] == h[at][:-1]).any():
+            at = _robust(h.tolist(), w)
     return h[at].astype(np.int64), at.astype(np.int64)
 
 
+def _robust(h: list[int], w: int) -> np.ndarray:
+    """Winnowing where equal hashes repeat: a window keeps the one chosen last while it holds it, so runs don't multiply."""
+    out = [-1]
+    for i in range(len(h) - w + 1):
+        low = min(h[i : i + w])
+        if out[-1] < i or h[out[-1]] != low:
+            out.append(i + w - 1 - h[i : i + w][::-1].index(low))
+    return np.array(out[1:])
+
+
 def same_word(a: str, b: str) -> bool:
     """Whether two words are equal but for a slip of the scan (two in words of eight letters or more)."""
     if a == b:

@@ -118,6 +118,14 @@ def test_winnowing_guarantee():
     assert len(leakage.fingerprints(["a"] * leakage.K)[0]) == 1
 
 
+def test_winnowing_of_repeats():
+    for text in (["a"] * 1000, ["a", "b"] * 500, (["x"] * 7 + ["y"]) * 100):
+        h, at = leakage.fingerprints(text)
+        assert len(at) <= len(text) / 2 and (np.diff(at) <= leakage.W).all() and at[0] < leakage.W
+    long, short = ["q"] * 3 + ["a"] * 50 + ["r"] * 3, ["s"] * 5 + ["a"] * 9 + ["t"] * 4
+    assert set(leakage.fingerprints(long)[0].tolist()) & set(leakage.fingerprints(short)[0].tolist())
+
+
 def test_leaks(spark):
     rnd = random.Random(7)
     voc = [f"word{i}x" for i in range(400)]
