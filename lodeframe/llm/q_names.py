@@ -60,9 +60,11 @@ PRIOR, SAME_COUNTY, OTHER_COUNTY, NEAR, FAR = -0.5, 4.0, -3.0, 6.0, -2.5
 def p1_matches(spark: SparkSession, d: str) -> DataFrame:
     """Rows with the sites that may be the same mine and the marginal probability."""
     rec = entities.resolve_records([rows_part(spark, d), sites_part(spark, d)])
-    rec = materialize(rec.select("src", "id", "state", "county", "place", "main", "lat", "lon", "entity"), "records")
-    rows, sites = rec.where("src = 'rows'"), rec.where("src = 'sites'")
-    left = entities.centres(rows, ["entity", "state", "main", "place"]).withColumnsRenamed({"clat": "ulat", "clon": "ulon"})
+    rec = materialize(rec.select("src", "id", "county", "lat", "lon", "entity"), "records")
+    # an entity is "state|county or ?|name"
+    state, place, main = (F.split_part("entity", F.lit("|"), F.lit(i)).alias(n) for i, n in ((1, "state"), (2, "place"), (3, "main")))
+    rows, sites = rec.where("src = 'rows'"), rec.where("src = 'sites'").select("id", "county", "lat", "lon", state, main)
+    left = entities.centres(rows, ["entity"]).select("entity", F.col("clat").alias("ulat"), F.col("clon").alias("ulon"), state, F.nullif(place, F.lit("?")).alias("place"), main)
     # entries of one site: of a county, or of a spot where none is given
     spot = F.concat_ws(",", F.round("lat", 1), F.round("lon", 1))
     sites = sites.withColumn("vkey", F.concat_ws("|", "state", "main", F.coalesce("county", F.when(F.col("lat").isNotNull(), F.concat(F.lit("@"), spot)), F.concat(F.lit("#"), F.col("id")))))

@@ -16,7 +16,7 @@ def passage_key(quote: Column) -> Column:
 
     Digits within words are noise. A passage without numbers is told by its letters.
     """
-    numbers = F.regexp_extract_all(quote, F.lit(r"(?<![\p{L}\d.])(\d+(?:,\d{3})*(?:\.\d+)?[¼½¾]?|[¼½¾])(?![\p{L}\d])"), F.lit(1))
+    numbers = F.regexp_extract_all(quote, F.lit(r"(?=[\d¼½¾])(?<![\p{L}\d.])(\d+(?:,\d{3})*(?:\.\d+)?[¼½¾]?|[¼½¾])(?![\p{L}\d])"), F.lit(1))
     return F.when(F.size(numbers) > 0, F.array_join(numbers, " ")).otherwise(F.lower(F.regexp_replace(quote, r"[^\p{L}]+", "")))
 
 
