@@ -76,7 +76,7 @@ def lexicon(parsed: DataFrame) -> DataFrame:
     Left out are clipped names, names that are a much rarer slip of another, and
     names that are another one written without spaces.
     """
-    both = F.split(F.regexp_replace("names", _PART, _SEP), _SEP)
+    both = F.split("names", f"[{_PART}{_SEP}]")
     typed = parsed.select(F.explode(F.array_distinct(both)).alias("p")).where((F.col("p") != "") & ~F.col("p").contains("."))
     counts = typed.groupBy(_stems(F.col("p")).alias("words")).agg(F.count(F.lit(1)).alias("n"))
     counts = materialize(counts.where(F.length("words") >= 3), "names")
@@ -235,8 +235,6 @@ def resolve_records(parts: list[DataFrame], carry: list[str] | None = None) -> D
     alias = alias.join(by_main.withColumnRenamed("main", "alias"), ["state", "county", "alias"], "left").where("_own is null or _own < 3 * _as + 3")
     alias = materialize(alias.select("state", "county", F.col("alias").alias("main"), "_to"), "alias")
     rec = rec.join(broadcast_if_small(alias, limit=1 << 20), ["state", "county", "main"], "left").withColumn("main", F.coalesce("_to", "main")).drop("_to")
-    any_alias = alias.groupBy("state", "main").agg(F.min("_to").alias("_one"), F.max("_to").alias("_k")).where("_k = _one")
-    any_alias = materialize(any_alias, "alias")
 
     # entities with their weight, district and centre; a record does not vouch for itself
     known = rec.where("county is not null")
@@ -245,6 +243,11 @@ def resolve_records(parts: list[DataFrame], carry: list[str] | None = None) -> D
         F.count(F.lit(1)).alias("_n"), F.avg("lat").alias("_lat"), F.avg("lon").alias("_lon"), F.max((F.col("src") == "reviewed").cast("int")).alias("sure")
     )
     spots = materialize(spots, "spots")
+    # a record without a county that goes by a further name alone: the name it stands for, if there is one in the state
+    lone = alias.groupBy("state", "main").agg(F.min("_to").alias("_one"), F.max("_to").alias("_max")).where("_one = _max")
+    lone = materialize(lone.select("state", "main", "_one").join(spots.select("state", "main").distinct(), ["state", "main"], "left_anti"), "lone")
+    rec = rec.join(broadcast_if_small(lone, limit=1 << 20), ["state", "main"], "left")
+    rec = rec.withColumn("main", F.when(F.col("county").isNull(), F.coalesce("_one", "main")).otherwise(F.col("main"))).drop("_one")
     key = ["state", "main", "county"]
     centre = spots.groupBy(*key).agg(F.sum("_n").alias("n"), F.max("sure").alias("sure"))
     most = F.struct("_n", "_y", "_x")
@@ -259,7 +262,7 @@ def resolve_records(parts: list[DataFrame], carry: list[str] | None = None) -> D
     best = lambda o: F.array_max(F.transform(near(o), lambda q: F.struct(q["sure"], q["n"], q["county"])))["county"]
     options = options.withColumn("opts", F.transform("opts", lambda o: o.withField("to", best(o))))
     options = materialize(options, "options")
-    rec = rec.join(broadcast_if_small(options, limit=1 << 20), ["state", "main"], "left")
+    rec = rec.join(broadcast_if_small(options, limit=4 << 20), ["state", "main"], "left")
     own = options.select("state", "main", F.inline("opts")).select("state", "main", "county", F.col("n").alias("_n"), F.col("mdist").alias("_d"), F.col("to").alias("_to"))
     rec = rec.join(broadcast_if_small(materialize(own, "own"), limit=1 << 20), ["state", "main", "county"], "left")
     agreed = F.coalesce((F.col("_n") > 1) & (F.col("_d") == F.col("district")), F.lit(False))
@@ -280,8 +283,6 @@ def resolve_records(parts: list[DataFrame], carry: list[str] | None = None) -> D
     # a record placed now may go by a further name of its county
     late = alias.withColumnsRenamed({"county": "place"})
     rec = rec.join(broadcast_if_small(late, limit=1 << 20), ["state", "place", "main"], "left").withColumn("main", F.coalesce("_to", "main")).drop("_to")
-    rec = rec.join(broadcast_if_small(any_alias, limit=1 << 20), ["state", "main"], "left")
-    rec = rec.withColumn("main", F.when(F.col("place").isNull(), F.coalesce("_one", "main")).otherwise(F.col("main"))).drop("_one", "_k")
     return rec.withColumn("entity", F.concat_ws("|", "state", F.coalesce("place", F.lit("?")), "main"))
 
 
