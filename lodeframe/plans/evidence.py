@@ -26,7 +26,7 @@ _D = "districts WHERE lat IS NOT NULL AND lon IS NOT NULL"
     """WITH a AS (SELECT mine_id, state, county, lower(split_part(name, ' ', 1)) AS w, district FROM reviewed_grade_evidence), b AS (SELECT row_id, state AS rs, county AS rc, lower(split_part(name, ' ', 1)) AS rw, district AS rd FROM rows_igs_b11),
             p AS (SELECT mine_id, row_id, (state = rs AND w = rw AND coalesce(county = rc, false)) AS same_county, coalesce(district = rd, false) AS same_district,
                          (coalesce(state || '|' || county || '|' || w = rs || '|' || rc || '|' || rw, false))::INT + 2 * (coalesce(state || '|' || district || '|' || w = rs || '|' || rd || '|' || rw, false))::INT AS msk FROM a JOIN b ON state = rs AND w = rw),
-            s AS (SELECT mine_id, row_id, round((msk % 2) * 0.6 + (msk // 2) * 0.5, 3) AS score FROM p WHERE msk > 0),
+            s AS (SELECT mine_id, row_id, round(CAST((msk % 2) * 0.6 + (msk // 2) * 0.5 AS DOUBLE), 3) AS score FROM p WHERE msk > 0),
             r AS (SELECT *, row_number() OVER (PARTITION BY mine_id ORDER BY score DESC, row_id) AS rank FROM s WHERE score >= 0.5)
        SELECT mine_id, row_id, score, rank FROM r WHERE rank <= 3""",
 )
@@ -131,7 +131,7 @@ def t21(spark, d):
     return t.select("row_id", "pos", "q.element", "q.low", "q.high", "q.unit")
 
 
-@query("t33_factor_table", "SELECT * FROM (VALUES ('oz/short', 34.2857), ('oz/long', 30.6122), ('g/metric', 1.0), ('pct', 10000.0), ('ppb', 0.001)) v(unit, g_per_t)")
+@query("t33_factor_table", "SELECT unit, CAST(g AS DOUBLE) AS g_per_t FROM (VALUES ('oz/short', 34.2857), ('oz/long', 30.6122), ('g/metric', 1.0), ('pct', 10000.0), ('ppb', 0.001)) v(unit, g)")
 def t33(spark, d):
     t = spark.createDataFrame(conversion_rows(), "unit string, g_per_t double")
     return t.where(F.col("unit").isin("oz/short", "oz/long", "g/metric", "pct", "ppb")).select("unit", F.round("g_per_t", 4).alias("g_per_t"))
@@ -162,7 +162,7 @@ def g10(spark, d):
     return t.select("district_id", F.size("m").alias("n_polygons"), F.aggregate("m", F.lit(0), lambda a, p: a + F.size(p)).alias("n_rings"))
 
 
-@query("g11_dateline_unwrap", f"SELECT district_id, 0.4 AS width FROM {_D}")
+@query("g11_dateline_unwrap", f"SELECT district_id, CAST(0.4 AS DOUBLE) AS width FROM {_D}")
 def g11(spark, d):
     w = lambda v: F.pmod(v + 180, F.lit(360.0)) - 180
     ring = S.ring(*[(w(F.lit(179.9) + dx), F.col("lat") + dy) for dx, dy in ((0, 0), (0.4, 0), (0.4, 0.1), (0, 0.1))])

@@ -223,7 +223,7 @@ def t14(spark, d):
     return table(spark, d, "mrds_sites").select("dep_id", F.coalesce(F.try_element_at(lookup, F.lower(F.trim("dev_stat"))), F.lit("U")).alias("code"))
 
 
-@query("t15_max_token_weight", "SELECT dep_id, greatest(CASE WHEN regexp_matches(lower(commod1), '(^|[^a-z])gold($|[^a-z])') THEN 3.0 ELSE 0.0 END, CASE WHEN regexp_matches(lower(commod1), '(^|[^a-z])silver($|[^a-z])') THEN 2.0 ELSE 0.0 END, CASE WHEN regexp_matches(lower(commod1), '(^|[^a-z])lead($|[^a-z])') THEN 1.0 ELSE 0.0 END) AS w FROM mrds_sites WHERE commod1 IS NOT NULL")
+@query("t15_max_token_weight", "SELECT dep_id, CAST(greatest(CASE WHEN regexp_matches(lower(commod1), '(^|[^a-z])gold($|[^a-z])') THEN 3.0 ELSE 0.0 END, CASE WHEN regexp_matches(lower(commod1), '(^|[^a-z])silver($|[^a-z])') THEN 2.0 ELSE 0.0 END, CASE WHEN regexp_matches(lower(commod1), '(^|[^a-z])lead($|[^a-z])') THEN 1.0 ELSE 0.0 END) AS DOUBLE) AS w FROM mrds_sites WHERE commod1 IS NOT NULL")
 def t15(spark, d):
     return table(spark, d, "mrds_sites").where("commod1 is not null").select("dep_id", T.max_token_weight(F.col("commod1"), {"gold": 3.0, "silver": 2.0, "lead": 1.0}).alias("w"))
 
@@ -237,7 +237,7 @@ def t16(spark, d):
     return j.select("item_id", "doc_id", T.quote_score(F.col("q"), F.col("text")).alias("score"))
 
 
-@query("t18_weighted_terms", "SELECT doc_id, 2.0 * len(regexp_extract_all(text, 'assay')) + 1.5 * len(regexp_extract_all(text, 'ounces')) + 1.0 * len(regexp_extract_all(text, 'per cent')) AS score FROM documents WHERE text IS NOT NULL")
+@query("t18_weighted_terms", "SELECT doc_id, CAST(2.0 * len(regexp_extract_all(text, 'assay')) + 1.5 * len(regexp_extract_all(text, 'ounces')) + 1.0 * len(regexp_extract_all(text, 'per cent')) AS DOUBLE) AS score FROM documents WHERE text IS NOT NULL")
 def t18(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", T.weighted_count(F.col("text"), {"assay": 2.0, "ounces": 1.5, "per cent": 1.0}).alias("score"))
 
