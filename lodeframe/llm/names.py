@@ -293,6 +293,10 @@ def delete_keys(token: Column, two_from: int = 7) -> Column:
     return F.array_distinct(F.concat(F.array(token), one, F.when(F.length(token) >= two_from, two).otherwise(F.array().cast("array<string>"))))
 
 
+#: Bytes that an exploded key takes at most for usual tokens, and the most of them that are broadcast.
+KEY_BYTES, KEYS_BROADCAST = 160, 32 << 20
+
+
 def slip_map(tokens: DataFrame, token: str, n: str, block: list[str] | None = None, ratio: float = 8.0, two_from: int = 7) -> DataFrame:
     """Rare spellings with the much more frequent one they are a slip of.
 
@@ -305,8 +309,11 @@ def slip_map(tokens: DataFrame, token: str, n: str, block: list[str] | None = No
     most = 1 if two_from > 1000 else 2
     rare = keyed.select(*block, "_k", "_t", "_n")
     often = keyed.where(F.col("_n") >= ratio).select(*block, "_k", F.col("_t").alias("_f"), F.col("_n").alias("_m"))
-    # not broadcast: the exploded keys are many times what Catalyst estimates
-    pairs = rare.join(often.hint("shuffle_hash"), [*block, "_k"]).where((F.col("_m") >= F.col("_n") * ratio) & (F.col("_t") != F.col("_f")))
+    # Catalyst doesn't see that keys are exploded: their number is counted, and within the bound they are broadcast
+    n_keys = F.length(token) + 1 + F.when(F.length(token) >= two_from, F.length(token) * (F.length(token) - 1) / 2).otherwise(0)
+    keys = tokens.where((F.col(n) >= ratio) & (F.length(token) >= 4)).agg(F.sum(n_keys)).first()[0] or 0
+    often = F.broadcast(often) if keys * KEY_BYTES <= KEYS_BROADCAST else often.hint("shuffle_hash")
+    pairs = rare.join(often, [*block, "_k"]).where((F.col("_m") >= F.col("_n") * ratio) & (F.col("_t") != F.col("_f")))
     pairs = pairs.where(F.abs(F.length("_t") - F.length("_f")) <= most).select(*block, "_t", "_f", "_m").distinct()
     pairs = pairs.withColumn("_d", F.levenshtein("_t", "_f", 2)).where("_d >= 0")
     swap = F.array_sort(F.split("_t", "")) == F.array_sort(F.split("_f", ""))
