@@ -1,5 +1,6 @@
 """Vector files, polygon assembly, strict documents, blocked matching and page windows."""
 
+import random
 import sqlite3
 import struct
 import zipfile
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeframe.functions import polygons as P
+from lodeframe.functions import text
 from lodeframe.operators import matching as M
 from lodeframe.sources import registry, vectors
 
@@ -92,6 +94,29 @@ def test_page_window(spark):
     assert [(r.id, r.pdf_page, r.score) for r in got] == [("a", 9, 1.0)]
 
 
+def _slide(quote, page):
+    """The reference's score with every window counted anew."""
+    a, b = text.quote_words(quote), text.quote_words(page)
+    if not a or not b:
+        return 0.0
+    if f" {' '.join(a)} " in f" {' '.join(b)} ":
+        return 1.0
+    size = max(len(a) + 1, int(1.3 * len(a)))
+    return round(max(sum(w in b[i : i + size] for w in a) / len(a) for i in range(len(b))), 6)
+
+
+def test_quote_score_against_full_window(spark):
+    page = "Notes. The main vein, sampled for thirty feet, gave two ounces of gold; later work on the lower le-\nvel failed."
+    quotes = ["Tke moin vcin sampled for thirty feet gave two ounces of gold", "seen before. thirty feet gave two ounces of gold", "work on the lower level failed", None, "", "..."]
+    rnd = random.Random(5)
+    some = [" ".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(1, n))) for n in (4, 9, 30) for _ in range(60)]
+    pairs = [(q, page) for q in quotes] + [(rnd.choice(some), rnd.choice(some)) for _ in range(400)]
+    t = spark.createDataFrame(pairs, "q string, p string")
+    got = [r[0] for r in t.select(text.quote_score(F.col("q"), F.col("p"))).collect()]
+    assert got == [_slide(q, p) for q, p in pairs]
+    assert got[:6] == [0.75, round(7 / 9, 6), 1.0, 0.0, 0.0, 0.0]
+
+
 def test_collapsed_lines(spark):
     t = spark.createDataFrame([([(0.0, 0.0), (1e-9, 0.0)],), ([(0.0, 0.0), (5.0, 0.0)],)], "l array<struct<x:double,y:double>>")
     assert [r[0] for r in t.select(P.collapsed(F.col("l"), 0.1)).collect()] == [True, False]
