@@ -6,6 +6,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -203,6 +204,39 @@ def quote_score(quote: Column, page: Column) -> Column:
     return run(quote, page)
 
 
+def run_hashes(text: Column, lengths: list[int], longest: bool = False) -> Column:
+    """Distinct hashes of all runs of so many folded words of a text, as an array; ``longest`` takes the greatest length that fits only."""
+
+    @F.pandas_udf("array<bigint>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import hashlib
+
+        ids: dict[str, int] = {}
+
+        def one(t):
+            if len(ids) > 500_000:
+                ids.clear()
+            ws = quote_words(t)
+            for w in set(ws).difference(ids):
+                ids[w] = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
+            x = np.array([ids[w] for w in ws], dtype=np.uint64)
+            out = [np.zeros(0, np.uint64)]
+            fit = [k for k in lengths if k <= len(ws)]
+            for k in fit[-1:] if longest else fit:
+                n = len(ws) - k + 1
+                h = np.full(n, k, dtype=np.uint64)
+                for i in range(k):
+                    h = (h ^ x[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+                    h ^= h >> np.uint64(29)
+                out.append(h)
+            return np.unique(np.concatenate(out)).astype(np.int64)
+
+        for ts in parts:
+            yield pd.Series([one(t) for t in ts])
+
+    return run(text)
+
+
 def safe_id(c: Column, person: str = "lodeframe") -> Column:
     """A stable id of 53 bits from a text by keyed blake2b; null stays null."""
     mark = person.encode()[:16]

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import quote_score, quote_words, run_hashes
+from ..session import broadcast_if_small
 from .relational import top_per_group
 
 
@@ -48,3 +51,26 @@ def page_window_match(quotes: DataFrame, pages: DataFrame, source: str, page: st
     j = q.join(pages, [source, "pdf_page"]).withColumn("score", score())
     best = F.max_by(F.col("pdf_page"), F.struct("score", -F.abs(F.col("pdf_page") - F.col(page)), -F.col("pdf_page")))
     return j.groupBy("id").agg(best.alias("pdf_page"), F.max("score").alias("score"))
+
+
+def quotes_in_texts(quotes: DataFrame, quote_id: str, quote: str, texts: DataFrame, text_id: str, text: str, k: int = 4) -> DataFrame:
+    """Quotations scored on every text that shares a run of ``k`` folded words with them: (quote_id, text_id, score).
+
+    All runs of a quotation count, from its beginning to its end; one of fewer words
+    is sought as a whole. Nothing below the shared run is left out: the score comes
+    from windows over the whole text. Ids must be unique; texts are sent once for
+    each text, not for each pair.
+    """
+    q = quotes.select(F.col(quote_id).alias("_q"), F.col(quote).alias("_x")).where(F.length("_x") > 0)
+    t = texts.select(F.col(text_id).alias("_t"), F.col(text).alias("_y")).where(F.length("_y") > 0)
+
+    @F.pandas_udf("int")
+    def words(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: len(quote_words(v)))
+
+    lengths = sorted(r[0] for r in q.select(F.least(words("_x"), F.lit(k)).alias("k")).where("k > 0").distinct().collect())  # k at most
+    runs = q.select("_q", F.explode(run_hashes(F.col("_x"), lengths, longest=True)).alias("_h"))
+    hits = t.select("_t", F.explode(run_hashes(F.col("_y"), lengths)).alias("_h")).join(broadcast_if_small(runs, runs.count(), 40), "_h")
+    pairs = hits.groupBy("_t").agg(F.collect_set("_q").alias("_qs"))
+    full = t.join(pairs, "_t").select("_t", "_y", F.explode("_qs").alias("_q")).join(broadcast_if_small(q), "_q")
+    return full.select(F.col("_q").alias(quote_id), F.col("_t").alias(text_id), quote_score(F.col("_x"), F.col("_y")).alias("score"))

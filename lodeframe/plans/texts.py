@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import text as T
+from ..operators import matching as M
 from .registry import Registry, table
 
 query = Registry()
@@ -230,11 +231,8 @@ def t15(spark, d):
 
 @query("t16_quote_on_page")
 def t16(spark, d):
-    """Score of each eval item on the documents that hold its first words (tested against brute force)."""
-    it = table(spark, d, "eval_items").select("item_id", F.col("text").alias("q"), F.lower(F.substring_index("text", " ", 4)).alias("head"))
-    docs = table(spark, d, "documents").where("text is not null").select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?=\b(\S+ \S+ \S+ \S+))"), F.lit(1)))).alias("head"))
-    j = docs.join(it, "head")
-    return j.select("item_id", "doc_id", T.quote_score(F.col("q"), F.col("text")).alias("score"))
+    """Score of each eval item on the documents that share any run of four words with it (tested against brute force)."""
+    return M.quotes_in_texts(table(spark, d, "eval_items"), "item_id", "text", table(spark, d, "documents"), "doc_id", "text")
 
 
 @query("t18_weighted_terms", "SELECT doc_id, CAST(2.0 * len(regexp_extract_all(text, 'assay')) + 1.5 * len(regexp_extract_all(text, 'ounces')) + 1.0 * len(regexp_extract_all(text, 'per cent')) AS DOUBLE) AS score FROM documents WHERE text IS NOT NULL")

@@ -117,6 +117,33 @@ def test_quote_score_against_full_window(spark):
     assert got[:6] == [0.75, round(7 / 9, 6), 1.0, 0.0, 0.0, 0.0]
 
 
+def test_quotes_in_texts(spark):
+    item = "rank its second stage depot cross course and bank failure by age although rivers rose"
+    items = [(1, item), (2, "gold bar"), (3, None), (4, "")]
+    docs = [
+        (1, "seen: stage depot, cross course and\nbank fail-\nure by age although"),  # from the middle, over lines
+        (2, "Rnak its secnd stage depot cross course and bank failure by age"),  # slips in the opening
+        (3, "its second stage depot cross course and bank failure"),  # a word lost
+        (4, "a gold bar. rank its second"),
+        (5, "nothing of it"),
+        (6, None),
+        (7, ""),
+    ]
+    rnd = random.Random(6)
+    items += [(10 + i, " ".join(rnd.choice("abcde") for _ in range(rnd.randint(1, 12)))) for i in range(12)]
+    docs += [(10 + i, " ".join(rnd.choice("abcde") for _ in range(rnd.randint(0, 25)))) for i in range(40)]
+
+    def shared(q, t):
+        a, b = text.quote_words(q), text.quote_words(t)
+        k = min(4, len(a))
+        return k and {tuple(a[i : i + k]) for i in range(len(a) - k + 1)} & {tuple(b[i : i + k]) for i in range(len(b) - k + 1)}
+
+    got = M.quotes_in_texts(spark.createDataFrame(items, "i int, q string"), "i", "q", spark.createDataFrame(docs, "d int, t string"), "d", "t").collect()
+    want = {(i, d): _slide(q, t) for i, q in items for d, t in docs if shared(q, t)}
+    assert len(got) == len(want) and {(r.i, r.d): r.score for r in got} == want
+    assert {(1, 1), (1, 2), (1, 3), (2, 4)} <= want.keys() and (1, 4) not in want
+
+
 def test_collapsed_lines(spark):
     t = spark.createDataFrame([([(0.0, 0.0), (1e-9, 0.0)],), ([(0.0, 0.0), (5.0, 0.0)],)], "l array<struct<x:double,y:double>>")
     assert [r[0] for r in t.select(P.collapsed(F.col("l"), 0.1)).collect()] == [True, False]
