@@ -41,16 +41,41 @@ def scored_matches(left: DataFrame, right: DataFrame, left_id: str, right_id: st
     return top_per_group(full.select(left_id, right_id, "score"), [left_id], k, F.col("score").desc(), F.col(right_id))
 
 
-def page_window_match(quotes: DataFrame, pages: DataFrame, source: str, page: str, slack: int, score: Callable[[], Column]) -> DataFrame:
+def page_window_match(quotes: DataFrame, pages: DataFrame, source: str, page: str, slack: int, score: Callable[[], Column], every: bool = False) -> DataFrame:
     """The best page within ``slack`` pages of the cited one, the nearest page first at ties.
 
     ``quotes`` has id, source, page and the quote; ``pages`` source, pdf_page and text.
-    The range is turned into an equi-join on each page of the window.
+    The range is turned into an equi-join on each page of the window. Quotes without a
+    page in the window are left out; with ``every`` all come out, by the cited page with
+    score 0 where nothing is found.
     """
     q = quotes.withColumn("pdf_page", F.explode(F.sequence(F.col(page) - slack, F.col(page) + slack)))
     j = q.join(pages, [source, "pdf_page"]).withColumn("score", score())
     best = F.max_by(F.col("pdf_page"), F.struct("score", -F.abs(F.col("pdf_page") - F.col(page)), -F.col("pdf_page")))
-    return j.groupBy("id").agg(best.alias("pdf_page"), F.max("score").alias("score"))
+    found = j.groupBy("id").agg(best.alias("pdf_page"), F.max("score").alias("score"))
+    if not every:
+        return found
+    cited = quotes.groupBy("id").agg(F.min(page).alias("_p"))
+    at = F.when(F.col("score") > 0, F.col("pdf_page")).otherwise(F.col("_p"))
+    return cited.join(found, "id", "left").select("id", at.alias("pdf_page"), F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def printed_to_pdf(rows: DataFrame, source: str, printed: str, pdf_page: str, least: int = 4) -> DataFrame:
+    """``rows`` with ``cited``: its pdf_page, else the printed page moved by the source's most common offset.
+
+    An offset (pdf page less printed page, the lesser at ties) needs ``least`` rows and
+    one for every 200 pages of the source. Without one, or where it leads outside the
+    source's pages, the printed page is taken within them.
+    """
+    known = rows.where(F.col(pdf_page).isNotNull())
+    votes = known.where(F.col(printed).isNotNull()).groupBy(source, (F.col(pdf_page) - F.col(printed)).alias("_o")).agg(F.count(F.lit(1)).alias("_n"))
+    mode = votes.groupBy(source).agg(F.max(F.struct("_n", (-F.col("_o")).alias("_m"))).alias("_v"))
+    last = known.groupBy(source).agg(F.max(pdf_page).alias("_last"))
+    t = rows.join(last.join(mode, source, "left"), source, "left")
+    moved = F.when(F.col("_v._n") >= F.greatest(F.lit(least), F.floor(F.col("_last") / 200)), F.col(printed) - F.col("_v._m"))
+    within = F.least(F.greatest(F.col(printed), F.lit(1)), F.col("_last"))
+    cited = F.when(F.col(pdf_page).isNotNull(), F.col(pdf_page)).when(F.col(printed).isNotNull(), F.when(moved.between(1, F.col("_last")), moved).otherwise(within))
+    return t.withColumn("cited", cited.cast("int")).drop("_v", "_last")
 
 
 def quotes_in_texts(quotes: DataFrame, quote_id: str, quote: str, texts: DataFrame, text_id: str, text: str, k: int = 4) -> DataFrame:

@@ -110,11 +110,15 @@ def w10(spark, d):
 
 @query("w13_page_window_match")
 def w13(spark, d):
-    """The page within two of the cited one where a passage stands best; the queries are every twentieth row, against all pages."""
+    """The page within two of the cited one where a passage stands best; the queries are every twentieth row, against all pages.
+
+    A row without a pdf_page is sought around its printed page and the source's offset.
+    """
     r = table(spark, d, "rows_igs_b11")
-    quotes = r.where("row_id % 20 = 0 and pdf_page is not null").select(F.col("row_id").alias("id"), "src_key", F.col("pdf_page").alias("cited"), "quote")
+    at = M.printed_to_pdf(r.select("row_id", "src_key", "page", "pdf_page", "quote"), "src_key", "page", "pdf_page")
+    quotes = at.where("row_id % 20 = 0").select(F.col("row_id").alias("id"), "src_key", "cited", "quote")
     pages = r.where("pdf_page is not null").groupBy("src_key", "pdf_page").agg(F.array_join(F.array_sort(F.collect_list(F.struct("row_id", "quote"))).getField("quote"), "\n").alias("text"))
-    return M.page_window_match(quotes, pages, "src_key", "cited", 2, lambda: F.when(F.contains("text", "quote"), 1.0).otherwise(T.quote_score(F.col("quote"), F.col("text"))))
+    return M.page_window_match(quotes, pages, "src_key", "cited", 2, lambda: F.when(F.contains("text", "quote"), 1.0).otherwise(T.quote_score(F.col("quote"), F.col("text"))), every=True)
 
 
 @query("w14_sorted_neighbours", "SELECT n_regionkey AS g, string_agg(n_nationkey, ',' ORDER BY length(n_name) DESC, n_nationkey) AS near FROM nation GROUP BY 1")

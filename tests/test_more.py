@@ -94,6 +94,21 @@ def test_page_window(spark):
     assert [(r.id, r.pdf_page, r.score) for r in got] == [("a", 9, 1.0)]
 
 
+def test_page_window_every_quote(spark):
+    q = spark.createDataFrame([("a", "s", 10, "gold vein here"), ("b", "s", 99, "x"), ("c", "s", None, "x"), ("d", "s", 11, "y")], "id string, src string, cited int, quote string")
+    p = spark.createDataFrame([("s", 9, "gold vein here"), ("s", 10, "nothing")], "src string, pdf_page int, text string")
+    got = M.page_window_match(q, p, "src", "cited", 2, lambda: F.when(F.contains("text", "quote"), 1.0).otherwise(0.0), every=True).collect()
+    assert sorted((r.id, r.pdf_page, r.score) for r in got) == [("a", 9, 1.0), ("b", 99, 0.0), ("c", None, 0.0), ("d", 11, 0.0)]
+
+
+def test_printed_to_pdf(spark):
+    known = [("s", i, i + 7) for i in range(1, 5)] + [("s", i, i + 3) for i in range(6, 9)] + [("t", 4, 9), ("t", 5, 10)]
+    rows = [*known, ("s", 2, None), ("s", 90, None), ("s", None, None), ("t", 4, None), ("t", 50, None), ("u", 8, None)]
+    got = M.printed_to_pdf(spark.createDataFrame(rows, "src string, page int, pdf_page int"), "src", "page", "pdf_page").collect()
+    assert sorted((r.src, r.page, r.cited) for r in got if r.pdf_page is None and r.page is not None) == [("s", 2, 9), ("s", 90, 11), ("t", 4, 4), ("t", 50, 10), ("u", 8, 8)]
+    assert all(r.cited == r.pdf_page for r in got if r.pdf_page is not None) and len(got) == len(rows)
+
+
 def _slide(quote, page):
     """The reference's score with every window counted anew."""
     a, b = text.quote_words(quote), text.quote_words(page)
