@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import haversine_m, valid_point
+from ..functions.geo import EARTH_RADIUS_M, haversine_m, valid_point
 
 
 def cells_of_box(x0: Column, y0: Column, x1: Column, y1: Column, size: float) -> Column:
@@ -24,17 +24,21 @@ def within_distance(left: DataFrame, right: DataFrame, left_xy: tuple[str, str],
     """Pairs of rows no more than ``metres`` apart (haversine), with the distance as ``metres``.
 
     Column names of the sides must differ. Points that are null, NaN or out of range
-    have no pair. Up to ``max_lat`` a cell is as wide as the distance at that latitude; cells go around at 180 degrees.
+    have no pair. A cell is as wide as the distance at ``max_lat``; each left point meets the
+    cells that the distance reaches at its own latitude, all around where that holds a pole.
+    Cells go around at 180 degrees.
     """
     lx, ly = (F.col(c).cast("double") for c in left_xy)
     rx, ry = (F.col(c).cast("double") for c in right_xy)
     step = metres / 111_000.0
-    from math import cos, radians
+    from math import cos, pi, radians, sin
 
+    angle = min(metres / EARTH_RADIUS_M, pi / 2)
     around = max(1, int(360 * cos(radians(max_lat)) / step))  # columns of cells, a whole number of them around the globe
     wide = 360.0 / around
     wrapped = lambda c: F.struct(F.pmod(c["cx"], F.lit(around)).alias("cx"), c["cy"])
-    reach = F.array_distinct(F.transform(cells_of_box(lx - wide, ly - step, lx + wide, ly + step, wide), wrapped))
+    far = F.when(F.abs(ly) + step >= 90, F.lit(180.0)).otherwise(F.degrees(F.asin(F.lit(sin(angle)) / F.cos(F.radians(ly)))) * 1.0001 + 1e-9)
+    reach = F.array_distinct(F.transform(cells_of_box(lx - far, ly - step, lx + far, ly + step, wide), wrapped))
     a = left.where(valid_point(ly, lx)).withColumn("_c", F.explode(reach))
     b = right.where(valid_point(ry, rx)).withColumn("_c", F.struct(F.pmod(F.floor(rx / wide), F.lit(around)).alias("cx"), F.floor(ry / wide).alias("cy")))
     near = a.join(b, "_c").withColumn("metres", haversine_m(ly, lx, ry, rx)).where(F.col("metres") <= metres)

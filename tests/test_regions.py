@@ -95,6 +95,18 @@ def test_locations_within(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("metres", [30_000.0, 500_000.0])
+def test_within_distance_to_the_poles(spark, metres):
+    rnd = random.Random(8)
+    ps = [(i, rnd.choice([-1, 1]) * rnd.choice([rnd.uniform(70, 90), rnd.uniform(84, 86), rnd.uniform(89.7, 90)]), rnd.choice([rnd.uniform(-180, 180), rnd.uniform(0, 6), rnd.uniform(178, 180), -180.0])) for i in range(300)]
+    ps += [(300, 90.0, 12.0), (301, -90.0, 0.0), (302, 85.0, 10.0), (303, 85.0, 12.5)]
+
+    df = spark.createDataFrame(ps, "id int, y double, x double")
+    got = sorted((r.id, r.oid) for r in spatial.within_distance(df, df.toDF("oid", "oy", "ox"), ("x", "y"), ("ox", "oy"), metres).collect())
+    assert got == sorted((a[0], b[0]) for a in ps for b in ps if dist(*a[1:], *b[1:]) <= metres)
+    assert (302, 303) in got
+
+
 def test_nearest_and_boxes(spark):
     a = spark.createDataFrame([(1, 0.0, 0.0), (2, 10.0, 10.0), (3, None, 1.0)], "id int, x double, y double")
     b = spark.createDataFrame([(5, 0.001, 0.0), (4, -0.001, 0.0), (6, 50.0, 50.0)], "oid int, ox double, oy double")
