@@ -169,8 +169,10 @@ def align(typed: tuple[str, ...], words: tuple[str, ...]) -> float | None:
 def assign(readings: list[dict[str, float]], words: tuple[str, ...]) -> float | None:
     """The assignment from what each token can be read as."""
     n = len(words)
-    if len(readings) != n or n > 6:
+    if len(readings) != n:
         return None
+    if n > 6:
+        return _assign_many(readings, words)
     if n == 2:
         x, y = readings
         a = x[words[0]] + y[words[1]] if words[0] in x and words[1] in y else None
@@ -189,6 +191,38 @@ def assign(readings: list[dict[str, float]], words: tuple[str, ...]) -> float |
     return best
 
 
+def _assign_many(readings: list[dict[str, float]], words: tuple[str, ...]) -> float | None:
+    """assign() for long names by shortest augmenting paths, in cubic time."""
+    n, never = len(words), 1e6
+    cost = [[r.get(w, never) for w in words] for r in readings]
+    if any(min(r) >= never for r in cost):
+        return None
+    u, v, owner = [0.0] * n, [0.0] * (n + 1), [-1] * (n + 1)  # owner of a word; the last one is where a path begins
+    for i in range(n):
+        owner[n], j = i, n
+        least, before, done = [math.inf] * n, [n] * n, [False] * (n + 1)
+        while owner[j] >= 0:
+            done[j], row = True, owner[j]
+            for k in range(n):
+                if not done[k] and (c := cost[row][k] - u[row] - v[k]) < least[k]:
+                    least[k], before[k] = c, j
+            to = min((k for k in range(n) if not done[k]), key=least.__getitem__)
+            step = least[to]
+            for k in range(n + 1):
+                if done[k]:
+                    u[owner[k]] += step
+                    v[k] -= step
+                elif k < n:
+                    least[k] -= step
+            j = to
+        while j != n:
+            owner[j] = owner[before[j]]
+            j = before[j]
+        owner[n] = -1
+    sums = [sum(cost[i][i] for i in range(n)), 0.01 + sum(cost[owner[k]][k] for k in range(n))]
+    return min(sums) if min(sums) < never else None
+
+
 class Lexicon:
     """Names known to the data, with a symmetric-delete index on their tokens."""
 

@@ -98,6 +98,20 @@ def test_entities_empty(spark):
     assert entities.resolve_records([_records(spark, [])]).count() == 0
 
 
+def test_long_names_are_aligned():
+    rnd = random.Random(3)
+    for t in range(60):
+        n = rnd.choice([7, 7, 8])
+        cost = [[rnd.choice([None, None, 0.0, 0.4, 0.5, 1.0]) if i != j or t % 3 else 0.5 for j in range(n)] for i in range(n)]
+        words = tuple(f"w{i}" for i in range(n))
+        got = names.assign([{w: c for w, c in zip(words, r) if c is not None} for r in cost], words)
+        sums = [sum(cost[i][j] for i, j in enumerate(p)) + 0.01 * (p != tuple(range(n))) for p in itertools.permutations(range(n)) if all(cost[i][j] is not None for i, j in enumerate(p))]
+        assert (got is None) == (not sums) and (got is None or abs(got - min(sums)) < 1e-9)
+    known = ("anchor", "bridle", "cherry", "fiddle", "gopher", "herald", "inkwell", "juniper")
+    lex = names.Lexicon([(known, 3), (("anchor", "bridle"), 9)])
+    assert [i for _, i in lex.resolve(("gophr", "anch.", "bridle", "juniper", "cherry", "fiddle", "herald", "inkwell"))] == [0]
+
+
 def test_lexicon_blocks_agree(spark, monkeypatch):
     rows = [("rows", str(i), n, None, "ID", "Ada", None, None, None) for i, n in enumerate(["Golden Shovel"] * 5 + ["Lucky Peach"] * 5 + ["Wager Organ"] * 5 + ["Goldn Shovel", "Luckypeach", "Wager Org."])]
     one = {r.id: r.entity for r in entities.resolve_records([_records(spark, rows)]).collect()}
