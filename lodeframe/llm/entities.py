@@ -119,7 +119,7 @@ def resolve_names(parsed: DataFrame, lex: DataFrame) -> DataFrame:
                 if m is None:
                     if len(memo) > 300_000:
                         memo.clear()
-                    hit = lexi.resolve(tuple(words.split(" ")))
+                    hit = lexi.resolve(tuple(words.split(" ")), far=10_000.0)  # wins only where no block has an aligned name
                     m = memo[words] = f"{hit[0][0] + 1000:016.9f}" + " ".join(lexi.names[hit[0][1]]) if hit else ""
                 return f"{m}#{num}" if m else ""
 

@@ -279,11 +279,12 @@ class Lexicon:
             out |= self.by_skeleton.get(skeleton(s), set())
         return {w: c for w in out if (c := token_cost(typed, w)) is not None}
 
-    def resolve(self, typed: tuple[str, ...]) -> list[tuple[float, int]]:
+    def resolve(self, typed: tuple[str, ...], far: float = 0.0) -> list[tuple[float, int]]:
         """(score, name index) of the likeliest names for typed tokens, the least score only.
 
         A noisy channel: the cost of the alignment against the logarithm of how
-        often the data has the name.
+        often the data has the name. ``far`` is added where no name aligns and only the
+        whole name without spaces is near.
         """
         found: dict[int, float] = {}
         if not typed:
@@ -299,6 +300,7 @@ class Lexicon:
                 c = assign(hits, self.names[i])
                 if c is not None:
                     found[i] = min(found.get(i, 9.0), c)
+        aligned = bool(found)
         if not found and len(q) >= 7:
             # words joined or broken: the whole name without spaces, a slip away
             for d in deletes(q, 1):
@@ -308,7 +310,7 @@ class Lexicon:
                         found[i] = min(found.get(i, 9.0), 0.5 * e + 0.02)
         if not found:
             return []
-        score = {i: 4.0 * c - math.log(self.weight[i]) for i, c in found.items()}
+        score = {i: 4.0 * c - math.log(self.weight[i]) + (0.0 if aligned else far) for i, c in found.items()}
         least = min(score.values())
         return sorted((x, i) for i, x in score.items() if x <= least + 1e-9)
 

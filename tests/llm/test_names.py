@@ -119,6 +119,15 @@ def test_lexicon_blocks_agree(spark, monkeypatch):
     assert one == {r.id: r.entity for r in entities.resolve_records([_records(spark, rows)]).collect()}
 
 
+def test_lexicon_blocks_keep_aligned_names(spark, monkeypatch):
+    pairs = [("Blue Bird Hill", "Bluebird Hell"), ("Lone Wolf Camp", "Lonewolf Comp"), ("Gold Fish Bank", "Goldfish Bonk"), ("Iron Horse Tank", "Ironhorse Tonk")]
+    rows = [("rows", f"{k}-{i}", n, None, "ID", "Ada", None, None, None) for k, (a, b) in enumerate(pairs) for i, n in enumerate([a] + [b] * 60)]
+    one = {r.id: r.entity for r in entities.resolve_records([_records(spark, rows)]).collect()}
+    assert len(set(one.values())) == 8
+    monkeypatch.setattr(entities, "LEXICON_BLOCK", 1)
+    assert one == {r.id: r.entity for r in entities.resolve_records([_records(spark, rows)]).collect()}
+
+
 # --- canonical lists ------------------------------------------------------------------------------
 
 NAMES = [("Gold", 1), ("oro", 1), ("Silver", 2), ("silber", 2), ("Tungsten", 8), ("Gypsum", 22), ("gypsite", 22), ("Platinum", 27), ("plata", 2), ("Sand and Gravel", 23), ("sand & gravel", 23), ("w", 8)]
