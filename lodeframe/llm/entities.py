@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +20,6 @@ from ..functions import geo
 from ..session import broadcast_if_small, materialize
 from . import names as N
 
-#: Most lexicon names held in one Python worker; larger lexicons are resolved in as many blocks as needed.
-LEXICON_BLOCK = 100_000
 #: Names travel to Python and back as one string a record: lists of strings would be converted row by row.
 _SEP, _PART = "\x1f", "\x1e"
 
@@ -64,104 +63,67 @@ def parse_names(name: Column, further: Column) -> Column:
     return run(name, F.array_join(further, _SEP))
 
 
-def _stems(parsed: Column) -> Column:
-    """Sorted stems of "tokens#number" as one string."""
-    words = F.split(F.substring_index(parsed, "#", 1), " ")
-    return F.array_join(F.array_sort(F.transform(words, lambda w: F.when(F.length(w) > 3, F.rtrim(w, F.lit("s"))).otherwise(w))), " ")
+def _listed(parsed: DataFrame) -> DataFrame:
+    """The parsed names of distinct ``names`` one by one: (names, part, pos, words, num, stems, n).
+
+    ``part`` is 0 for alternatives of the name and 1 for further names; ``n`` counts
+    the records, once for each spelling.
+    """
+
+    kinds = {"names": pa.string(), "part": pa.int32(), "pos": pa.int32(), "words": pa.string(), "num": pa.string(), "stems": pa.string(), "n": pa.int64()}
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            out = []
+            for names, n in zip(*(batch.column(c).to_pylist() for c in ("names", "n"))):
+                seen = set()
+                for part, text in enumerate(names.split(_PART)):
+                    for pos, p in enumerate(text.split(_SEP)):
+                        if p:
+                            words, _, num = p.rpartition("#")
+                            out.append((names, part, pos, words, num, " ".join(sorted(map(N.stem, words.split(" ")))), 0 if p in seen else n))
+                            seen.add(p)
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else [[]] * len(kinds), kinds.values())], list(kinds))
+
+    counted = parsed.where(F.length("names") > 1).groupBy("names").agg(F.count(F.lit(1)).alias("n"))
+    return counted.mapInArrow(run, "names string, part int, pos int, words string, num string, stems string, n bigint")
 
 
-def lexicon(parsed: DataFrame) -> DataFrame:
+def lexicon(listed: DataFrame) -> DataFrame:
     """Names (sorted stems) that the records support, with counts: (words, n).
 
     Left out are clipped names, names that are a much rarer slip of another, and
     names that are another one written without spaces.
     """
-    both = F.split("names", f"[{_PART}{_SEP}]")
-    typed = parsed.select(F.explode(F.array_distinct(both)).alias("p")).where((F.col("p") != "") & ~F.col("p").contains("."))
-    counts = typed.groupBy(_stems(F.col("p")).alias("words")).agg(F.count(F.lit(1)).alias("n"))
-    counts = materialize(counts.where(F.length("words") >= 3), "names")
-    # whole names one slip apart, the first or the last token being equal or the whole string a deletion apart
-    slips = N.slip_map(counts, "words", "n", ratio=4.0, two_from=10_000)
+    counts = listed.where(~F.col("words").contains(".")).groupBy(F.col("stems").alias("words")).agg(F.sum("n").alias("n"))
+    counts = materialize(counts, "names")
+    # whole names one slip apart
+    slips = N.slip_map(counts, "words", "n", ratio=4.0, two_from=None)
     two = F.size(F.split("words", " "))
-    joined = counts.select(F.regexp_replace("words", " ", "").alias("q"), two.alias("k"), F.col("n").alias("m"))
-    turned = counts.select(F.array_join(F.reverse(F.split("words", " ")), "").alias("q"), two.alias("k"), F.col("n").alias("m"))
-    spelled = joined.union(turned).where("k = 2").groupBy("q").agg(F.max("m").alias("m"))
-    own = counts.withColumn("q", F.regexp_replace("words", " ", "")).withColumn("k", two)
-    kept = own.join(spelled, "q", "left").where("k = 2 or m is null").join(slips.select("words"), "words", "left_anti")
-    return kept.select("words", "n")
+    plain = F.regexp_replace("words", " ", "")
+    joined = counts.where(two == 2).select(F.explode(F.array(plain, F.concat(F.split_part("words", F.lit(" "), F.lit(2)), F.split_part("words", F.lit(" "), F.lit(1))))).alias("q")).distinct()
+    spelled = counts.where(two != 2).withColumn("q", plain).join(joined, "q", "left_semi").select("words")
+    return counts.join(materialize(slips.select("words").union(spelled), "slips"), "words", "left_anti")
 
 
-def resolve_names(parsed: DataFrame, lex: DataFrame) -> DataFrame:
+def resolve_names(parsed: DataFrame) -> DataFrame:
     """Adds ``main``, the name a record goes by, and ``others``, its further ones in one string, as "words#number".
 
     Further names come with the main one first; a record without them goes by its own
-    name. A name out of reach stays as typed.
+    name. A name out of reach stays as typed. Each distinct name is resolved once.
     """
-    lex = materialize(lex, "lexicon")
-    total = lex.count()
-    blocks = max(1, -(-total // LEXICON_BLOCK))
-
-    def resolver(block: int):
-        """What this block of the lexicon and those before make of each name, as "score words#number"; the last one decides."""
-        part = lex.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == block)
-        entries = [(tuple(r.words.split(" ")), r.n) for r in part.collect()]  # at most about LEXICON_BLOCK names
-        last = block == blocks - 1
-
-        @F.pandas_udf("string")
-        def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-            lexi, memo, whole = N.Lexicon(entries), {}, {}
-
-            def one(p: str) -> str:
-                if not p:
-                    return p
-                words, _, num = p.rpartition("#")
-                m = memo.get(words)
-                if m is None:
-                    if len(memo) > 300_000:
-                        memo.clear()
-                    hit = lexi.resolve(tuple(words.split(" ")), far=10_000.0)  # wins only where no block has an aligned name
-                    m = memo[words] = f"{hit[0][0] + 1000:016.9f}" + " ".join(lexi.names[hit[0][1]]) if hit else ""
-                return f"{m}#{num}" if m else ""
-
-            def best(names: str, before: str | None) -> list[list[str]]:
-                new = [[one(p) for p in part.split(_SEP)] for part in names.split(_PART)]
-                if before:
-                    old = [part.split(_SEP) for part in before.split(_PART)]
-                    new = [[min(filter(None, xy), default="") for xy in zip(x, y)] for x, y in zip(new, old)]
-                return new
-
-            def typed(p: str) -> str:
-                words, _, num = p.rpartition("#")
-                return " ".join(sorted(map(N.stem, words.split(" ")))) + f"#{num}"
-
-            def each(names: str, before: str | None) -> str:
-                scored = best(names, before)
-                if not last:
-                    return _PART.join(_SEP.join(x) for x in scored)
-                own, also = ([x[16:] for x in part if x] for part in scored)
-                if not own:
-                    own = [typed(p) for p in names.split(_PART)[0].split(_SEP) if p]
-                known = list(dict.fromkeys(also + own))
-                return known[0] + _PART + _SEP.join(known[1:]) if known else ""
-
-            for a, b in parts:
-                out = []
-                for x, y in zip(a, b):
-                    r = whole.get(x) if y is None else each(x, y)
-                    if r is None:
-                        if len(whole) > 100_000:
-                            whole.clear()
-                        r = whole[x] = each(x, None)
-                    out.append(r)
-                yield pd.Series(out)
-
-        return run
-
-    out = parsed.withColumn("_best", F.lit(None).cast("string"))
-    for b in range(blocks):
-        out = out.withColumn("_best", resolver(b)("names", "_best"))
-    main = F.nullif(F.split_part("_best", F.lit(_PART), F.lit(1)), F.lit(""))
-    return out.withColumn("main", main).withColumn("others", F.split_part("_best", F.lit(_PART), F.lit(2))).drop("_best", "names")
+    listed = materialize(_listed(parsed), "listed")
+    typed = listed.select("words").distinct()
+    target = materialize(N.resolve_words(typed, lexicon(listed)), "targets")
+    hits = listed.select("names", "part", "pos", "words", "num", "stems").join(broadcast_if_small(target, limit=4 << 20), "words", "left")
+    entry = F.struct("part", "pos", F.concat_ws("#", "target", "num").alias("hit"), F.concat_ws("#", "stems", "num").alias("typed"), F.col("target").isNotNull().alias("ok"))
+    one = hits.groupBy("names").agg(F.array_sort(F.collect_list(entry)).alias("e"))  # the alternatives of one typed record
+    part = lambda k, ok: F.filter("e", lambda x: (x["part"] == k) & x["ok"] if ok else x["part"] == k)
+    own = F.when(F.exists("e", lambda x: (x["part"] == 0) & x["ok"]), F.transform(part(0, True), lambda x: x["hit"])).otherwise(F.transform(part(0, False), lambda x: x["typed"]))
+    known = F.array_distinct(F.concat(F.transform(part(1, True), lambda x: x["hit"]), own))
+    one = one.select("names", known.alias("_known")).where(F.size("_known") > 0)
+    one = one.select("names", F.element_at("_known", 1).alias("main"), F.array_join(F.slice("_known", F.lit(2), F.size("_known")), _SEP).alias("others"))
+    return parsed.join(broadcast_if_small(materialize(one, "known"), limit=6 << 20), "names", "left").drop("names")
 
 
 def plain_place(c: Column) -> Column:
@@ -177,10 +139,11 @@ def place_map(records: DataFrame, place: str) -> DataFrame:
     full = counts.where(~F.col("place").endswith("."))
     slips = N.slip_map(full, "place", "n", ["state"], ratio=3.0)
     kept = full.join(slips, ["state", "place"], "left_anti")
-    cut = counts.where(F.col("place").endswith(".")).select("state", "place", F.regexp_replace("place", r"\.$", "").alias("_p")).where(F.length("_p") >= 3)
-    heads = kept.select("state", F.col("place").alias("_full"), F.col("n").alias("_m"), F.substring("place", 1, 3).alias("_h"))
-    cut = cut.withColumn("_h", F.substring("_p", 1, 3)).join(heads, ["state", "_h"]).where(F.col("_full").startswith(F.col("_p")))
-    cut = cut.groupBy("state", "place").agg(F.max_by("_full", F.struct("_m", "_full")).alias("target"))
+    # a clipped place stands for the most frequent one that begins so; under three letters only if there is one
+    cut = counts.where(F.col("place").endswith(".")).select("state", "place", F.regexp_replace("place", r"\.$", "").alias("_p")).where(F.length("_p") >= 1)
+    heads = kept.select("state", F.col("place").alias("_full"), F.col("n").alias("_m"), F.substring("place", 1, 1).alias("_h"))
+    cut = cut.withColumn("_h", F.substring("_p", 1, 1)).join(heads, ["state", "_h"]).where(F.col("_full").startswith(F.col("_p")))
+    cut = cut.groupBy("state", "place").agg(F.max_by("_full", F.struct("_m", "_full")).alias("target"), F.count(F.lit(1)).alias("_c")).where((F.length("place") > 3) | (F.col("_c") == 1)).drop("_c")
     return slips.select("state", "place", "target").unionByName(cut)
 
 
@@ -224,7 +187,7 @@ def resolve_records(parts: list[DataFrame], carry: list[str] | None = None) -> D
         F.when(ok, F.col("lat")).alias("lat"), F.when(ok, F.col("lon")).alias("lon"), parse_names(F.col("name"), F.coalesce("further", F.array().cast("array<string>"))).alias("names"),
     )
     rec = materialize(rec, "parsed")
-    rec = resolve_names(with_places(rec), lexicon(rec))
+    rec = resolve_names(with_places(rec))
     rec = materialize(rec.where("main is not null and state is not null"), "resolved")
 
     # a further name of a county's working stands for the name that its records put first

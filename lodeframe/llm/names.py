@@ -14,11 +14,15 @@ import itertools
 import math
 import re
 import unicodedata
-from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+from ..session import broadcast_if_small, materialize
 
 # Words that tell a kind of working, not its name, and number words.
 KINDS = frozenset("the mine mines mn mining mng lode lodes placer placers group claim claims property prospect prospects workings working co company cons consolidated".split())
@@ -223,136 +227,204 @@ def _assign_many(readings: list[dict[str, float]], words: tuple[str, ...]) -> fl
     return min(sums) if min(sums) < never else None
 
 
-class Lexicon:
-    """Names known to the data, with a symmetric-delete index on their tokens."""
-
-    def __init__(self, names: Iterable[tuple[tuple[str, ...], int]]):
-        self.names: list[tuple[str, ...]] = []
-        self.weight: list[int] = []
-        self.by_token: dict[str, list[int]] = defaultdict(list)
-        self.by_delete: dict[str, set[str]] = defaultdict(set)
-        self.by_skeleton: dict[str, set[str]] = defaultdict(set)
-        self.by_prefix: dict[str, set[str]] = defaultdict(set)
-        self.squeezed: dict[str, int] = {}
-        self.squeezed_delete: dict[str, set[int]] = defaultdict(set)
-        self.read: dict[str, dict[str, float]] = {}
-        for words, n in names:
-            i = len(self.names)
-            self.names.append(words)
-            self.weight.append(n)
-            for w in words:
-                if w not in self.by_token:
-                    for d in deletes(w, 2 if len(w) >= 6 else 1 if len(w) >= 3 else 0):
-                        self.by_delete[d].add(w)
-                    self.by_skeleton[skeleton(w)].add(w)
-                    for k in range(1, min(len(w), 6) + 1):
-                        self.by_prefix[w[:k]].add(w)
-                self.by_token[w].append(i)
-            for q in {_squeeze(words), _squeeze(reversed(words))}:
-                j = self.squeezed.setdefault(q, i)
-                if self.weight[j] < n:
-                    self.squeezed[q] = i
-                for d in deletes(q, 1):
-                    self.squeezed_delete[d].add(i)
-
-    def readings(self, typed: str) -> dict[str, float]:
-        """Words that a typed token can be read as, with the cost; kept for the next name with the token."""
-        known = self.read.get(typed)
-        if known is None:
-            if len(self.read) > 200_000:
-                self.read.clear()
-            known = self.read[typed] = self._readings(typed)
-        return known
-
-    def _readings(self, typed: str) -> dict[str, float]:
-        clipped, t = typed.endswith("."), typed.rstrip(".")
-        s = stem(t)
-        if s in self.by_token and not clipped:
-            out = {s}
-        else:
-            out = set()
-        for d in deletes(s, 2 if len(s) >= 5 else 1 if len(s) >= 3 else 0):
-            out |= self.by_delete.get(d, set())
-        if clipped or len(t) == 1:
-            out |= {w for w in self.by_prefix.get(t[:6], ()) if w.startswith(t)}
-        if not _VOWELS.search(t, 1):
-            out |= self.by_skeleton.get(skeleton(s), set())
-        return {w: c for w in out if (c := token_cost(typed, w)) is not None}
-
-    def resolve(self, typed: tuple[str, ...], far: float = 0.0) -> list[tuple[float, int]]:
-        """(score, name index) of the likeliest names for typed tokens, the least score only.
-
-        A noisy channel: the cost of the alignment against the logarithm of how
-        often the data has the name. ``far`` is added where no name aligns and only the
-        whole name without spaces is near.
-        """
-        found: dict[int, float] = {}
-        if not typed:
-            return []
-        q = _squeeze(typed)
-        i = self.squeezed.get(q)
-        if i is not None:
-            found[i] = 0.0 if len(typed) == len(self.names[i]) else 0.02
-        if len(typed) > 1:
-            hits = [self.readings(t) for t in typed]
-            rarest = min(hits, key=lambda h: sum(len(self.by_token[w]) for w in h))
-            for i in {i for w in rarest for i in self.by_token[w]}:
-                c = assign(hits, self.names[i])
-                if c is not None:
-                    found[i] = min(found.get(i, 9.0), c)
-        aligned = bool(found)
-        if not found and len(q) >= 7:
-            # words joined or broken: the whole name without spaces, a slip away
-            for d in deletes(q, 1):
-                for i in self.squeezed_delete.get(d, ()):
-                    e = min(slips(q, _squeeze(self.names[i]), 2), slips(q, _squeeze(reversed(self.names[i])), 2))
-                    if e <= 2:
-                        found[i] = min(found.get(i, 9.0), 0.5 * e + 0.02)
-        if not found:
-            return []
-        score = {i: 4.0 * c - math.log(self.weight[i]) + (0.0 if aligned else far) for i, c in found.items()}
-        least = min(score.values())
-        return sorted((x, i) for i, x in score.items() if x <= least + 1e-9)
-
-
-def _squeeze(tokens: Iterable[str]) -> str:
+def squeeze(tokens: Iterable[str]) -> str:
     """Tokens without spaces, doubled letters and a plural s."""
     return "".join(ch for ch, _ in itertools.groupby("".join(t.rstrip(".") for t in tokens))).rstrip("s")
 
 
-def delete_keys(token: Column, two_from: int = 7) -> Column:
-    """Column of the delete keys of a token: one deletion, two from a length on."""
-    one = F.transform(F.sequence(F.lit(1), F.greatest(F.length(token), F.lit(1))), lambda i: F.concat(F.substring(token, F.lit(1), i - 1), F.substring(token, i + 1, F.length(token))))
-    two = F.flatten(
-        F.transform(one, lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t)))))
-    )
-    return F.array_distinct(F.concat(F.array(token), one, F.when(F.length(token) >= two_from, two).otherwise(F.array().cast("array<string>"))))
+#: Delete keys of longer strings would be too many; these are found by runs of letters instead.
+LONG, RUN = 48, 16
+
+
+def near_keys(s: str, k: int, typed: bool) -> set[str]:
+    """Keys that two strings at most ``k`` edits apart share, ``k`` being 2 at most.
+
+    Up to LONG letters they are the strings that k deletions leave. A longer one lists
+    three runs of letters, of which two edits leave one whole; what is typed lists all of its runs.
+    """
+    out: set[str] = set()
+    if len(s) <= LONG + 2 * typed:
+        out |= deletes(s, k)
+    if typed and len(s) >= LONG - 1:
+        out |= {"~" + s[i : i + RUN] for i in range(len(s) - RUN + 1)}
+    elif len(s) > LONG:
+        out |= {"~" + s[i : i + RUN] for i in (0, (len(s) - RUN) // 2, len(s) - RUN)}
+    return out
+
+
+def _reach(word: str) -> int:
+    return 2 if len(word) >= 6 else 1 if len(word) >= 3 else 0
+
 
+def word_keys(word: str) -> set[str]:
+    """Keys under which a word of the vocabulary is found."""
+    return near_keys(word, _reach(word), False) | {"'" + skeleton(word)}
 
-#: Bytes that an exploded key takes at most for usual tokens, and the most of them that are broadcast.
-KEY_BYTES, KEYS_BROADCAST = 160, 32 << 20
+
+def token_keys(token: str) -> set[str]:
+    """Keys of the words that a typed token can be a slip of, or leave the vowels out of."""
+    t = token.rstrip(".")
+    s = stem(t)
+    keys = near_keys(s, 2 if len(s) >= 5 else 1 if len(s) >= 3 else 0, True)
+    return keys if _VOWELS.search(t, 1) else keys | {"'" + skeleton(s)}
+
+
+def _is_open(token: str) -> bool:
+    """True of a clipped token or an initial: any word with its beginning may be meant."""
+    return token.endswith(".") or len(token) == 1
+
+
+def pair_keys(words: tuple[str, ...]) -> set[str]:
+    """Keys of a name of two or more words: each two of its words, written out or by their first letter."""
+    out = set()
+    for x, y in itertools.combinations(words, 2):
+        for p in (x, "^" + x[0]):
+            for q in (y, "^" + y[0]):
+                out.add(f"{len(words)}|{min(p, q)}|{max(p, q)}")
+    return out
+
+
+def key_tokens(typed: tuple[str, ...]) -> tuple[str, str] | None:
+    """The two tokens by which a typed name is looked up: those written out, the longest ones."""
+    if len(typed) < 2:
+        return None
+    a, b = sorted(typed, key=lambda t: (_is_open(t), -len(t), t))[:2]
+    return a, b
 
 
-def slip_map(tokens: DataFrame, token: str, n: str, block: list[str] | None = None, ratio: float = 8.0, two_from: int = 7) -> DataFrame:
+def _long_rows(df: DataFrame, column: str, keys, name: str) -> DataFrame:
+    """A row with the hash of each key of each distinct string; all columns are kept."""
+
+    def run(parts: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for part in parts:
+            found = [list(keys(x)) for x in part.column(column).to_pylist()]
+            kept = part.take(pa.array([i for i, f in enumerate(found) for _ in f], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([x for f in found for x in f], pa.string())], [*part.schema.names, name])
+
+    rows = df.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields) + f", {name} string")
+    return rows.withColumn(name, F.xxhash64(name))
+
+
+@F.pandas_udf(DoubleType())
+def _reading_cost(token: pd.Series, word: pd.Series) -> pd.Series:
+    return pd.Series([token_cost(t, w) for t, w in zip(token, word)], dtype="float64")
+
+
+@F.pandas_udf(DoubleType())
+def _name_cost(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    memo: dict[tuple[str, str], float | None] = {}
+
+    def cost(t: str, w: str) -> float | None:
+        c = memo.get((t, w), -1.0)
+        if c == -1.0:
+            if len(memo) > 200_000:
+                memo.clear()
+            c = memo[t, w] = token_cost(t, w)
+        return c
+
+    def one(typed: str, known: str) -> float | None:
+        words = tuple(known.split(" "))
+        return assign([{w: c for w in words if (c := cost(t, w)) is not None} for t in typed.split(" ")], words)
+
+    for a, b in parts:
+        yield pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
+
+
+@F.pandas_udf(DoubleType())
+def _whole_cost(typed: pd.Series, known: pd.Series) -> pd.Series:
+    """Cost of a name as a slip of another, both without spaces; null if it is none."""
+
+    def one(q: str, name: str) -> float | None:
+        words = name.split(" ")
+        most = 2 if len(q) >= 7 else 1
+        e = min(slips(q, squeeze(words), most), slips(q, squeeze(reversed(words)), most))
+        return 0.5 * e + 0.02 if e <= most else None
+
+    return pd.Series([one(x, y) for x, y in zip(typed, known)], dtype="float64")
+
+
+#: Least cost of a name that isn't typed as it is known, less the cost of a changed order.
+LEAST_SLIP = 0.39
+
+
+def resolve_words(typed: DataFrame, lex: DataFrame) -> DataFrame:
+    """The likeliest known name of each typed one: (words, target).
+
+    ``typed`` has distinct tokens in one string, ``words``, and ``lex`` sorted stems,
+    ``words``, with their count, ``n``. A noisy channel: four times the cost of the
+    alignment less the logarithm of the count. Candidates come from equi-joins: tokens
+    to words by symmetric deletes, two tokens of a name to the names that have both, and
+    whole names by their letters without spaces. Only a name that nothing aligns
+    with is taken for a slip of a whole name without spaces. A name out of reach has no
+    row. Both are distinct names, whatever the number of records; nothing is
+    collected.
+    """
+    lex = materialize(lex.select(F.col("words").alias("target"), "n"), "lexicon")
+
+    def look(parts: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for part in parts:
+            words = part.column("words").to_pylist()
+            tokens = [tuple(x.split(" ")) for x in words]
+            two = [key_tokens(t) or (None, None) for t in tokens]
+            text = lambda x: pa.array(x, pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [text(words), text([" ".join(sorted(map(stem, t))) for t in tokens]), text([squeeze(t) for t in tokens]), pa.array(map(len, tokens), pa.int32()), text([x for x, _ in two]), text([y for _, y in two])],
+                ["words", "stems", "q", "k", "a", "b"],
+            )
+
+    seen = typed.select("words").mapInArrow(look, "words string, stems string, q string, k int, a string, b string")
+    own = lex.select(F.col("target").alias("stems"), F.col("n").alias("own"))
+    # a name that is known as typed gives way only to one that is more frequent by the price of a slip
+    seen = materialize(seen.join(broadcast_if_small(own, limit=4 << 20), "stems", "left").withColumn("least", F.coalesce(F.col("own") * math.exp(4 * LEAST_SLIP), F.lit(0.0))), "typed")
+
+    vocabulary = lex.select(F.explode(F.split("target", " ")).alias("word"), "n").groupBy("word").agg(F.max("n").alias("m"))
+    tokens = seen.where("k > 1").select(F.explode(F.array("a", "b")).alias("token"), "least").groupBy("token").agg(F.min("least").alias("_least"))
+    near = _long_rows(tokens, "token", token_keys, "_k").join(_long_rows(vocabulary, "word", word_keys, "_k"), "_k").where("m >= _least").select("token", "word", "m").distinct()
+    near = near.where(_reading_cost("token", "word").isNotNull())
+    t = F.col("token")
+    first = tokens.where(t.endswith(".") | (F.length(t) == 1)).select("token", F.concat(F.lit("^"), F.substring(t, 1, 1)).alias("word"), F.lit(1 << 62).cast("bigint").alias("m"))
+    reads = materialize(near.unionByName(first), "readings")
+
+    posts = materialize(_long_rows(lex, "target", lambda x: pair_keys(tuple(x.split(" "))), "_k"), "posts")
+    found = seen.where("k > 1")
+    for c in ("a", "b"):
+        one = reads.select(F.col("token").alias(c), F.col("word").alias(f"_{c}"), F.col("m").alias("_m"))
+        found = found.join(broadcast_if_small(one, limit=4 << 20), c).where("_m >= least").drop("_m")
+    found = found.withColumn("_k", F.xxhash64(F.concat_ws("|", F.col("k").cast("string"), F.least("_a", "_b"), F.greatest("_a", "_b"))))
+    found = found.select("words", "least", "_k").distinct().join(posts, "_k").where("n >= least").select("words", "target", "n").distinct()
+    found = found.withColumn("cost", _name_cost("words", "target")).where("cost is not null")
+    wholes = _long_rows(lex, "target", lambda x: {squeeze(x.split(" ")), squeeze(reversed(x.split(" ")))}, "_k")
+    same = seen.withColumn("_k", F.xxhash64("q")).join(wholes, "_k")
+    same = same.select("words", "target", "n", F.when(F.col("k") == F.size(F.split("target", " ")), 0.0).otherwise(0.02).alias("cost"))
+    self = seen.where("own is not null").select("words", F.col("stems").alias("target"), F.col("own").alias("n"), F.lit(0.0).alias("cost"))
+    score = 4.0 * F.col("cost") - F.log("n")
+    likeliest = F.min_by("target", F.struct(score, "target")).alias("target")
+    aligned = materialize(found.unionByName(same).unionByName(self).groupBy("words").agg(likeliest), "aligned")
+
+    rest = seen.join(broadcast_if_small(aligned.select("words"), limit=4 << 20), "words", "left_anti").where(F.length("q") >= 4).select("words", "q")
+    rest = _long_rows(rest, "q", lambda x: near_keys(x, 1, True), "_k")
+    wholes = _long_rows(lex, "target", lambda x: near_keys(squeeze(x.split(" ")), 1, False) | near_keys(squeeze(reversed(x.split(" "))), 1, False), "_k")
+    slipped = rest.join(wholes, "_k").select("words", "q", "target", "n").distinct().withColumn("cost", _whole_cost("q", "target")).where("cost is not null")
+    return aligned.unionByName(slipped.groupBy("words").agg(likeliest))
+
+
+def slip_map(tokens: DataFrame, token: str, n: str, block: list[str] | None = None, ratio: float = 8.0, two_from: int | None = 7) -> DataFrame:
     """Rare spellings with the much more frequent one they are a slip of.
 
-    ``tokens`` holds distinct tokens with counts, within blocks. Candidates come from
-    equi-joins on the delete keys. Columns: block, token, ``target``.
+    ``tokens`` holds distinct tokens with counts, within blocks. The distance allowed
+    goes by the length: none below four letters (Ada is no slip of Ida), one
+    from there, two from ``two_from``, where given. Candidates come from equi-joins on
+    delete keys. Columns: block, token, ``target``.
     """
     block = block or []
-    keyed = tokens.select(*block, F.col(token).alias("_t"), F.col(n).alias("_n")).where(F.length("_t") >= 4)
-    keyed = keyed.withColumn("_k", F.explode(delete_keys(F.col("_t"), two_from)))
-    most = 1 if two_from > 1000 else 2
-    rare = keyed.select(*block, "_k", "_t", "_n")
-    often = keyed.where(F.col("_n") >= ratio).select(*block, "_k", F.col("_t").alias("_f"), F.col("_n").alias("_m"))
-    # Catalyst doesn't see that keys are exploded: their number is counted, and within the bound they are broadcast
-    n_keys = F.length(token) + 1 + F.when(F.length(token) >= two_from, F.length(token) * (F.length(token) - 1) / 2).otherwise(0)
-    keys = tokens.where((F.col(n) >= ratio) & (F.length(token) >= 4)).agg(F.sum(n_keys)).first()[0] or 0
-    often = F.broadcast(often) if keys * KEY_BYTES <= KEYS_BROADCAST else often.hint("shuffle_hash")
-    pairs = rare.join(often, [*block, "_k"]).where((F.col("_m") >= F.col("_n") * ratio) & (F.col("_t") != F.col("_f")))
-    pairs = pairs.where(F.abs(F.length("_t") - F.length("_f")) <= most).select(*block, "_t", "_f", "_m").distinct()
+    reach = lambda s: 2 if two_from and len(s) >= two_from else 1
+    named = tokens.select(*block, F.col(token).alias("_t"), F.col(n).cast("bigint").alias("_n")).where(F.length("_t") >= 4)
+    rare = _long_rows(named, "_t", lambda s: near_keys(s, reach(s), True), "_k")
+    often = _long_rows(named.where(F.col("_n") >= ratio), "_t", lambda s: near_keys(s, reach(s), False), "_k").withColumnsRenamed({"_t": "_f", "_n": "_m"})
+    pairs = rare.join(often.hint("shuffle_hash"), [*block, "_k"]).where((F.col("_m") >= F.col("_n") * ratio) & (F.col("_t") != F.col("_f")))
+    pairs = pairs.where(F.abs(F.length("_t") - F.length("_f")) <= (2 if two_from else 1)).select(*block, "_t", "_f", "_m").distinct()
     pairs = pairs.withColumn("_d", F.levenshtein("_t", "_f", 2)).where("_d >= 0")
     swap = F.array_sort(F.split("_t", "")) == F.array_sort(F.split("_f", ""))
-    pairs = pairs.withColumn("_d", F.when((F.col("_d") == 2) & swap, 1).otherwise(F.col("_d"))).where((F.col("_d") <= 1) | (F.length("_f") >= two_from))
+    pairs = pairs.withColumn("_d", F.when((F.col("_d") == 2) & swap, 1).otherwise(F.col("_d"))).where((F.col("_d") <= 1) | (F.length("_f") >= (two_from or 1 << 30)))
     best = F.max_by("_f", F.struct(-F.col("_d"), F.col("_m"), F.col("_f")))
     return pairs.groupBy(*block, "_t").agg(best.alias("target")).withColumnRenamed("_t", token)

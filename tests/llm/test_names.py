@@ -58,14 +58,69 @@ def test_alignment_is_optimal():
         assert (got is None) == (not sums) and (got is None or abs(got - min(sums)) < 1e-9)
 
 
-def test_lexicon_readings():
-    lex = names.Lexicon([(("flinty", "musket"), 200), (("lucky", "peach"), 150), (("compa", "steeple"), 90), (("consul", "meadow"), 80)])
-    for typed in ("flinty musk.", "flnty musket", "musket flinty", "flinty muskets", "flintymusket", "flinty mus ket", "fllinty musekt", "flintymuskett"):
-        parsed = names.parse(typed)
-        assert any((hit := lex.resolve(w)) and lex.names[hit[0][1]] == ("flinty", "musket") for w, _ in parsed), typed
-    assert lex.names[lex.resolve(("compass", "steeple"))[0][1]] == ("compa", "steeple")
-    assert any(lex.resolve(w) for w, _ in names.parse("Meadow Cons. mine"))
-    assert lex.resolve(("silver", "anvil")) == [] and lex.resolve(()) == []
+def _resolved(spark, known, typed):
+    lex = spark.createDataFrame([(" ".join(sorted(map(names.stem, w))), n) for w, n in known], "words string, n bigint")
+    df = spark.createDataFrame([(" ".join(t),) for t in typed], "words string")
+    return {r.words: r.target for r in names.resolve_words(df, lex).collect()}
+
+
+def test_resolved_words(spark):
+    known = [(("flinty", "musket"), 200), (("lucky", "peach"), 150), (("compass", "steeple"), 90), (("consul", "meadow"), 80), (("elk",), 30), (("king",), 60)]
+    forms = ("flinty musk.", "flnty musket", "musket flinty", "flinty muskets", "flintymusket", "flinty mus ket", "fllinty musekt", "flintymuskett", "F. Musket", "flnty m.", "F. M.")
+    typed = {w for f in forms for w, _ in names.parse(f)}
+    got = _resolved(spark, known, [*typed, ("compas", "steeple"), ("meadow", "cons."), ("silver", "anvil"), ("kong",), ("elk",)])
+    for f in forms:
+        assert any(got.get(" ".join(w)) == "flinty musket" for w, _ in names.parse(f)), f
+    assert got["compas steeple"] == "compa steeple" and got["meadow cons."] == "consul meadow"
+    assert "silver anvil" not in got and got["kong"] == "king" and got["elk"] == "elk"
+    assert _resolved(spark, known, []) == _resolved(spark, [], []) == _resolved(spark, [], [("a", "b")]) == {}
+
+
+def test_resolved_words_against_all_pairs(spark):
+    """The joins find what weighing every known name finds."""
+    import math
+
+    rnd = random.Random(11)
+    words = ["golden", "shovel", "lucky", "peach", "wager", "organ", "cougar", "northern", "needle", "anvil", "bcn", "beacon"]
+
+    def slip(w):
+        i = rnd.randrange(len(w))
+        return rnd.choice([w[:i] + w[i + 1 :], w[:i] + rnd.choice("aeo") + w[i:], w[: max(i, 1)] + ".", w, w, w[0]]) or w
+
+    known = {}
+    for _ in range(60):
+        w = " ".join(sorted(map(names.stem, (slip(x).strip(".") for x in rnd.sample(words, rnd.choice([2, 2, 3]))))))
+        known[w] = rnd.choice([1, 1, 2, 9, 80])
+    typed = {tuple(map(slip, rnd.sample(words, rnd.choice([2, 2, 3])))) for _ in range(150)} | {tuple(k.split(" ")) for k in known}
+    want = {}
+    for t in typed:
+        found = {}
+        for k in known:
+            kw = tuple(k.split(" "))
+            costs = [c for c in [names.align(t, kw)] if c is not None]
+            if names.squeeze(t) in (names.squeeze(kw), names.squeeze(reversed(kw))):
+                costs.append(0.0 if len(t) == len(kw) else 0.02)
+            if " ".join(sorted(map(names.stem, t))) == k:
+                costs.append(0.0)
+            if costs:
+                found[k] = 4 * min(costs) - math.log(known[k])
+        if found:
+            want[" ".join(t)] = (min(found.values()), found)
+    got = _resolved(spark, [(tuple(k.split(" ")), n) for k, n in known.items()], typed)
+    for t, (least, found) in want.items():
+        assert got[t] in found and found[got[t]] <= least + 0.05, (t, got[t], found)
+
+
+def test_near_keys_of_long_strings():
+    rnd = random.Random(5)
+    for n in (45, 47, 48, 49, 50, 51, 60, 3000):
+        for _ in range(20):
+            a = "".join(rnd.choice("abcde") for _ in range(n))
+            b = list(a)
+            for _ in range(rnd.randint(0, 2)):
+                i = rnd.randrange(len(b))
+                b[i : i + 1] = rnd.choice([[], ["x"], [b[i], "y"]])
+            assert names.near_keys("".join(b), 2, True) & names.near_keys(a, 2, False)
 
 
 def _records(spark, rows):
@@ -107,25 +162,26 @@ def test_long_names_are_aligned():
         got = names.assign([{w: c for w, c in zip(words, r) if c is not None} for r in cost], words)
         sums = [sum(cost[i][j] for i, j in enumerate(p)) + 0.01 * (p != tuple(range(n))) for p in itertools.permutations(range(n)) if all(cost[i][j] is not None for i, j in enumerate(p))]
         assert (got is None) == (not sums) and (got is None or abs(got - min(sums)) < 1e-9)
-    known = ("anchor", "bridle", "cherry", "fiddle", "gopher", "herald", "inkwell", "juniper")
-    lex = names.Lexicon([(known, 3), (("anchor", "bridle"), 9)])
-    assert [i for _, i in lex.resolve(("gophr", "anch.", "bridle", "juniper", "cherry", "fiddle", "herald", "inkwell"))] == [0]
 
 
-def test_lexicon_blocks_agree(spark, monkeypatch):
-    rows = [("rows", str(i), n, None, "ID", "Ada", None, None, None) for i, n in enumerate(["Golden Shovel"] * 5 + ["Lucky Peach"] * 5 + ["Wager Organ"] * 5 + ["Goldn Shovel", "Luckypeach", "Wager Org."])]
-    one = {r.id: r.entity for r in entities.resolve_records([_records(spark, rows)]).collect()}
-    monkeypatch.setattr(entities, "LEXICON_BLOCK", 1)
-    assert one == {r.id: r.entity for r in entities.resolve_records([_records(spark, rows)]).collect()}
+def test_long_names_are_resolved(spark):
+    known = ("anchor", "bridle", "cherry", "fiddle", "gopher", "herald", "inkwell", "juniper")
+    typed = ("gophr", "anch.", "bridle", "juniper", "cherry", "fiddle", "herald", "inkwell")
+    assert _resolved(spark, [(known, 3), (("anchor", "bridle"), 9)], [typed]) == {" ".join(typed): " ".join(known)}
 
 
-def test_lexicon_blocks_keep_aligned_names(spark, monkeypatch):
+def test_joined_spelling_does_not_outbid_an_aligned_name(spark):
     pairs = [("Blue Bird Hill", "Bluebird Hell"), ("Lone Wolf Camp", "Lonewolf Comp"), ("Gold Fish Bank", "Goldfish Bonk"), ("Iron Horse Tank", "Ironhorse Tonk")]
     rows = [("rows", f"{k}-{i}", n, None, "ID", "Ada", None, None, None) for k, (a, b) in enumerate(pairs) for i, n in enumerate([a] + [b] * 60)]
-    one = {r.id: r.entity for r in entities.resolve_records([_records(spark, rows)]).collect()}
-    assert len(set(one.values())) == 8
-    monkeypatch.setattr(entities, "LEXICON_BLOCK", 1)
-    assert one == {r.id: r.entity for r in entities.resolve_records([_records(spark, rows)]).collect()}
+    assert len({r.entity for r in entities.resolve_records([_records(spark, rows)]).collect()}) == 8
+
+
+def test_long_and_short_places(spark):
+    rows = [("rows", f"a{i}", "Golden Shovel", None, "ID", "Ada", "x" * 6000, None, None) for i in range(5)]
+    rows += [("rows", f"b{i}", "Golden Shovel", None, "ID", "Boise", "y" * 60, None, None) for i in range(5)]
+    rows += [("rows", "clip", "Golden Shovel", None, "ID", "B.", None, None, None), ("rows", "long", "q" * 5000 + " mine", None, "ID", "Ada", None, None, None)]
+    got = {r.id: (r.entity, r.county) for r in entities.resolve_records([_records(spark, rows)]).collect()}
+    assert got["clip"][0] == got["b0"][0] != got["a0"][0] and got["clip"][1] == "boise" and len(got) == 12
 
 
 # --- canonical lists ------------------------------------------------------------------------------
