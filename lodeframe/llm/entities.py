@@ -89,8 +89,8 @@ def _listed(parsed: DataFrame) -> DataFrame:
     return counted.mapInArrow(run, "names string, part int, pos int, words string, num string, stems string, n bigint")
 
 
-def lexicon(listed: DataFrame) -> DataFrame:
-    """Names (sorted stems) that the records support, with counts: (words, n).
+def lexicon(listed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Names (sorted stems) that the records support, with counts: (words, n); and rare slips with what they stand for: (words, target).
 
     Left out are clipped names, names that are a much rarer slip of another, and
     names that are another one written without spaces.
@@ -98,12 +98,12 @@ def lexicon(listed: DataFrame) -> DataFrame:
     counts = listed.where(~F.col("words").contains(".")).groupBy(F.col("stems").alias("words")).agg(F.sum("n").alias("n"))
     counts = materialize(counts, "names")
     # whole names one slip apart
-    slips = N.slip_map(counts, "words", "n", ratio=4.0, two_from=None)
+    slips = materialize(N.slip_map(counts, "words", "n", ratio=4.0, two_from=None), "slips")
     two = F.size(F.split("words", " "))
     plain = F.regexp_replace("words", " ", "")
     joined = counts.where(two == 2).select(F.explode(F.array(plain, F.concat(F.split_part("words", F.lit(" "), F.lit(2)), F.split_part("words", F.lit(" "), F.lit(1))))).alias("q")).distinct()
     spelled = counts.where(two != 2).withColumn("q", plain).join(joined, "q", "left_semi").select("words")
-    return counts.join(materialize(slips.select("words").union(spelled), "slips"), "words", "left_anti")
+    return counts.join(slips.select("words").union(spelled), "words", "left_anti"), slips
 
 
 def resolve_names(parsed: DataFrame) -> DataFrame:
@@ -114,7 +114,7 @@ def resolve_names(parsed: DataFrame) -> DataFrame:
     """
     listed = materialize(_listed(parsed), "listed")
     typed = listed.select("words").distinct()
-    target = materialize(N.resolve_words(typed, lexicon(listed)), "targets")
+    target = materialize(N.resolve_words(typed, *lexicon(listed)), "targets")
     hits = listed.select("names", "part", "pos", "words", "num", "stems").join(broadcast_if_small(target, limit=4 << 20), "words", "left")
     entry = F.struct("part", "pos", F.concat_ws("#", "target", "num").alias("hit"), F.concat_ws("#", "stems", "num").alias("typed"), F.col("target").isNotNull().alias("ok"))
     one = hits.groupBy("names").agg(F.array_sort(F.collect_list(entry)).alias("e"))  # the alternatives of one typed record
@@ -128,9 +128,11 @@ def resolve_names(parsed: DataFrame) -> DataFrame:
 
 def plain_place(c: Column) -> Column:
     """A county or district in plain form; null where blank. Patterns run only on texts they can change."""
-    s = F.lower(F.trim(F.when(c.contains("("), F.regexp_replace(c, r"\([^)]*\)?", " ")).otherwise(c)))
-    kind = F.regexp_replace(F.trim(F.regexp_replace(s, r"\s+(co|county|parish|borough|mining district|mng\.? dist|district|dist)\.?\s*$", "")), r"\s+", " ")
-    return F.nullif(F.translate(F.when(s.rlike(r"\s"), kind).otherwise(s), "|", "/"), F.lit(""))  # a bar parts an entity's key
+    flat = F.translate(c, "\t\n\r\u00a0", "    ")
+    s = F.lower(F.trim(F.when(flat.contains("("), F.regexp_replace(flat, r"\([^)]*\)?", " ")).otherwise(flat)))
+    kind = F.trim(F.regexp_replace(s, r" +(co|county|parish|borough|mining district|mng\.? dist|district|dist)\.? *$", ""))
+    kind = F.when(kind.contains("  "), F.regexp_replace(kind, " +", " ")).otherwise(kind)
+    return F.nullif(F.translate(F.when(s.contains(" "), kind).otherwise(s), "|", "/"), F.lit(""))  # a bar parts an entity's key
 
 
 def place_map(records: DataFrame, place: str) -> DataFrame:
@@ -225,11 +227,14 @@ def resolve_records(parts: list[DataFrame], carry: list[str] | None = None) -> D
     best = lambda o: F.array_max(F.transform(near(o), lambda q: F.struct(q["sure"], q["n"], q["county"])))["county"]
     options = options.withColumn("opts", F.transform("opts", lambda o: o.withField("to", best(o))))
     options = materialize(options, "options")
-    rec = rec.join(broadcast_if_small(options, limit=4 << 20), ["state", "main"], "left")
     own = options.select("state", "main", F.inline("opts")).select("state", "main", "county", F.col("n").alias("_n"), F.col("mdist").alias("_d"), F.col("to").alias("_to"))
-    rec = rec.join(broadcast_if_small(materialize(own, "own"), limit=1 << 20), ["state", "main", "county"], "left")
+    rec = rec.join(broadcast_if_small(materialize(own, "own"), limit=2 << 20), ["state", "main", "county"], "left")
     agreed = F.coalesce((F.col("_n") > 1) & (F.col("_d") == F.col("district")), F.lit(False))
 
+    # the options of a name come only to records that have to be weighed
+    options = options.select(F.col("state").alias("_state"), F.col("main").alias("_main"), "opts")
+    rec = rec.join(broadcast_if_small(options, limit=4 << 20), (F.col("state") == F.col("_state")) & (F.col("main") == F.col("_main")) & ~agreed, "left")
+
     def score(o: Column) -> Column:
         self = (o["county"] == F.col("county")).cast("int")
         self = F.coalesce(self, F.lit(0))
@@ -240,9 +245,9 @@ def resolve_records(parts: list[DataFrame], carry: list[str] | None = None) -> D
         return weight + county + district + F.when(alone, 0.0).otherwise(_close(F.col("lat"), F.col("lon"), o["mlat"], o["mlon"]))
 
     ranked = F.array_max(F.transform("opts", lambda o: F.struct(score(o).alias("s"), o["to"].alias("county"))))["county"]
-    # nothing to weigh where there is one candidate, or where others confirm the county and the district agrees
-    only = F.when(F.size("opts") == 1, F.col("opts")[0]["to"]).when(agreed, F.col("_to")).otherwise(ranked)
-    rec = rec.withColumn("place", F.coalesce(only, F.col("county"))).drop("opts", "_n", "_d", "_to")
+    # nothing to weigh where others confirm the county and the district agrees, or where there is one candidate
+    only = F.when(agreed, F.col("_to")).when(F.size("opts") == 1, F.col("opts")[0]["to"]).otherwise(ranked)
+    rec = rec.withColumn("place", F.coalesce(only, F.col("county"))).drop("opts", "_n", "_d", "_to", "_state", "_main")
     # a record placed now may go by a further name of its county
     late = alias.withColumnsRenamed({"county": "place"})
     rec = rec.join(broadcast_if_small(late, limit=1 << 20), ["state", "place", "main"], "left").withColumn("main", F.coalesce("_to", "main")).drop("_to")

@@ -33,6 +33,7 @@ _JOINED_NUMBER = re.compile(r"^([a-z]{4,})no(\d+)$")
 _OCR = str.maketrans({"0": "o", "1": "l", "5": "s"})
 _VOWELS = re.compile("[aeiou]")
 _WORD = re.compile(r"[^\W_]+[.]?", re.U)
+_VEIN, _NOTE, _NOTE_OUT = re.compile(r"^\s*\w+ vein,\s*"), re.compile(r"\(([^)]*)\)"), re.compile(r"\([^)]*\)?")
 
 
 def _words(s: str, clipped: bool = False) -> tuple[tuple[str, ...], int]:
@@ -77,17 +78,18 @@ def parse(name: str | None) -> list[tuple[tuple[str, ...], int]]:
     """
     if not name:
         return []
-    s = unicodedata.normalize("NFKC", name)
-    s = re.sub(r"^\s*\w+ vein,\s*", "", s)
+    s = name if name.isascii() else unicodedata.normalize("NFKC", name)
+    if " vein," in s:
+        s = _VEIN.sub("", s)
     extra = []
-    for note in re.findall(r"\(([^)]*)\)", s):
+    for note in _NOTE.findall(s) if "(" in s else ():
         words = note.split()
         if 1 < len(words) <= 3 and all(w.replace(".", "").isalpha() for w in words) and not NOTE_WORDS & {w.lower() for w in words}:
             extra.append(note)
-    parts = [*re.sub(r"\([^)]*\)?", " ", s).split(";"), *extra]
+    parts = [*(_NOTE_OUT.sub(" ", s) if "(" in s else s).split(";"), *extra]
     out = []
     for p in parts:
-        for clipped in (False, True):
+        for clipped in (False, True) if "." in p else (False,):
             words, num = _words(p, clipped)
             if words and (words, num) not in out:
                 out.append((words, num))
@@ -347,7 +349,7 @@ def _whole_cost(typed: pd.Series, known: pd.Series) -> pd.Series:
 LEAST_SLIP = 0.39
 
 
-def resolve_words(typed: DataFrame, lex: DataFrame) -> DataFrame:
+def resolve_words(typed: DataFrame, lex: DataFrame, slipped: DataFrame | None = None) -> DataFrame:
     """The likeliest known name of each typed one: (words, target).
 
     ``typed`` has distinct tokens in one string, ``words``, and ``lex`` sorted stems,
@@ -357,7 +359,8 @@ def resolve_words(typed: DataFrame, lex: DataFrame) -> DataFrame:
     whole names by their letters without spaces. Only a name that nothing aligns
     with is taken for a slip of a whole name without spaces. A name out of reach has no
     row. Both are distinct names, whatever the number of records; nothing is
-    collected.
+    collected. ``slipped`` may name sorted stems, ``words``, that are known slips of others,
+    ``target``: they are candidates like all, and spare the search for less likely ones.
     """
     lex = materialize(lex.select(F.col("words").alias("target"), "n"), "lexicon")
 
@@ -373,16 +376,20 @@ def resolve_words(typed: DataFrame, lex: DataFrame) -> DataFrame:
             )
 
     seen = typed.select("words").mapInArrow(look, "words string, stems string, q string, k int, a string, b string")
-    own = lex.select(F.col("target").alias("stems"), F.col("n").alias("own"))
-    # a name that is known as typed gives way only to one that is more frequent by the price of a slip
-    seen = materialize(seen.join(broadcast_if_small(own, limit=4 << 20), "stems", "left").withColumn("least", F.coalesce(F.col("own") * math.exp(4 * LEAST_SLIP), F.lit(0.0))), "typed")
+    own = lex.select(F.col("target").alias("stems"), F.col("target").alias("sure"), F.col("n").alias("own"), F.lit(0.0).alias("at"))
+    if slipped is not None:
+        to = slipped.select(F.col("words").alias("stems"), F.col("target").alias("sure")).join(lex.select(F.col("target").alias("sure"), F.col("n").alias("own")), "sure")
+        own = own.unionByName(to.withColumn("at", _name_cost("stems", "sure")).where("at is not null"))
+    # a name that is known as typed, or as a slip, gives way only to one that is more frequent by the price of a slip
+    seen = materialize(seen.join(broadcast_if_small(own, limit=4 << 20), "stems", "left").withColumn("least", F.coalesce(F.col("own") * F.exp(4 * (LEAST_SLIP - F.col("at"))), F.lit(0.0))), "typed")
 
     vocabulary = lex.select(F.explode(F.split("target", " ")).alias("word"), "n").groupBy("word").agg(F.max("n").alias("m"))
     tokens = seen.where("k > 1").select(F.explode(F.array("a", "b")).alias("token"), "least").groupBy("token").agg(F.min("least").alias("_least"))
     near = _long_rows(tokens, "token", token_keys, "_k").join(_long_rows(vocabulary, "word", word_keys, "_k"), "_k").where("m >= _least").select("token", "word", "m").distinct()
-    near = near.where(_reading_cost("token", "word").isNotNull())
     t = F.col("token")
-    first = tokens.where(t.endswith(".") | (F.length(t) == 1)).select("token", F.concat(F.lit("^"), F.substring(t, 1, 1)).alias("word"), F.lit(1 << 62).cast("bigint").alias("m"))
+    clipped = t.endswith(".") | (F.length(t) == 1)
+    near = near.where(~clipped | (F.substring("token", 1, 1) != F.substring("word", 1, 1))).where(_reading_cost("token", "word").isNotNull())
+    first = tokens.where(clipped).select("token", F.concat(F.lit("^"), F.substring(t, 1, 1)).alias("word"), F.lit(1 << 62).cast("bigint").alias("m"))
     reads = materialize(near.unionByName(first), "readings")
 
     posts = materialize(_long_rows(lex, "target", lambda x: pair_keys(tuple(x.split(" "))), "_k"), "posts")
@@ -391,12 +398,12 @@ def resolve_words(typed: DataFrame, lex: DataFrame) -> DataFrame:
         one = reads.select(F.col("token").alias(c), F.col("word").alias(f"_{c}"), F.col("m").alias("_m"))
         found = found.join(broadcast_if_small(one, limit=4 << 20), c).where("_m >= least").drop("_m")
     found = found.withColumn("_k", F.xxhash64(F.concat_ws("|", F.col("k").cast("string"), F.least("_a", "_b"), F.greatest("_a", "_b"))))
-    found = found.select("words", "least", "_k").distinct().join(posts, "_k").where("n >= least").select("words", "target", "n").distinct()
+    found = found.select("words", "least", "_k").join(broadcast_if_small(posts, limit=4 << 20), "_k").where("n >= least").select("words", "target", "n").distinct()
     found = found.withColumn("cost", _name_cost("words", "target")).where("cost is not null")
     wholes = _long_rows(lex, "target", lambda x: {squeeze(x.split(" ")), squeeze(reversed(x.split(" ")))}, "_k")
     same = seen.withColumn("_k", F.xxhash64("q")).join(wholes, "_k")
     same = same.select("words", "target", "n", F.when(F.col("k") == F.size(F.split("target", " ")), 0.0).otherwise(0.02).alias("cost"))
-    self = seen.where("own is not null").select("words", F.col("stems").alias("target"), F.col("own").alias("n"), F.lit(0.0).alias("cost"))
+    self = seen.where("own is not null").select("words", F.col("sure").alias("target"), F.col("own").alias("n"), F.col("at").alias("cost"))
     score = 4.0 * F.col("cost") - F.log("n")
     likeliest = F.min_by("target", F.struct(score, "target")).alias("target")
     aligned = materialize(found.unionByName(same).unionByName(self).groupBy("words").agg(likeliest), "aligned")
