@@ -139,7 +139,7 @@ def place_map(records: DataFrame, place: str) -> DataFrame:
     """Typed places of a state with the supported spelling they stand for: (state, place, target)."""
     counts = materialize(records.where(F.col(place).isNotNull()).groupBy("state", F.col(place).alias("place")).agg(F.count(F.lit(1)).alias("n")), "places")
     full = counts.where(~F.col("place").endswith("."))
-    slips = N.slip_map(full, "place", "n", ["state"], ratio=3.0)
+    slips = materialize(N.slip_map(full, "place", "n", ["state"], ratio=3.0), "slips")
     kept = full.join(slips, ["state", "place"], "left_anti")
     # a clipped place stands for the most frequent one that begins so; under three letters only if there is one
     cut = counts.where(F.col("place").endswith(".")).select("state", "place", F.regexp_replace("place", r"\.$", "").alias("_p")).where(F.length("_p") >= 1)
@@ -211,8 +211,8 @@ def resolve_records(parts: list[DataFrame], carry: list[str] | None = None) -> D
     # a record without a county that goes by a further name alone: the name it stands for, if there is one in the state
     lone = alias.groupBy("state", "main").agg(F.min("_to").alias("_one"), F.max("_to").alias("_max")).where("_one = _max")
     lone = materialize(lone.select("state", "main", "_one").join(spots.select("state", "main").distinct(), ["state", "main"], "left_anti"), "lone")
-    rec = rec.join(broadcast_if_small(lone, limit=1 << 20), ["state", "main"], "left")
-    rec = rec.withColumn("main", F.when(F.col("county").isNull(), F.coalesce("_one", "main")).otherwise(F.col("main"))).drop("_one")
+    rec = rec.withColumn("_bare", F.when(F.col("county").isNull(), F.col("main"))).join(broadcast_if_small(lone.withColumnRenamed("main", "_bare"), limit=1 << 20), ["state", "_bare"], "left")
+    rec = rec.withColumn("main", F.coalesce("_one", "main")).drop("_one", "_bare")
     key = ["state", "main", "county"]
     centre = spots.groupBy(*key).agg(F.sum("_n").alias("n"), F.max("sure").alias("sure"))
     most = F.struct("_n", "_y", "_x")
@@ -227,10 +227,17 @@ def resolve_records(parts: list[DataFrame], carry: list[str] | None = None) -> D
     best = lambda o: F.array_max(F.transform(near(o), lambda q: F.struct(q["sure"], q["n"], q["county"])))["county"]
     options = options.withColumn("opts", F.transform("opts", lambda o: o.withField("to", best(o))))
     options = materialize(options, "options")
-    own = options.select("state", "main", F.inline("opts")).select("state", "main", "county", F.col("n").alias("_n"), F.col("mdist").alias("_d"), F.col("to").alias("_to"))
-    rec = rec.join(broadcast_if_small(materialize(own, "own"), limit=2 << 20), ["state", "main", "county"], "left")
-    agreed = F.coalesce((F.col("_n") > 1) & (F.col("_d") == F.col("district")), F.lit(False))
-
+    weigh = lambda n, sure: F.log(n + 0.3) + 2.0 * sure
+    rival = lambda o: F.array_max(F.transform(F.filter("opts", lambda q: q["county"] != o["county"]), lambda q: weigh(q["n"], q["sure"])))
+    own = options.select("state", "main", F.inline(F.transform("opts", lambda o: o.withField("rival", rival(o)))))
+    own = own.select("state", "main", "county", *[F.col(c).alias(f"_{c}") for c in ("n", "mdist", "mlat", "mlon", "sure", "to", "rival")])
+    rec = rec.join(broadcast_if_small(materialize(own, "own"), limit=4 << 20), ["state", "main", "county"], "left")
+    placed, spotted = F.col("district").isNotNull(), F.col("lat").isNotNull()
+    fits = F.when(~placed | F.col("_mdist").isNull(), 0.0).when(F.col("_mdist") == F.col("district"), 3.0).otherwise(-1.5) + _close(F.col("lat"), F.col("lon"), F.col("_mlat"), F.col("_mlon"))
+    mine = 3.5 + weigh(F.col("_n") - 1, F.col("_sure")) + F.when(F.col("_n") == 1, 0.0).otherwise(fits)
+    most = -2.0 + F.col("_rival") + F.when(placed, 3.0).otherwise(0.0) + F.when(spotted, 4.0).otherwise(0.0)
+    # its county stands where others confirm it and the district agrees, or where no other county of the name can weigh more
+    agreed = F.coalesce((F.col("_n") > 1) & (F.col("_mdist") == F.col("district")), F.lit(False)) | F.coalesce(mine > most, F.lit(False))
     # the options of a name come only to records that have to be weighed
     options = options.select(F.col("state").alias("_state"), F.col("main").alias("_main"), "opts")
     rec = rec.join(broadcast_if_small(options, limit=4 << 20), (F.col("state") == F.col("_state")) & (F.col("main") == F.col("_main")) & ~agreed, "left")
@@ -238,7 +245,7 @@ def resolve_records(parts: list[DataFrame], carry: list[str] | None = None) -> D
     def score(o: Column) -> Column:
         self = (o["county"] == F.col("county")).cast("int")
         self = F.coalesce(self, F.lit(0))
-        weight = F.log(F.greatest(o["n"] - self, F.lit(0)) + 0.3) + 2.0 * o["sure"]
+        weight = weigh(F.greatest(o["n"] - self, F.lit(0)), o["sure"])
         county = F.when(F.col("county").isNull(), 0.0).when(o["county"] == F.col("county"), 3.5).otherwise(-2.0)
         alone = (self == 1) & (o["n"] == 1)
         district = F.when(F.col("district").isNull() | o["mdist"].isNull() | alone, 0.0).when(o["mdist"] == F.col("district"), 3.0).otherwise(-1.5)
@@ -247,7 +254,7 @@ def resolve_records(parts: list[DataFrame], carry: list[str] | None = None) -> D
     ranked = F.array_max(F.transform("opts", lambda o: F.struct(score(o).alias("s"), o["to"].alias("county"))))["county"]
     # nothing to weigh where others confirm the county and the district agrees, or where there is one candidate
     only = F.when(agreed, F.col("_to")).when(F.size("opts") == 1, F.col("opts")[0]["to"]).otherwise(ranked)
-    rec = rec.withColumn("place", F.coalesce(only, F.col("county"))).drop("opts", "_n", "_d", "_to", "_state", "_main")
+    rec = rec.withColumn("place", F.coalesce(only, F.col("county"))).drop("opts", "_n", "_mdist", "_mlat", "_mlon", "_sure", "_to", "_rival", "_state", "_main")
     # a record placed now may go by a further name of its county
     late = alias.withColumnsRenamed({"county": "place"})
     rec = rec.join(broadcast_if_small(late, limit=1 << 20), ["state", "place", "main"], "left").withColumn("main", F.coalesce("_to", "main")).drop("_to")
