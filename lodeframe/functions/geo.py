@@ -172,12 +172,14 @@ def _cell_range(lat: float, lon: float, x0, y0, s: float):
     return near, far
 
 
-def polygon_cover(rings: list[list[tuple[float, float]]], depth: int = 4, max_level: int = 20) -> list[tuple[int, int, int, bool]]:
-    """Adaptive cover of an even-odd polygon in lon/lat: (level, ix, iy, interior).
+def polygon_cover(rings: list[list[tuple[float, float]]], depth: int = 4, max_level: int = 20, most_edges: int = 64) -> list[tuple[int, int, int, bool, bool, list[tuple]]]:
+    """Adaptive cover of an even-odd polygon in lon/lat: (level, ix, iy, interior, centre, edges).
 
     A cell that no edge passes lies wholly inside or outside, which its centre
-    decides; cells that an edge passes are split ``depth`` times and then kept as
-    boundary cells. Empty rings give no cells. Rings don't cross 180 degrees.
+    decides; cells that an edge passes are split ``depth`` times, and further while
+    more than ``most_edges`` pass and the grid has a finer level. A boundary cell has
+    the edges that pass it and whether its centre lies inside: enough for the exact test of a
+    point in it. Empty rings give no cells. Rings don't cross 180 degrees.
     """
     edges = np.array(
         [(a[0], a[1], b[0], b[1]) for r in rings if r is not None and len(r) >= 3 for a, b in zip(r, [*r[1:], r[0]])],
@@ -191,33 +193,62 @@ def polygon_cover(rings: list[list[tuple[float, float]]], depth: int = 4, max_le
     while level < max_level - depth and cell_size(level + 1) >= max(xhi - xlo, yhi - ylo, 1e-5):
         level += 1
     s = cell_size(level)
-    todo = [
-        (level, x, y, edges)
-        for x in range(math.floor((xlo + 180) / s), math.floor((xhi + 180) / s) + 1)
-        for y in range(math.floor((ylo + 90) / s), math.floor((yhi + 90) / s) + 1)
-    ]
+    xs, ys = np.arange(math.floor((xlo + 180) / s), math.floor((xhi + 180) / s) + 1), np.arange(math.floor((ylo + 90) / s), math.floor((yhi + 90) / s) + 1)
+    ix, iy = (a.ravel() for a in np.meshgrid(xs, ys))
+    # cells of one level at a time, with the pairs of a cell and an edge that may pass it
+    cell, edge = (a.ravel() for a in np.meshgrid(np.arange(len(ix)), np.arange(len(edges))))
     last, out = level + depth, []
-    while todo:
-        k, x, y, near = todo.pop()
-        s = cell_size(k)
-        x0, y0 = x * s - 180, y * s - 90
-        hit = near[_edges_in_box(near, x0 - 1e-12, y0 - 1e-12, x0 + s + 1e-12, y0 + s + 1e-12)]
-        if not len(hit):
-            if np_even_odd(edges, x0 + s / 2, y0 + s / 2):
-                out.append((k, x % (2 << k), y, True))
-        elif k == last:
-            out.append((k, x % (2 << k), y, False))
-        else:
-            todo += [(k + 1, 2 * x + i, 2 * y + j, hit) for i in (0, 1) for j in (0, 1)]
+    while len(ix):
+        s = cell_size(level)
+        x0, y0 = ix * s - 180, iy * s - 90
+        hit = _edges_in_box(edges[edge], x0[cell] - 1e-12, y0[cell] - 1e-12, x0[cell] + s + 1e-12, y0[cell] + s + 1e-12)
+        cell, edge = cell[hit], edge[hit]
+        passing = np.bincount(cell, minlength=len(ix))
+        split = (passing > 0) & ((level < last) | (passing > most_edges)) & (level < max_level)
+        done = np.flatnonzero(~split)
+        centre = np_even_odd(edges, x0[done] + s / 2, y0[done] + s / 2)
+        order = np.argsort(cell, kind="stable")
+        ends = np.cumsum(passing)
+        for c, inside in zip(done, centre):
+            if passing[c] or inside:
+                own = edges[edge[order[ends[c] - passing[c] : ends[c]]]]
+                out.append((level, int(ix[c]) % (2 << level), int(iy[c]), not passing[c], bool(inside), [tuple(e) for e in own.tolist()]))
+        place = np.cumsum(split) - 1
+        kept = split[cell]
+        cell, edge, n = place[cell[kept]], edge[kept], int(split.sum())
+        ix, iy = ix[split], iy[split]
+        ix, iy = np.concatenate([2 * ix + i for i in (0, 1) for _ in (0, 1)]), np.concatenate([2 * iy + j for _ in (0, 1) for j in (0, 1)])
+        cell, edge = np.concatenate([cell + q * n for q in range(4)]), np.tile(edge, 4)
+        level += 1
     return sorted(out)
 
 
-def np_even_odd(edges, x: float, y: float) -> bool:
+def np_even_odd(edges, x, y, at_once: int = 1 << 22):
+    """Even-odd test of points (arrays) against all edges, in blocks of bounded size."""
     ax, ay, bx, by = edges.T
-    c = (ay > y) != (by > y)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        at = (bx - ax) * (y - ay) / (by - ay) + ax
-    return bool((c & (x < at)).sum() % 2)
+    out, step = np.zeros(len(x), dtype=bool), max(1, at_once // len(edges))
+    for i in range(0, len(x), step):
+        px, py = x[i : i + step, None], y[i : i + step, None]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            at = (bx - ax) * (py - ay) / (by - ay) + ax
+        out[i : i + step] = (((ay > py) != (by > py)) & (px < at)).sum(1) % 2 == 1
+    return out
+
+
+def across_edges(cx: Column, cy: Column, px: Column, py: Column, edges: Column) -> Column:
+    """Whether the way from a cell's centre to a point crosses its edges an odd number of times."""
+    dx, dy = px - cx, py - cy
+
+    def crossed(e: Column) -> Column:
+        # sides of the edge's ends as seen along the way, and of the way's ends as seen along the edge
+        a = dx * (e["ay"] - cy) - dy * (e["ax"] - cx)
+        b = dx * (e["by"] - cy) - dy * (e["bx"] - cx)
+        ex, ey = e["bx"] - e["ax"], e["by"] - e["ay"]
+        c = ex * (cy - e["ay"]) - ey * (cx - e["ax"])
+        d = ex * (py - e["ay"]) - ey * (px - e["ax"])
+        return ((a >= 0) != (b >= 0)) & ((c >= 0) != (d >= 0))
+
+    return F.size(F.filter(edges, crossed)) % 2 == 1
 
 
 def _edges_in_box(e, x0, y0, x1, y1):

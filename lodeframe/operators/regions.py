@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..session import broadcast_if_small, materialize
 
+#: Bytes of a cell, and of an edge that it carries, as broadcast.
+CELL_BYTES, EDGE_BYTES = 120, 64
 CELLS = "_level int, _ix bigint, _iy bigint, _inside boolean"
 
 
@@ -50,27 +52,29 @@ def circle_cells(regions: DataFrame, id_col: str, lat: str, lon: str, radius_m:
 
 
 def polygon_cells(regions: DataFrame, id_col: str, rings_col: str, depth: int = 4) -> DataFrame:
-    """Cover of polygons given as array<array<struct<x,y>>>: id, rings and cells.
+    """Cover of polygons given as array<array<struct<x,y>>>: id and cells.
 
-    Null or empty rings give no cells.
+    A boundary cell carries only the edges that pass it (``_edges``), its centre (``_cx``,
+    ``_cy``) and whether that lies inside (``_centre``), never whole rings. Null or empty rings give no cells.
     """
-    src = regions.select(F.col(id_col).alias("_rid"), F.col(rings_col).alias("_rings")).where(F.col("_rings").isNotNull())
-    flat = src.select("_rid", F.to_json("_rings").alias("_json"))
+    flat = regions.select(F.col(id_col).alias("_rid"), F.to_json(rings_col).alias("_json")).where("_json is not null")
+    kind = flat.schema["_rid"].dataType.simpleString()
 
     def cover(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import json
 
+        names = ["_rid", "_level", "_ix", "_iy", "_inside", "_centre", "_edges"]
         for pdf in parts:
-            rows = [
-                (rid, *c)
-                for rid, js in pdf.itertuples(index=False)
-                for c in geo.polygon_cover([[(p["x"], p["y"]) for p in r] for r in json.loads(js)], depth)
-            ]
-            yield pd.DataFrame(rows, columns=["_rid", "_level", "_ix", "_iy", "_inside"])
+            for rid, js in pdf.itertuples(index=False):  # a polygon at a time: its cells may be many
+                found = geo.polygon_cover([[(p["x"], p["y"]) for p in r] for r in json.loads(js)], depth)
+                yield pd.DataFrame([(rid, *c[:5], [dict(zip(("ax", "ay", "bx", "by"), e)) for e in c[5]]) for c in found], columns=names)
 
-    kind = src.schema["_rid"].dataType.simpleString()
-    cells = flat.mapInPandas(cover, f"_rid {kind}, {CELLS}")
-    return cells.join(src, "_rid").withColumn("_cell", _level_key(F.col("_level"), F.col("_ix"), F.col("_iy")))
+    # covers cost by the corner: regions are dealt out however few files they come in
+    flat = flat.repartition(regions.sparkSession.sparkContext.defaultParallelism)
+    cells = flat.mapInPandas(cover, f"_rid {kind}, {CELLS}, _centre boolean, _edges array<struct<ax:double,ay:double,bx:double,by:double>>")
+    size = F.lit(180.0) / F.pow(F.lit(2.0), F.col("_level"))
+    middle = {"_cx": (F.col("_ix") + 0.5) * size - 180, "_cy": (F.col("_iy") + 0.5) * size - 90}
+    return cells.withColumns(middle).withColumn("_cell", _level_key(F.col("_level"), F.col("_ix"), F.col("_iy")))
 
 
 def _probe(points: DataFrame, lat: str, lon: str, levels: list[int]) -> DataFrame:
@@ -87,11 +91,10 @@ def _probe(points: DataFrame, lat: str, lon: str, levels: list[int]) -> DataFram
 
 def _join_cells(points: DataFrame, cells: DataFrame, lat: str, lon: str, exact: Column, keep: list[str]) -> DataFrame:
     cells = materialize(cells, "cells")
-    seen = cells.groupBy("_level").count().collect()  # at most 21 levels
-    if not seen:
-        seen = [(0, 0)]
-    levels, n = sorted(r[0] for r in seen), sum(r[1] for r in seen)
-    hit = _probe(points, lat, lon, levels).join(broadcast_if_small(cells, n, 72), "_cell").where(F.col("_inside") | exact)
+    edges = F.sum(F.greatest(F.size("_edges"), F.lit(0))) if "_edges" in cells.columns else F.lit(0)
+    seen = cells.groupBy("_level").agg(F.count(F.lit(1)), edges).collect() or [(0, 0, 0)]  # at most 21 levels
+    levels, size = sorted(r[0] for r in seen), sum(r[1] * CELL_BYTES + r[2] * EDGE_BYTES for r in seen)
+    hit = _probe(points, lat, lon, levels).join(broadcast_if_small(cells, size, 1), "_cell").where(F.col("_inside") | exact)
     return hit.select(*keep)
 
 
@@ -115,8 +118,8 @@ def points_in_polygons(points: DataFrame, point_id: str, x: str, y: str, regions
     """Pairs of a point and an even-odd polygon (rings of struct<x,y>) that holds it."""
     pts = points.select(F.col(point_id).alias("_pid"), F.col(y).alias("_plat"), F.col(x).alias("_plon"))
     cells = polygon_cells(regions, region_id, rings, depth)
-    odd = F.aggregate("_rings", F.lit(0), lambda acc, r: acc + geo.ring_contains(F.col("_plon"), F.col("_plat"), r).cast("int")) % 2 == 1
-    out = _join_cells(pts, cells, "_plat", "_plon", odd, ["_pid", "_rid"])
+    exact = F.col("_centre") != geo.across_edges(F.col("_cx"), F.col("_cy"), F.col("_plon"), F.col("_plat"), F.col("_edges"))
+    out = _join_cells(pts, cells, "_plat", "_plon", exact, ["_pid", "_rid"])
     return out.withColumnsRenamed({"_pid": point_id, "_rid": region_id})
 
 

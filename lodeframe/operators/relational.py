@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.digests import hash_tree
 from ..session import materialize
 
 
@@ -44,20 +45,27 @@ def capped_list(df: DataFrame, keys: Sequence[str], value: Column, order: Column
     return t.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "_v"))), lambda x: x["_v"]).alias(name))
 
 
-def dense_rank_where(df: DataFrame, eligible: Column, *order: Column, buckets: int = 64, name: str = "rank") -> DataFrame:
+#: Rows in a range partition of a table that is put in order.
+RANGE_ROWS = 1 << 20
+
+
+def dense_rank_where(df: DataFrame, eligible: Column, *order: Column, name: str = "rank") -> DataFrame:
     """A rank 1..n over the eligible rows of the whole table, null for the others.
 
-    Ranks come from a range partitioning and the sizes of the partitions before, so
-    that no single task sorts the table.
+    Ranks come from a range partitioning, in as many parts as the counted rows ask for, and the
+    sizes of the partitions before, so that no single task sorts the table.
     """
-    good = df.where(eligible).repartitionByRange(buckets, *order).sortWithinPartitions(*order)
+    df = df.withColumn("_good", F.coalesce(eligible, F.lit(False)))
+    good = materialize(df.where("_good"), "eligible")
+    parts = max(1, -(-good.count() // RANGE_ROWS))
+    good = good.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     good = good.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
     good = good.withColumn("_i", F.col("_i").bitwiseAND(F.lit((1 << 33) - 1)))
     good = materialize(good, "ranked")  # sizes and rows must come from one and the same partitioning
     sizes = good.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     start = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_s"))  # one row a partition
-    ranked = good.join(F.broadcast(start), "_p").withColumn(name, F.col("_s") + F.col("_i") + 1).drop("_p", "_i", "_s")
-    rest = df.where(~F.coalesce(eligible, F.lit(False))).withColumn(name, F.lit(None).cast("bigint"))
+    ranked = good.join(F.broadcast(start), "_p").withColumn(name, F.col("_s") + F.col("_i") + 1).drop("_p", "_i", "_s", "_good")
+    rest = df.where("not _good").drop("_good").withColumn(name, F.lit(None).cast("bigint"))
     return ranked.unionByName(rest)
 
 
@@ -134,25 +142,27 @@ def snapshot_diff(prior: DataFrame, current: DataFrame, key: list[str], payload:
 # --- inventories ----------------------------------------------------------------------------------
 
 
-def id_inventory(df: DataFrame, key: str, buckets: int = 1024) -> DataFrame:
+def id_inventory(df: DataFrame, key: str) -> DataFrame:
     """Count, distinct count and an order-free digest of the ids of a table.
 
-    Ids are hashed to buckets, each bucket's sorted distinct ids are hashed, and the
-    digest is the hash of the bucket hashes in order: any two tables with the same set
-    of ids agree, and no task sees more than a bucket.
+    Any two tables with the same set of ids agree. Ids are hashed bucket by bucket, in as many buckets as
+    their number asks for, so that no task sees more than a few thousand of them at once.
     """
-    t = df.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("k"))
-    d = t.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    b = d.groupBy(F.pmod(F.xxhash64("k"), F.lit(buckets)).alias("b")).agg(
-        F.sum("n").alias("n"), F.count(F.lit(1)).alias("u"), F.sha2(F.array_join(F.array_sort(F.collect_list("k")), "\n"), 256).alias("h")
-    )
-    return b.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("u"), F.lit(0)).alias("n_distinct"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.struct("b", "h"))).getField("h"), "\n"), 256).alias("digest"))
+    d = df.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("string").alias("e")).agg(F.count(F.lit(1)).alias("n"))
+    d = materialize(d.withColumn("h", F.sha2("e", 256)), "ids")
+    return d.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("n_distinct")).withColumn("digest", F.lit(hash_tree(d.select("h", "e"))))
+
+
+def in_ranges(df: DataFrame, *order: Column | str, name: str = "ranges") -> DataFrame:
+    """A written table in range partitions numbered in ``_b``, as many as the counted rows ask for."""
+    df = materialize(df, name)
+    parts = max(1, -(-df.count() // RANGE_ROWS))
+    return materialize(df.repartitionByRange(parts, *order).withColumn("_b", F.spark_partition_id()), name)
 
 
 def id_gaps(df: DataFrame, key: str) -> DataFrame:
     """Ranges of whole numbers missing between the least and greatest id: (gap_from, gap_to)."""
-    d = df.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("k")).distinct()
-    d = materialize(d.repartitionByRange(64, "k").withColumn("_b", F.spark_partition_id()), "ids")
+    d = in_ranges(df.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("k")).distinct(), "k", name="ids")
     w = Window.partitionBy("_b").orderBy("k")
     inner = d.select(F.lag("k").over(w).alias("p"), "k")
     ends = d.groupBy("_b").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))  # one row a partition

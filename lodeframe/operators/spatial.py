@@ -7,13 +7,15 @@ of cells; a hot cell is split by AQE or dealt out by ``salt``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_RADIUS_M, haversine_m, valid_point
 
 
-def cells_of_box(x0: Column, y0: Column, x1: Column, y1: Column, size: float) -> Column:
+def cells_of_box(x0: Column, y0: Column, x1: Column, y1: Column, size: float | Column) -> Column:
     """All (cx, cy) cells that a box touches, as an array of structs."""
     lo_x, hi_x = F.floor(x0 / size), F.floor(x1 / size)
     lo_y, hi_y = F.floor(y0 / size), F.floor(y1 / size)
@@ -58,15 +60,30 @@ def nearest_within(left: DataFrame, left_id: str, right: DataFrame, right_id: st
 def boxes_meeting(a: DataFrame, b: DataFrame, abox: list[str], bbox: list[str], size: float) -> DataFrame:
     """Pairs of rows whose boxes (x0, y0, x1, y1 columns) meet, each pair once.
 
-    A pair is taken in the one cell that holds the lower left corner of the boxes'
-    common part, so no distinct is needed.
+    A box lives on the level whose cells, ``size`` doubled as often as needed, are no
+    smaller than it, and also lists its cells on the coarser levels in use: four cells a
+    level at most, however large a box is. Two boxes are compared on the coarser of their
+    levels, in the one cell that holds the lower left corner of their common part, so no distinct
+    is needed. Boxes with a null or NaN side meet none.
     """
     A, B = [F.col(c) for c in abox], [F.col(c) for c in bbox]
-    left = a.withColumn("_c", F.explode(cells_of_box(*A, size)))
-    right = b.withColumn("_c", F.explode(cells_of_box(*B, size)))
+
+    def level(box: list[Column]) -> Column:
+        extent = F.greatest(box[2] - box[0], box[3] - box[1], F.lit(size))
+        return F.ceil(F.log2(extent / size) - 1e-9).cast("int")
+
+    known = lambda box: reduce(lambda p, q: p & q, [c.isNotNull() & ~F.isnan(c.cast("double")) for c in box])
+    a, b = a.where(known(A)).withColumn("_ka", level(A)), b.where(known(B)).withColumn("_kb", level(B))
+    used = sorted({r[0] for r in a.select("_ka").distinct().union(b.select("_kb").distinct()).collect()}) or [0]  # a few dozen levels at most
+    at = F.array(*[F.lit(k) for k in used])
+    spread = lambda df, box, k: df.withColumn("_k", F.explode(F.filter(at, lambda x: x >= F.col(k)))).withColumn(
+        "_c", F.explode(cells_of_box(*box, F.lit(size) * F.pow(F.lit(2.0), F.col("_k"))))
+    )
+    cell = F.lit(size) * F.pow(F.lit(2.0), F.col("_k"))
     meet = (A[0] <= B[2]) & (B[0] <= A[2]) & (A[1] <= B[3]) & (B[1] <= A[3])
-    home = (F.col("_c.cx") == F.floor(F.greatest(A[0], B[0]) / size)) & (F.col("_c.cy") == F.floor(F.greatest(A[1], B[1]) / size))
-    return left.join(right, "_c").where(meet & home).drop("_c")
+    home = (F.col("_c.cx") == F.floor(F.greatest(A[0], B[0]) / cell)) & (F.col("_c.cy") == F.floor(F.greatest(A[1], B[1]) / cell))
+    pairs = spread(a, A, "_ka").join(spread(b, B, "_kb"), ["_k", "_c"])
+    return pairs.where((F.col("_k") == F.greatest("_ka", "_kb")) & meet & home).drop("_c", "_k", "_ka", "_kb")
 
 
 def neighbour_presence(points: DataFrame, others: DataFrame, point_xy: tuple[str, str], other_xy: tuple[str, str], size: float, offsets: list[tuple[int, int]]) -> DataFrame:

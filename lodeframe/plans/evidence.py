@@ -105,7 +105,7 @@ def w08(spark, d):
 @query("w10_rank_then_rerank", "SELECT src_key, trust_rank, row_number() OVER (ORDER BY pub_year DESC, trust_rank) AS rank FROM source_list WHERE pub_year > 1880")
 def w10(spark, d):
     t = table(spark, d, "source_list")
-    return R.dense_rank_where(t, F.col("pub_year") > 1880, F.col("pub_year").desc(), F.col("trust_rank"), buckets=4).where("rank is not null").select("src_key", "trust_rank", "rank")
+    return R.dense_rank_where(t, F.col("pub_year") > 1880, F.col("pub_year").desc(), F.col("trust_rank")).where("rank is not null").select("src_key", "trust_rank", "rank")
 
 
 @query("w13_page_window_match")

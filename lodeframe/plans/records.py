@@ -125,7 +125,7 @@ def k02(spark, d):
     p, t = _tmp(spark, "table"), table(spark, d, "nation").select("n_nationkey", "n_name")
     sinks.replace_table(t, p)
     sinks.replace_table(t.where("n_nationkey >= 10"), p)
-    return spark.read.parquet(p)
+    return sinks.read_table(spark, p)
 
 
 @query("k03_content_addressed", "SELECT n_nationkey, n_name FROM nation")

@@ -251,10 +251,41 @@ def g05(spark, d):
     return _diamonds(spark, d).select("district_id", F.round(b["x0"], 5).alias("x0"), F.round(b["y1"], 5).alias("y1"))
 
 
-@query("g06_four_distances", f"SELECT row_id, round(sqrt(pow((lon + 116) * cos(radians(lat)), 2) + pow(43 - lat, 2)) * 111320, 2) AS equirect, round(2 * 6371008.8 * asin(sqrt(pow(sin(radians(43 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(43)) * pow(sin(radians(-116 - lon) / 2), 2))), 2) AS hav FROM rows_igs_b11 WHERE {_OK} AND state = 'ID'")
+_TO = "(lon + 116) AS dx, (lat - 43) AS dy"
+
+
+@query(
+    "g06_four_distances",
+    f"""SELECT row_id, round(sqrt(pow(dx * cos(radians(lat)), 2) + pow(dy, 2)) * 111320, 2) AS equirect,
+               round(2 * 6371008.8 * asin(sqrt(pow(sin(radians(43 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(43)) * pow(sin(radians(-116 - lon) / 2), 2))), 2) AS hav,
+               round(sqrt(dx * dx + dy * dy), 8) AS plane,
+               round(sqrt(pow(dx - t * 2, 2) + pow(dy - t, 2)), 8) AS to_segment
+        FROM (SELECT *, greatest(0, least(1, (dx * 2 + dy) / 5)) AS t FROM (SELECT row_id, lat, lon, {_TO} FROM rows_igs_b11 WHERE {_OK}))""",
+)
 def g06(spark, d):
-    p = table(spark, d, "rows_igs_b11").where("state = 'ID'").where(G.valid_point(F.col("lat"), F.col("lon")))
-    return p.select("row_id", F.round(G.equirect_m(F.col("lat"), F.col("lon"), F.lit(43.0), F.lit(-116.0)), 2).alias("equirect"), F.round(G.haversine_m(F.col("lat"), F.col("lon"), F.lit(43.0), F.lit(-116.0)), 2).alias("hav"))
+    """Four distances of every point: two on the globe, one in the plane, one to a segment."""
+    p = table(spark, d, "rows_igs_b11").where(G.valid_point(F.col("lat"), F.col("lon")))
+    y, x = F.col("lat"), F.col("lon")
+    lit = lambda v: F.lit(float(v))
+    segment = G.point_segment_distance(x, y, lit(-116), lit(43), lit(-114), lit(44))
+    return p.select(
+        "row_id", F.round(G.equirect_m(y, x, lit(43), lit(-116)), 2).alias("equirect"), F.round(G.haversine_m(y, x, lit(43), lit(-116)), 2).alias("hav"),
+        F.round(F.hypot(x + 116, y - 43), 8).alias("plane"), F.round(segment, 8).alias("to_segment"),
+    )
+
+
+@query(
+    "g07_segments_meeting",
+    """WITH s AS (SELECT o_orderkey AS id, o_custkey % 5 AS ax, o_orderkey % 4 AS ay, o_custkey % 7 AS bx, o_orderkey % 3 AS by_ FROM orders),
+            p AS (SELECT *, (bx - ax) * (1 - ay) - (by_ - ay) * (1 - ax) AS s1, (bx - ax) * (1 - ay) - (by_ - ay) * (4 - ax) AS s2, 3 * (ay - 1) AS s3, 3 * (by_ - 1) AS s4 FROM s)
+       SELECT id, (ay = by_ AND ay = 1 AND greatest(ax, bx) >= 1 AND least(ax, bx) <= 4) OR (ay <> by_ AND least(ay, by_) <= 1 AND greatest(ay, by_) >= 1 AND ax + (bx - ax) * (1.0 - ay) / (by_ - ay) BETWEEN 1 - 1e-9 AND 4 + 1e-9) AS meets FROM p""",
+)
+def g07(spark, d):
+    """Segments against the one from (1, 1) to (4, 1), touching and collinear cases included."""
+    o = table(spark, d, "orders")
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    a, b = point(F.col("o_custkey") % 5, F.col("o_orderkey") % 4), point(F.col("o_custkey") % 7, F.col("o_orderkey") % 3)
+    return o.select(F.col("o_orderkey").alias("id"), S.segments_meet(a, b, point(F.lit(1), F.lit(1)), point(F.lit(4), F.lit(1))).alias("meets"))
 
 
 @query("g09_interior_point", f"SELECT district_id, true AS inside FROM {_D}")
@@ -279,12 +310,14 @@ def g14(spark, d):
     return _diamonds(spark, d).withColumn("s", S.simplify(line, 0.01)).select("district_id", F.size("s").alias("n"))
 
 
-@query("g16_utm_inverse")
+@query("g16_utm_inverse", f"SELECT row_id, round(lon, 6) AS lon, round(lat, 6) AS lat FROM rows_igs_b11 WHERE {_OK} AND lat BETWEEN 0 AND 84")
 def g16(spark, d):
-    """Inverse UTM of synthetic eastings (tested against known points)."""
-    p = table(spark, d, "part")
-    ll = S.utm_to_lonlat(400_000.0 + F.col("p_partkey") * 10, 4_700_000.0 + F.col("p_size") * 1000, F.lit(11))
-    return p.select("p_partkey", F.round(ll["lon"], 6).alias("lon"), F.round(ll["lat"], 6).alias("lat"))
+    """Points to their UTM zone and back; known points are in the tests."""
+    zone = F.least(F.floor((F.col("lon") + 180) / 6) + 1, F.lit(60))
+    p = _points(spark, d).where(G.valid_point(F.col("lat"), F.col("lon")) & F.col("lat").between(0, 84)).withColumn("zone", zone)
+    u = p.withColumn("u", S.lonlat_to_utm(F.col("lon"), F.col("lat"), F.col("zone")))
+    ll = S.utm_to_lonlat(F.col("u.easting"), F.col("u.northing"), F.col("zone"))
+    return u.select("row_id", F.round(ll["lon"], 6).alias("lon"), F.round(ll["lat"], 6).alias("lat"))
 
 
 @query("g17_mercator_round_trip", f"SELECT row_id, round(lon, 5) AS lon, round(lat, 5) AS lat FROM rows_igs_b11 WHERE {_OK} AND abs(lat) < 85")

@@ -8,10 +8,15 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.digests import hash_tree
+from ..session import materialize
+
 
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -35,56 +40,107 @@ def write_feature_lines(df: DataFrame, path: str, fid: str, x: str, y: str, prop
     df.select(feature_line(F.col(fid), F.col(x), F.col(y), properties)).write.mode("overwrite").text(path)
 
 
-def digest(df: DataFrame, buckets: int = 1024) -> str:
-    """Order-free digest of a table's rows, repeats counted."""
+def digest(df: DataFrame) -> str:
+    """Order-free digest of a table's rows, repeats counted.
+
+    Hashes are dealt to buckets by their first bits, as many as the number of distinct rows
+    asks for, and buckets to buckets above them: no list holds more than a few thousand hashes, whatever the size.
+    """
     r = df.select(F.sha2(canonical_json(df.columns), 256).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    b = r.groupBy(F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "h", "n"))), "\n"), 256).alias("d"))
-    out = b.agg(F.sha2(F.coalesce(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", F.lpad(F.col("b").cast("string"), 8, "0"), "d"))), "\n"), F.lit("")), 256)).first()
-    return out[0]
+    return hash_tree(materialize(r.select("h", F.concat_ws(":", "h", "n").alias("e")), "digest"))
+
+
+def _move(spark: SparkSession, source: str, target: str) -> bool:
+    """Renames a file or folder to a name not in use, in one step; False where another one took the name."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    fs, path = jvm.org.apache.hadoop.fs, jvm.org.apache.hadoop.fs.Path
+    none = spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), 0)
+    try:
+        fs.FileContext.getFileContext(path(target).toUri(), conf).rename(path(source), path(target), none)
+        return True
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" not in str(e.java_exception) and not _fs(spark, target)[0].exists(path(target)):
+            raise
+        _fs(spark, source)[0].delete(path(source), True)
+        return False
+
+
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    fs, p = _fs(spark, path)
+    out = fs.create(p)
+    out.write(bytearray(text.encode()))
+    out.close()
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Replaces a table so that readers see the old or the new one, never a part: write beside, then rename."""
-    fs, target = _fs(df.sparkSession, path)
-    fresh, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    df.write.parquet(fresh)
-    path_of = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path
-    if fs.exists(target):
-        fs.rename(target, path_of(old))
-    fs.rename(path_of(fresh), target)
-    fs.delete(path_of(old), True)
+    """Replaces the table kept in a folder; ``read_table`` sees the old or the new one whole, at any time.
+
+    A version is written beside the others, then a pointer is moved to it. The version
+    before stays for readers that have begun; older ones are removed.
+    """
+    spark, name = df.sparkSession, f"data-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{name}")
+    doc = move_pointer(spark, f"{path}/current", "table", lambda old: {"now": name, "before": (old or {}).get("now")})["table"]
+    fs, p = _fs(spark, path)
+    for f in fs.listStatus(p):
+        n = f.getPath().getName()
+        if n.startswith("data-") and n not in (doc["now"], doc["before"]) and f.getModificationTime() < fs.getFileStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")).getModificationTime():
+            fs.delete(f.getPath(), True)
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The table that ``replace_table`` put last."""
+    return spark.read.parquet(f"{path}/{read_pointer(spark, f'{path}/current')['table']['now']}")
 
 
 def install(df: DataFrame, folder: str) -> str:
     """Writes a table under the digest of its content and returns that path; equal content is installed once."""
-    name = f"{folder}/sha256={digest(df)}"
-    fs, target = _fs(df.sparkSession, name)
+    spark, name = df.sparkSession, f"{folder}/sha256={digest(df)}"
+    fs, target = _fs(spark, name)
     if not fs.exists(target):
-        replace_table(df, name)
-    elif digest(df.sparkSession.read.parquet(name)) != name.rpartition("=")[2]:
+        fresh = f"{folder}/_new-{uuid.uuid4().hex}"
+        df.write.parquet(fresh)
+        _move(spark, fresh, name)
+    if digest(spark.read.parquet(name)) != name.rpartition("=")[2]:
         raise ValueError(f"content of {name} differs from its name")
     return name
 
 
-def read_pointer(spark: SparkSession, path: str) -> dict:
+def _versions(spark: SparkSession, path: str) -> list[int]:
     fs, p = _fs(spark, path)
     if not fs.exists(p):
-        return {}
-    return json.loads("".join(r.value for r in spark.read.text(path, wholetext=True).collect()))  # one small file
+        return []
+    return sorted(int(n[1:-5]) for f in fs.listStatus(p) if (n := f.getPath().getName()).startswith("v") and n.endswith(".json"))
 
 
-def move_pointer(spark: SparkSession, path: str, key: str, value: dict) -> dict:
-    """Merges an entry into a pointer document, replacing the file in one rename."""
-    doc = read_pointer(spark, path) | {key: value}
-    fs, p = _fs(spark, path)
-    jvm = spark.sparkContext._jvm
-    tmp = jvm.org.apache.hadoop.fs.Path(f"{path}.tmp-{uuid.uuid4().hex}")
-    out = fs.create(tmp)
-    out.write(bytearray(json.dumps(doc, sort_keys=True).encode()))
-    out.close()
-    fs.delete(p, False)
-    fs.rename(tmp, p)
-    return doc
+def _document(spark: SparkSession, path: str, version: int) -> dict:
+    return json.loads("".join(r.value for r in spark.read.text(f"{path}/v{version:09d}.json", wholetext=True).collect()))  # one small file
+
+
+def read_pointer(spark: SparkSession, path: str) -> dict:
+    """The document a pointer holds, empty before its first move. A broken one is an error, never an empty one."""
+    known = _versions(spark, path)
+    return _document(spark, path, known[-1]) if known else {}
+
+
+def move_pointer(spark: SparkSession, path: str, key: str, value: dict | Callable[[dict | None], dict], keep: int = 20) -> dict:
+    """Merges an entry into a pointer document and returns the document.
+
+    Each version is a file of its own in the folder ``path``, put there whole by one
+    rename to a name not in use: a reader finds the last whole version at any time, and of two writers
+    the second one merges again. The last ``keep`` versions stay.
+    """
+    while True:
+        known = _versions(spark, path)
+        doc = _document(spark, path, known[-1]) if known else {}
+        doc = doc | {key: value(doc.get(key)) if callable(value) else value}
+        tmp = f"{path}/_tmp-{uuid.uuid4().hex}"
+        _write_text(spark, tmp, json.dumps(doc, sort_keys=True))
+        if _move(spark, tmp, f"{path}/v{(known[-1] if known else 0) + 1:09d}.json"):
+            fs, p = _fs(spark, path)
+            for old in known[: 1 - keep] if keep > 1 else []:
+                fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v{old:09d}.json"), False)
+            return doc
 
 
 def report(df: DataFrame, title: str, top: int, *order: Column) -> str:

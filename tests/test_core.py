@@ -33,7 +33,7 @@ def test_capped_list_order(spark):
 def test_dense_rank_where_is_contiguous(spark):
     rnd = random.Random(1)
     t = spark.createDataFrame([(i, rnd.randint(0, 50)) for i in range(500)], "id int, v int")
-    out = R.dense_rank_where(t, F.col("v") > 10, F.col("v").desc(), F.col("id"), buckets=7).collect()
+    out = R.dense_rank_where(t, F.col("v") > 10, F.col("v").desc(), F.col("id")).collect()
     good = sorted((r for r in out if r.rank is not None), key=lambda r: r.rank)
     assert [r.rank for r in good] == list(range(1, len(good) + 1))
     assert [(r.v, r.id) for r in good] == sorted(((r.v, r.id) for r in good), key=lambda x: (-x[0], x[1]))
@@ -231,13 +231,40 @@ def test_sinks(spark, tmp_path):
     p = f"file://{tmp_path}/t"
     sinks.replace_table(t, p)
     sinks.replace_table(t.where("k = 1"), p)
-    assert spark.read.parquet(p).count() == 1 and len(list(tmp_path.iterdir())) == 1
+    old = sinks.read_table(spark, p)
+    assert old.count() == 1
+    sinks.replace_table(t, p)
+    assert sinks.read_table(spark, p).count() == 2 and old.count() == 1  # a reader that has begun keeps its version
+    for _ in range(3):
+        sinks.replace_table(t, p)
+    assert len(list((tmp_path / "t").glob("data-*"))) <= 3
     a = sinks.install(t, f"file://{tmp_path}/store")
     assert a == sinks.install(t.orderBy("k"), f"file://{tmp_path}/store")
     assert sinks.digest(t) != sinks.digest(t.union(t.limit(1)))
     assert sinks.digest(t.limit(0)) == sinks.digest(t.where("k > 9"))
     sinks.move_pointer(spark, f"file://{tmp_path}/p.json", "x", {"n": 1})
     assert sinks.move_pointer(spark, f"file://{tmp_path}/p.json", "y", {"n": 2}) == {"x": {"n": 1}, "y": {"n": 2}}
+    assert sinks.read_pointer(spark, f"file://{tmp_path}/none") == {} and sinks.read_pointer(spark, f"file://{tmp_path}/p.json") == {"x": {"n": 1}, "y": {"n": 2}}
+    # a version that another writer has taken isn't overwritten: the move merges again
+    taken = f"{tmp_path}/p.json/v000000003.json"
+    known = sinks._versions
+    calls = []
+
+    def racing(s, path):
+        out = known(s, path)
+        if not calls:
+            open(taken, "w").write('{"z": {"n": 9}}')
+        calls.append(1)
+        return out
+
+    sinks._versions = racing
+    try:
+        assert sinks.move_pointer(spark, f"file://{tmp_path}/p.json", "y", {"n": 3}) == {"z": {"n": 9}, "y": {"n": 3}} and len(calls) == 2
+    finally:
+        sinks._versions = known
+    (tmp_path / "p.json" / "v000000009.json").write_text("{broken")
+    with pytest.raises(Exception):
+        sinks.read_pointer(spark, f"file://{tmp_path}/p.json")
     assert "a\\|b" in sinks.report(t, "T", 1, F.col("k"))
 
 
@@ -257,31 +284,73 @@ def test_late_rows_are_dropped(spark, tmp_path):
     assert got.get("2024-01-01 00:00:00") in (1, 2) and "2024-01-01 09:00:00" not in got
 
 
-def _snap(spark, path, part, run, users, complete=True):
-    spark.createDataFrame([(part, run, u, complete, v) for u, v in users], "part string, run int, u int, complete boolean, v int").coalesce(1).write.mode("append").parquet(path)
+WATCHED = "part string, run int, u int, n int, v int"
 
 
-def test_snapshot_watch(spark, tmp_path):
+def _snap(spark, path, part, run, users, declared=None, files=1):
+    rows = [(part, run, u, len(users) if declared is None else declared, v) for u, v in users]
+    spark.createDataFrame(rows, WATCHED).repartition(files).write.mode("append").parquet(path)
+
+
+def _watch(spark, tmp_path, files_per_trigger=1):
     from lodeframe.streaming import snapshots as Z
     from lodeframe.streaming import windows as W
 
-    src, schema = f"{tmp_path}/in", T.StructType.fromDDL("part string, run int, u int, complete boolean, v int")
-    watch = Z.SnapshotWatch(f"file://{tmp_path}/w", "part", "run", "complete", ["u"], ["v"])
-    for part, run, users, ok in [
-        ("ID", 1, [(1, 1), (2, 1)], True),  # seeds, no alert
-        ("ID", 2, [(1, 1), (3, 1)], True),  # 2 gone, 3 new
-        ("ID", 3, [(1, 1)], False),  # incomplete: unknown
-        ("NV", 3, [(9, 1)], True),  # seeds its own part
-        ("ID", 4, [(1, 2), (3, 1)], True),  # 1 changed
+    src = f"{tmp_path}/in"
+    watch = Z.SnapshotWatch(f"file://{tmp_path}/w", "part", "run", "n", ["u"], ["v"])
+    return src, watch, lambda: watch.start(W.read_stream(spark, src, T.StructType.fromDDL(WATCHED), files_per_trigger), f"{tmp_path}/c").awaitTermination()
+
+
+def test_snapshot_watch(spark, tmp_path):
+    src, watch, run = _watch(spark, tmp_path)
+    for part, no, users, declared in [
+        ("ID", 1, [(1, 1), (2, 1)], None),  # seeds, no alert
+        ("ID", 2, [(1, 1), (3, 1)], None),  # 2 gone, 3 new
+        ("ID", 3, [(1, 1)], 2),  # incomplete: unknown
+        ("NV", 3, [(9, 1)], None),  # seeds its own part
+        ("ID", 4, [(1, 2), (3, 1)], None),  # 1 changed
     ]:
-        _snap(spark, src, part, run, users, ok)
-        watch.start(W.read_stream(spark, src, schema), f"{tmp_path}/c").awaitTermination()
-    got = rows(watch.alerts(spark).select("part", "u", "change"))
-    assert got == [("ID", 1, "changed"), ("ID", 2, "removed"), ("ID", 3, "added")]
+        _snap(spark, src, part, no, users, declared)
+        run()
+    got = rows(watch.alerts(spark).select("part", "run", "u", "change"))
+    assert got == [("ID", 2, 2, "removed"), ("ID", 2, 3, "added"), ("ID", 4, 1, "changed")]
     before = rows(watch.baseline(spark))
-    last = spark.read.schema(schema).parquet(src).where("run = 4")
-    watch.batch(last, 4)  # the same batch again changes nothing
-    assert rows(watch.alerts(spark).select("part", "u", "change")) == got and rows(watch.baseline(spark)) == before
+    watch.batch(spark.read.schema(T.StructType.fromDDL(WATCHED)).parquet(src).where("run = 4"), 4)  # the same batch again changes nothing
+    assert rows(watch.alerts(spark).select("part", "run", "u", "change")) == got and rows(watch.baseline(spark)) == before
+
+
+@pytest.mark.parametrize("files, per_trigger", [(1, 1), (4, 1), (4, 3), (4, 100)])
+def test_snapshot_watch_whatever_the_batches(spark, tmp_path, files, per_trigger):
+    src, watch, run = _watch(spark, tmp_path, per_trigger)
+    users = [(i, 1) for i in range(8)]
+    _snap(spark, src, "ID", 1, users, files=files)
+    _snap(spark, src, "ID", 2, users, files=files)  # unchanged
+    _snap(spark, src, "ID", 3, users[2:], files=files)
+    _snap(spark, src, "ID", 4, users[:5], declared=8, files=files)  # never whole
+    run()
+    assert rows(watch.alerts(spark).select("run", "u", "change")) == [(3, 0, "removed"), (3, 1, "removed")]
+    assert {r.run for r in watch.baseline(spark).collect()} == {3}
+    _snap(spark, src, "ID", 4, users[5:], declared=8)  # the rest of run 4 after all, with a repeated record
+    _snap(spark, src, "ID", 4, users[7:], declared=8)
+    run()
+    assert rows(watch.alerts(spark).where("run = 4").select("u", "change")) == [(0, "added"), (1, "added")]
+
+
+def test_snapshot_watch_stopped_before_the_pointer(spark, tmp_path):
+    """A batch that failed after its alerts is run again and gives the same."""
+    from lodeframe.streaming import snapshots as Z
+
+    _, watch, _ = _watch(spark, tmp_path)
+    one, two = (spark.createDataFrame([("ID", k, u, 2, 1) for u in us], WATCHED) for k, us in ((1, (1, 2)), (2, (2, 3))))
+    watch.batch(one, 0)
+    move, Z.move_pointer = Z.move_pointer, lambda *a, **k: (_ for _ in ()).throw(RuntimeError("stopped"))
+    try:
+        with pytest.raises(RuntimeError):
+            watch.batch(two, 1)
+    finally:
+        Z.move_pointer = move
+    watch.batch(two, 1)
+    assert rows(watch.alerts(spark).select("run", "u", "change")) == [(2, 1, "removed"), (2, 3, "added")]
 
 
 def test_merged_total(spark):

@@ -79,7 +79,7 @@ def test_polygons_brute_force(spark):
     import numpy as np
 
     def inside(rings, x, y):
-        return sum(geo.np_even_odd(np.array([(*a, *b) for a, b in zip(r, [*r[1:], r[0]])]), x, y) for r in rings) % 2 == 1
+        return sum(bool(geo.np_even_odd(np.array([(*a, np.array([*b) for a]), np.array([b in zip(r, [*r[1:], r[0]]]))[0])]), x, y) for r in rings) % 2 == 1
 
     assert got == {(i, j) for i, x, y in pts for j, rings in polys if inside(rings, x, y)}
 
@@ -128,8 +128,66 @@ def test_shape_kernels(spark):
     assert shapes.union_area(np.array([(0, 0, 2, 2), (1, 1, 3, 3), (1, 1, 2, 2), (5, 5, 5, 9)], float)) == 7
     line = np.array([(0, 0), (1, 0.001), (2, 0), (2, 2)], float)
     assert shapes.douglas_peucker(line, 0.01).tolist() == [[0, 0], [2, 0], [2, 2]]
-    row = spark.range(1).select(shapes.utm_to_lonlat(F.lit(500000.0), F.lit(4649776.22), F.lit(31)).alias("u")).first().u
-    assert abs(row.lon - 3) < 1e-6 and abs(row.lat - 42) < 1e-4
+
+
+def test_utm_at_known_points(spark):
+    """A tower in Toronto, the meridian arc to 45 degrees, and the equator three degrees off."""
+    for e, n, zone, lon, lat in [(630_084.0, 4_833_438.5, 17, -79.387139, 43.642567), (500_000.0, 4_982_950.4, 31, 3.0, 45.0), (833_978.557, 0.0, 31, 6.0, 0.0)]:
+        one = spark.range(1)
+        back = one.select(shapes.utm_to_lonlat(F.lit(e), F.lit(n), F.lit(zone)).alias("u")).first().u
+        there = one.select(shapes.lonlat_to_utm(F.lit(lon), F.lit(lat), F.lit(zone)).alias("u")).first().u
+        assert abs(back.lon - lon) < 1.5e-5 and abs(back.lat - lat) < 1.5e-5
+        assert abs(there.easting - e) < 1 and abs(there.northing - n) < 1
+    south = spark.range(1).select(shapes.lonlat_to_utm(F.lit(3.0), F.lit(-45.0), F.lit(31), False).alias("u")).first().u
+    assert abs(south.northing - (1e7 - 4_982_950.4)) < 1
+    s = spark.range(1).select(shapes.utm_to_lonlat(F.lit(south.easting), F.lit(south.northing), F.lit(31), False).alias("u")).first().u
+    assert abs(s.lat + 45) < 1e-9 and abs(s.lon - 3) < 1e-9
+
+
+def test_polygons_with_many_corners(spark):
+    """Cells carry their own edges: a polygon of 20,000 corners isn't copied to them, and every point is told right."""
+    import numpy as np
+
+    from lodeframe.functions import geo
+
+    a = np.linspace(0, 2 * np.pi, 20_000, endpoint=False)
+    r = 1 + 0.3 * np.sin(9 * a)
+    ring = [(float(x), float(y)) for x, y in zip(-114 + r * np.cos(a), 44 + r * np.sin(a))]
+    hole = [(-114.2, 43.9), (-113.8, 43.9), (-113.8, 44.1), (-114.2, 44.1)]
+    cells = geo.polygon_cover([ring, hole])
+    assert max(len(c[5]) for c in cells) <= 64 and sum(len(c[5]) for c in cells) < 40_000
+    schema = "id int, rings array<array<struct<x:double,y:double>>>"
+    polys = spark.createDataFrame([(1, [[{"x": x, "y": y} for x, y in q] for q in (ring, hole)]), (2, None), (3, []), (4, [[{"x": -114.0, "y": 44.0}]])], schema)
+    rnd = np.random.default_rng(3)
+    pts = [(i, float(x), float(y)) for i, (x, y) in enumerate(zip(rnd.uniform(-115.5, -112.5, 4000), rnd.uniform(42.5, 45.5, 4000)))] + [(9001, None, 44.0), (9002, float("nan"), 1.0)]
+    points = spark.createDataFrame(pts, "p int, x double, y double")
+    plan = regions.points_in_polygons(points, "p", "x", "y", polys, "id", "rings")
+    got = {x.p for x in plan.collect()}
+    ex, ey = np.array(ring).T
+    bx, by = np.roll(ex, -1), np.roll(ey, -1)
+
+    def inside(x, y):
+        c = (ey > y) != (by > y)
+        odd = (c & (x < ex + (bx - ex) * (y - ey) / np.where(by == ey, 1, by - ey))).sum() % 2
+        return bool(odd) and not (-114.2 < x < -113.8 and 43.9 < y < 44.1)
+
+    assert got == {i for i, x, y in pts[:4000] if inside(x, y)}
+    many = polys.where("id = 1").crossJoin(spark.range(200).select(F.col("id").cast("int").alias("k"))).select("k", "rings")
+    plan = regions.points_in_polygons(points, "p", "x", "y", many, "k", "rings")
+    assert "BroadcastHashJoin" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_boxes_of_very_different_size(spark):
+    from lodeframe.operators import spatial
+
+    rnd = random.Random(6)
+    box = lambda i: (i, *(lambda x, y, w: (x, y, x + w, y + w / 2))(rnd.uniform(-50, 50), rnd.uniform(-50, 50), rnd.choice([0.0, 0.01, 0.5, 3.0, 80.0])))
+    a, b = [box(i) for i in range(120)] + [(999, 0.0, 0.0, 1000.0, 1000.0)], [box(i) for i in range(120)]
+    kind = "{0} int, x{0} double, y{0} double, u{0} double, v{0} double"
+    one, two = spark.createDataFrame(a + [(7777, None, 1.0, 2.0, 3.0)], kind.format("a")), spark.createDataFrame(b, kind.format("b"))
+    got = spatial.boxes_meeting(one, two, ["xa", "ya", "ua", "va"], ["xb", "yb", "ub", "vb"], 0.3).select("a", "b").collect()
+    want = [(p[0], q[0]) for p in a for q in b if p[1] <= q[3] and q[1] <= p[3] and p[2] <= q[4] and q[2] <= p[4]]
+    assert sorted(map(tuple, got)) == sorted(want)
 
 
 def test_coverage_fraction_raster(spark):
