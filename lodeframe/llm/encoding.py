@@ -34,7 +34,7 @@ ENTER, LEAVE, STAY = math.log(2e-3), math.log(2e-2), math.log(0.98)
 #: The same in training, where a doubtful character had better not count as clean.
 EASY = (math.log(0.02), math.log(0.15), math.log(0.8))
 _FLOOR = 1e-9
-_NOT = re.compile(r"[^\x00-\x7f]")
+_NOT, _RUN = re.compile(r"[^\x00-\x7f]"), re.compile(r"[^\x00-\x7f]{2,}")
 
 
 def _char(byte: int, code: str) -> str:
@@ -87,12 +87,12 @@ def _kind(ch: str) -> str:
     return script + ("u" if ch.isupper() else "")
 
 
-def sequences(text: str) -> dict[str, list[tuple[int, int, str]]]:
-    """For each multi-byte pair the (start, end, restored) it could decode."""
+def _decodable(run: str) -> dict[str, list[tuple[int, int, str]]]:
+    """For each multi-byte pair the (start, end, restored) it could decode in a run of characters beyond ASCII."""
     out = {}
     for c, pat in _PATTERN.items():
         table, found = _TO_BYTE[c], []
-        for m in pat.finditer(text):
+        for m in pat.finditer(run):
             try:
                 found.append((m.start(), m.end(), bytes(table[g] for g in m.group()).decode("utf-8")))
             except UnicodeDecodeError:
@@ -121,14 +121,48 @@ def sequences(text: str) -> dict[str, list[tuple[int, int, str]]]:
     return out
 
 
-def count_chars(text: str, keep) -> Counter:
-    """Counts of (class before, character, class after) of the characters that ``keep`` allows."""
-    c: Counter = Counter()
-    for m in _NOT.finditer(text):
-        i = m.start()
-        if keep(i):
-            c[(_cls(text[i - 1] if i else ""), text[i], _cls(text[i + 1 : i + 2]))] += 1
-    return c
+_PAIRS = [f"utf-8>{c}" for c in MULTI] + [f"utf-8>{a}>utf-8>{b}" for b in ("cp1252", "latin-1") for a in ("cp1252", "latin-1")]
+_runs: dict[str, dict] = {}
+
+
+def sequences(text: str) -> dict[str, list[tuple[int, int, str]]]:
+    """For each multi-byte pair the (start, end, restored) it could decode.
+
+    Only runs of two or more characters beyond ASCII hold any; short runs recur, and are looked up.
+    """
+    out: dict[str, list[tuple[int, int, str]]] = {}
+    for m in _RUN.finditer(text):
+        run, at = m.group(), m.start()
+        found = _runs.get(run)
+        if found is None:
+            if len(_runs) > 50_000:
+                _runs.clear()
+            found = _decodable(run)
+            if len(run) <= 40:
+                _runs[run] = found
+        for state, spans in found.items():
+            out.setdefault(state, []).extend([(s + at, t + at, d) for s, t, d in spans])
+    return {s: out[s] for s in _PAIRS if s in out} if out else out
+
+
+class Contexts:
+    """Counts of (class before, character, class after), taken as whole neighbourhoods first."""
+
+    def __init__(self) -> None:
+        self.near: Counter = Counter()
+        self.total: Counter = Counter()
+
+    def add(self, text: str, without: set[int]) -> None:
+        padded = f" {text} "
+        self.near.update([padded[i : i + 3] for m in _NOT.finditer(text) if (i := m.start()) not in without and text[i] != "\ufffd"])
+        if len(self.near) > 100_000:
+            self.counts()
+
+    def counts(self) -> Counter:
+        for k, n in self.near.items():
+            self.total[_cls(k[0]), k[1], _cls(k[2])] += n
+        self.near.clear()
+        return self.total
 
 
 class Model:
@@ -146,6 +180,31 @@ class Model:
             self.ctx[(a, _kind(ch), b)] += n
             self.kind[_kind(ch)] += n
         self.memo: dict[tuple[str, str, str], float] = {}
+        self.gains: dict[str, float] = {}
+
+    def gain(self, near: str) -> float:
+        """The most that a single-byte state can gain over the clean one at the middle of three characters."""
+        g = self.gains.get(near)
+        if g is None:
+            if len(self.gains) > 200_000:
+                self.gains.clear()
+            a, ch, b = near
+            best = max((self.log_p(_cls(t.get(a, a)), t[ch], _cls(t.get(b, b))) for t in _SINGLE.values() if ch in t), default=-40.0)
+            g = self.gains[near] = best - self.log_p(_cls(a), ch, _cls(b))
+        return g
+
+    def surely_clean(self, text: str, spots: list[int]) -> bool:
+        """Whether no stretch of single-byte damage can gain what it costs to enter: then the clean path is the likeliest.
+
+        The greatest sum of gains over a stretch bounds what any state can gain in it.
+        """
+        padded, price = f" {text} ", self.costs[2] - self.costs[0]
+        run = 0.0
+        for p in spots:
+            run = max(run, 0.0) + self.gain(padded[p : p + 3])
+            if run >= price:
+                return False
+        return True
 
     def log_p(self, a: str, ch: str, b: str) -> float:
         k = (a, ch, b)
@@ -164,6 +223,9 @@ class Model:
         spots = [m.start() for m in _NOT.finditer(text)]
         if not spots:
             return []
+        many = sequences(text)
+        if not many and "\ufffd" not in text and self.surely_clean(text, spots):
+            return []
         at = {p: k for k, p in enumerate(spots)}
         n = len(spots)
         before = [_cls(text[p - 1] if p else "") for p in spots]
@@ -171,7 +233,7 @@ class Model:
         low = -40.0
         emit: dict[str, list[float]] = {CLEAN: [self.log_p(before[k], text[p], after[k]) if text[p] != "�" else low for k, p in enumerate(spots)]}
         units: dict[str, dict[int, tuple[int, str]]] = {}
-        for state, found in sequences(text).items():
+        for state, found in many.items():
             e, u = [low] * n, {}
             starts, ends = {x[0]: x[2] for x in found}, {x[1]: x[2] for x in found}
             for s, t, d in found:
@@ -236,13 +298,12 @@ def _counted(docs: DataFrame, model: dict | None) -> dict[tuple[str, str, str],
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = Model(model, EASY) if model is not None else None
-        total: Counter = Counter()
+        total = Contexts()
         for pdf in parts:
             for text in pdf["_text"]:
                 spans = m.label(text) if m else [x for found in sequences(text).values() for x in found]
-                hit = {p for x in spans for p in range(x[0], x[1])}
-                total += count_chars(text, lambda i, hit=hit: i not in hit and text[i] != "�")
-        yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=["a", "ch", "b", "n"])
+                total.add(text, {p for x in spans for p in range(x[0], x[1])})
+        yield pd.DataFrame([(*k, n) for k, n in total.counts().items()], columns=["a", "ch", "b", "n"])
 
     rows = docs.mapInPandas(run, _COUNTS).groupBy("a", "ch", "b").agg(F.sum("n").alias("n")).collect()  # characters in 8 x 8 contexts
     return {(r.a, r.ch, r.b): r.n for r in rows}

@@ -72,3 +72,39 @@ def test_spans_cover_the_garbled_units(repaired):
         r = got.get(n + k)
         for s in r.spans if r else []:
             assert b[s.start : s.end] == s.garbled
+
+
+def test_shortcut_changes_no_label():
+    """Texts that are taken for clean without the full search are those that the full search leaves alone."""
+    import random
+
+    clean, bad = corpus()
+    texts = clean + [t for _, t in bad]
+    counts = E.Contexts()
+    for t in clean:
+        counts.add(t, set())
+    fast, full = E.Model(dict(counts.counts())), E.Model(dict(counts.counts()))
+    full.surely_clean = lambda text, spots: False
+    rnd, skipped = random.Random(4), 0
+    mixed = [" ".join(rnd.sample(texts, 3)) for _ in range(150)]
+    for costs in ((E.ENTER, E.LEAVE, E.STAY), E.EASY):
+        fast.costs = full.costs = costs
+        for t in [*set(texts), *mixed]:
+            assert fast.label(t) == full.label(t), t
+            skipped += fast.surely_clean(t, [m.start() for m in E._NOT.finditer(t)])
+    assert skipped > 50
+
+
+def test_sequences_by_run_are_those_of_the_whole_text():
+    for _, t in corpus()[1]:
+        whole = {}
+        for state, pat in E._PATTERN.items():
+            found = []
+            for m in pat.finditer(t):
+                try:
+                    found.append((m.start(), m.end(), bytes(E._TO_BYTE[state][g] for g in m.group()).decode()))
+                except UnicodeDecodeError:
+                    pass
+            if found:
+                whole[f"utf-8>{state}"] = found
+        assert {s: x for s, x in E.sequences(t).items() if s.count(">") == 1} == whole
