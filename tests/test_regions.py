@@ -79,7 +79,8 @@ def test_polygons_brute_force(spark):
     import numpy as np
 
     def inside(rings, x, y):
-        return sum(bool(geo.np_even_odd(np.array([(*a, np.array([*b) for a]), np.array([b in zip(r, [*r[1:], r[0]]]))[0])]), x, y) for r in rings) % 2 == 1
+        edges = [np.array([(*a, *b) for a, b in zip(r, [*r[1:], r[0]])]) for r in rings]
+        return sum(bool(geo.np_even_odd(e, np.array([x]), np.array([y]))[0]) for e in edges) % 2 == 1
 
     assert got == {(i, j) for i, x, y in pts for j, rings in polys if inside(rings, x, y)}
 
