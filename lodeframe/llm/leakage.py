@@ -8,32 +8,42 @@ extended in both directions over slips and changed, lost or added words.
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import broadcast_if_small, materialize
 from .names import slips
 
 #: Words in a fingerprint and hashes in a window: runs of six equal words always meet.
 K, W = 4, 3
+#: Most bytes of item texts that are sent to every task; beyond, each pair carries its item's text.
+ITEM_BYTES = 8 << 20
 
 _WORD = re.compile(r"[^\W_]+", re.U)
 _DROP = re.compile("['’`´­]")
+_HYPHEN = re.compile(r"(?<=\w)-\s*\n\s*(?=\w)")
 
 
 def words(text: str | None) -> list[str]:
     """Words of a text in folded form; hyphens at line ends are closed."""
     if not text:
         return []
-    t = unicodedata.normalize("NFKC", text)
-    t = re.sub(r"(?<=\w)-\s*\n\s*(?=\w)", "", t)
+    t = text if text.isascii() or unicodedata.is_normalized("NFKC", text) else unicodedata.normalize("NFKC", text)
+    if "-" in t:
+        t = _HYPHEN.sub("", t)
+    if t.isascii():
+        return _WORD.findall((t.replace("'", "").replace("`", "") if "'" in t or "`" in t else t).lower())
     return _WORD.findall(_DROP.sub("", t).casefold())
 
 
@@ -50,7 +60,7 @@ _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
 def fingerprints(ws: list[str], k: int = K, w: int = W, ids: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Winnowed (hash, position) of a list of words; all k-grams where there is less than a window."""
+    """Winnowed (hash, position) of a list of words; the least of all where there is less than a window."""
     n = len(ws) - k + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -83,8 +93,11 @@ def _robust(h: list[int], w: int) -> np.ndarray:
 
 def same_word(a: str, b: str) -> bool:
     """Whether two words are equal but for a slip of the scan (two in words of eight letters or more)."""
-    if a == b:
-        return True
+    return a == b or _slipped(a, b)
+
+
+@functools.lru_cache(1 << 17)
+def _slipped(a: str, b: str) -> bool:
     n = max(len(a), len(b))
     if n < 4 or abs(len(a) - len(b)) > 2 or a.isdigit() or b.isdigit():
         return False
@@ -92,6 +105,20 @@ def same_word(a: str, b: str) -> bool:
     return slips(a, b, most) <= most
 
 
+def _ahead(a: list[str], b: list[str], x: int, y: int, s: int) -> int:
+    """Equal words among the next four from two positions; counting stops where there can't be two."""
+    la, lb, n, missed = len(a), len(b), 0, 0
+    for _ in range(4):
+        if 0 <= x < la and 0 <= y < lb and (a[x] == b[y] or _slipped(a[x], b[y])):
+            n += 1
+        else:
+            missed += 1
+            if missed == 3:
+                break
+        x, y = x + s, y + s
+    return n
+
+
 def _walk(a: list[str], b: list[str], i: int, j: int, step: int) -> tuple[int, int, int, int]:
     """Extends a match beyond positions i, j; returns the last matched positions, matched words and edits."""
     la, lb = len(a), len(b)
@@ -99,9 +126,6 @@ def _walk(a: list[str], b: list[str], i: int, j: int, step: int) -> tuple[int, i
     score = best = 0
     matched = 0
 
-    def ok(x: int, y: int) -> bool:
-        return 0 <= x < la and 0 <= y < lb and same_word(a[x], b[y])
-
     i, j = i + step, j + step
     pending = 0
     while 0 <= i < la and 0 <= j < lb:
@@ -130,8 +154,7 @@ def _walk(a: list[str], b: list[str], i: int, j: int, step: int) -> tuple[int, i
             continue
         options = []
         for di, dj in ((1, 1), (1, 0), (0, 1), (2, 2), (2, 1), (1, 2), (2, 0), (0, 2)):
-            x, y = i + di * s, j + dj * s
-            ahead = sum(ok(x + t * s, y + t * s) for t in range(4))
+            ahead = _ahead(a, b, i + di * s, j + dj * s, s)
             options.append((ahead - 0.8 * max(di, dj), -max(di, dj), di, dj))
         gain, _, di, dj = max(options)
         if gain <= 0.3:
@@ -179,34 +202,54 @@ def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
     fi = materialize(its.mapInPandas(prints, f"key {ki}, h bigint, at bigint"), "items").withColumnsRenamed({"key": "_i", "at": "_ia"})
     fd = src.mapInPandas(prints, f"key {kd}, h bigint, at bigint").withColumnsRenamed({"key": "_d", "at": "_da"})
     hits = fd.join(broadcast_if_small(fi, fi.count(), 40), "h")
-    # one seed for each diagonal of a pair: hits on it lie in one stretch or in none
-    seeds = hits.groupBy("_d", "_i", (F.col("_da") - F.col("_ia")).alias("_g")).agg(F.array_sort(F.collect_set(F.struct("_da", "_ia"))).alias("s"))  # at most an item's length
-    pairs = seeds.groupBy("_d", "_i").agg(F.flatten(F.collect_list("s")).alias("s"))
-    pairs = materialize(pairs, "hits")
-    texts = src.join(broadcast_if_small(pairs.select("_d").distinct()), "_d", "left_semi")
-    full = pairs.join(materialize(texts, "texts"), "_d").join(broadcast_if_small(its), "_i")
-
-    def grow(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            rows, cache, seen = [], {}, {}
-            for d, i, s, t, x in pdf[["_d", "_i", "s", "_t", "_x"]].itertuples(index=False):
-                if d not in seen:
-                    seen = {d: words(t)}
-                if i not in cache:
-                    cache[i] = words(x)
-                a, b = seen[d], cache[i]
-                best, covered = None, set()
-                for p in sorted((int(q["_da"]), int(q["_ia"])) for q in s):
-                    if p in covered or a[p[0] : p[0] + k] != b[p[1] : p[1] + k]:
-                        continue
-                    r = extend(a, b, *p, k)
-                    g = p[0] - p[1]
-                    covered |= {(y + g, y) for y in range(r[2], r[3] + 1)}
-                    if best is None or r[4] - 2 * r[5] > best[4] - 2 * best[5]:
-                        best = r
-                if best and best[4] - 2 * best[5] >= share * least:
-                    rows.append((d, i, best[2], best[3], best[0], best[1], best[4], best[5]))
-            yield pd.DataFrame(rows, columns=["_d", "_i", "item_from", "item_to", "doc_from", "doc_to", "matched", "edits"])
-
-    out = full.mapInPandas(grow, f"_d {kd}, _i {ki}, item_from int, item_to int, doc_from int, doc_to int, matched int, edits int")
-    return out.withColumnsRenamed({"_d": doc_id, "_i": item_id})
+    # a seed is a position of the document and one of the item; a document has as many as its own fingerprints recur in the item
+    seed = F.shiftleft(F.col("_da"), 32).bitwiseOR(F.col("_ia"))
+    pairs = materialize(hits.groupBy("_d", "_i").agg(F.collect_set(seed).alias("s")), "hits")
+    ids = materialize(pairs.select("_d").distinct(), "documents")
+    texts = src.join(broadcast_if_small(ids, limit=2 << 20), "_d", "left_semi")
+    small = (its.agg(F.sum(F.octet_length("_x"))).first()[0] or 0) <= ITEM_BYTES
+    if small:
+        # the texts of the items go to the tasks once, a document's text once for all its items
+        known = defaultdict(list)
+        for r in its.collect():
+            known[r[0]].append(r[1])
+        held = src.sparkSession.sparkContext.broadcast(dict(known))
+        full = texts.join(pairs.groupBy("_d").agg(F.collect_list(F.struct("_i", "s")).alias("_p")), "_d")
+    else:
+        held, full = None, texts.join(pairs.join(its, "_i").withColumn("_p", F.array(F.struct("_i", "s", "_x"))).drop("_i", "_x", "s"), "_d")
+
+    def best(a: list[str], b: list[str], seeds: list[int]) -> tuple | None:
+        out, covered = None, set()
+        for da, ia in sorted((q >> 32, q & 0xFFFFFFFF) for q in seeds):
+            if (da - ia, ia) in covered or a[da : da + k] != b[ia : ia + k]:
+                continue
+            r = extend(a, b, da, ia, k)
+            covered |= {(da - ia, y) for y in range(r[2], r[3] + 1)}
+            if out is None or r[4] - 2 * r[5] > out[4] - 2 * out[5]:
+                out = r
+        return out if out and out[4] - 2 * out[5] >= share * least else None
+
+    names = ["_d", "_i", "item_from", "item_to", "doc_from", "doc_to", "matched", "edits"]
+    kinds = f"_d {kd}, _i {ki}, " + ", ".join(f"{n} int" for n in names[2:])
+    types = [src.schema["_d"].dataType, its.schema["_i"].dataType]
+
+    def grow(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = [*map(to_arrow_type, types), *[pa.int32()] * 6]
+        cache: dict[str, list[str]] = {}
+        for batch in parts:
+            rows = []
+            for d, t, p in zip(*(batch.column(c).to_pylist() for c in ("_d", "_t", "_p"))):
+                a = words(t)
+                for q in p:
+                    for x in held.value.get(q["_i"], ()) if held else (q["_x"],):
+                        b = cache.get(x)
+                        if b is None:
+                            if len(cache) > 20_000:
+                                cache.clear()
+                            b = cache[x] = words(x)
+                        r = best(a, b, q["s"])
+                        if r:
+                            rows.append((d, q["_i"], r[2], r[3], r[0], r[1], r[4], r[5]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows) if rows else [[]] * 8, arrow)], names)
+
+    return full.select("_d", "_t", "_p").mapInArrow(grow, kinds).withColumnsRenamed({"_d": doc_id, "_i": item_id})

@@ -145,3 +145,14 @@ def test_leaks(spark):
     assert sorted(set(got)) == [(1, 1), (2, 1), (3, 1), (8, 1), (9, 1)]
     assert leakage.leaks(d.limit(0), "doc_id", "text", i, "item_id", "text").count() == 0
     assert leakage.leaks(d, "doc_id", "text", i.limit(0), "item_id", "text").count() == 0
+
+
+@pytest.mark.parametrize("limit", [8 << 20, 0])
+def test_leaks_with_items_held_or_joined(spark, monkeypatch, limit):
+    monkeypatch.setattr(leakage, "ITEM_BYTES", limit)
+    w = [f"word{i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, "x y z " + " ".join(w[10:30])), (1, "x y z " + " ".join(w[10:30])), (2, " ".join(w[:9])), (3, None), (4, "")], "d long, t string")
+    items = spark.createDataFrame([(7, " ".join(w)), (7, "other text"), (8, None)], "i long, x string")
+    got = sorted((r.d, r.i, r.item_from, r.item_to) for r in leakage.leaks(docs, "d", "t", items, "i", "x").collect())
+    assert set(got) == {(1, 7, 10, 29)} and len(got) >= 2
+    assert leakage.leaks(docs.limit(0), "d", "t", items, "i", "x").count() == leakage.leaks(docs, "d", "t", items.limit(0), "i", "x").count() == 0
