@@ -137,10 +137,69 @@ def sequence_similarity(a: Column, b: Column) -> Column:
 
 
 def name_similarity(a: Column, b: Column) -> Column:
-    """Blend of block similarity and word overlap; unequal trailing numbers halve it, equal ones add a tenth."""
-    s = 0.6 * sequence_similarity(a, b) + 0.4 * jaccard(words(a), words(b))
+    """Blend of block similarity and word overlap of two canonical names; unequal trailing numbers take 0.25 off, equal ones add 0.15.
+
+    A name that has nothing left in canonical form is similar to none: 0.
+    """
+    from ..operators.linking import canon
+
+    ca, cb = canon(a), canon(b)
+    s = 0.6 * sequence_similarity(ca, cb) + 0.4 * jaccard(F.split(ca, " "), F.split(cb, " "))
     na, nb = trailing_number(a), trailing_number(b)
-    return F.least(F.lit(1.0), F.when(na.isNotNull() & nb.isNotNull() & (na != nb), s * 0.5).when(na == nb, s + 0.1).otherwise(s))
+    s = F.when(na.isNotNull() & nb.isNotNull() & (na != nb), s - 0.25).when(na == nb, F.least(F.lit(1.0), s + 0.15)).otherwise(s)
+    return F.when(ca.isNull() | cb.isNull(), 0.0).otherwise(s)
+
+
+def trailing_scale(c: Column) -> Column:
+    """The number at the end of a scale ("1:24,000"), thousands marks left out; null if there is none."""
+    return F.nullif(F.regexp_replace(F.regexp_extract(c, r"([\d,]+)\s*$", 1), ",", ""), F.lit("")).try_cast("bigint")
+
+
+def raster_only(descriptor: Column) -> Column:
+    """Whether a source's description speaks of rasters and not of vectors."""
+    d = F.lower(F.coalesce(descriptor, F.lit("")))
+    return d.rlike(r"\braster\b|\bscan(?:ned)?\b|geotiff|geopdf|\bcog\b|xyz") & ~d.rlike(r"\bvector\b|\bgis\b|geodatabase|\bgdb\b|\bgpkg\b|\bgems\b|polygon")
+
+
+def plain_scale(c: Column) -> Column:
+    """A scale given as a number ("24000", "1:24,000", "24k"); null for anything else."""
+    s = F.regexp_replace(F.lower(F.trim(c.cast("string"))), ",", "")
+    shape = r"^(?:1\s*:\s*)?(\d+(?:\.\d+)?)\s*(k)?$"
+    n = F.regexp_extract(s, shape, 1).try_cast("double") * F.when(F.regexp_extract(s, shape, 2) == "k", 1000).otherwise(1)
+    return F.when(n >= 1, F.floor(n))
+
+
+def exact_scale(*notes: Column) -> Column:
+    """The one scale that texts state; null where they state a range, several scales, or none."""
+    one = r"(?i)1\s*:\s*([\d,]+(?:\.\d+)?)\s*(k)?"
+
+    def stated(c: Column) -> Column:
+        c = F.coalesce(c, F.lit(""))
+        n = F.regexp_replace(F.regexp_extract(c, one, 1), ",", "").try_cast("double") * F.when(F.lower(F.regexp_extract(c, one, 2)) == "k", 1000).otherwise(1)
+        return F.when((F.regexp_count(c, F.lit(one)) == 1) & ~c.rlike(r"(?i)[–—]|\bto\b"), F.floor(n))
+
+    found = F.array_distinct(F.array_compact(F.array(*map(stated, notes))))
+    return F.when(F.size(found) == 1, found[0])
+
+
+def native_scale(descriptor: Column, scoring: Column, native: Column, denominator: Column, *notes: Column, most: int = 24_000) -> Column:
+    """Whether a source is an attributed vector source drawn at 1:``most`` or better.
+
+    Raster sources and those barred from scoring are not; one that is cleared goes by its native
+    scale alone if that is known, others by the stated denominator, the native scale or the one exact scale of their notes.
+    """
+    n = plain_scale(native)
+    known = F.coalesce(plain_scale(denominator), n, exact_scale(*notes))
+    ok = F.when(F.coalesce(scoring, F.lit(False)) & n.isNotNull(), n <= most).otherwise(F.coalesce(known <= most, F.lit(False)))
+    return ~raster_only(descriptor) & F.coalesce(scoring, F.lit(True)) & ok
+
+
+def sentence_after(text: Column, heading: Column) -> Column:
+    """The first sentence below a heading that stands on a line of its own, in one line; null if there is none."""
+    start = F.instr(F.concat(F.lit("\n"), F.lower(text), F.lit("\n")), F.concat(F.lit("\n"), F.lower(heading), F.lit("\n")))
+    rest = F.substring(text, start + F.length(heading), F.length(text))
+    s = F.regexp_replace(F.trim(F.regexp_extract(rest, r"(?s)^\s*([^.?!]*[.?!])", 1)), r"\s+", " ")
+    return F.when((start > 0) & (F.length(heading) > 0), F.nullif(s, F.lit("")))
 
 
 def quote_words(t: str | None) -> list[str]:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evidence, extras, general_problems, records, relational, shapes, streams, texts
+from . import evidence, extras, general_problems, linked, records, relational, shapes, streams, texts
 
-MODULES = [general_problems, relational, texts, shapes, streams, records, evidence, extras]
+MODULES = [general_problems, relational, texts, shapes, streams, records, evidence, extras, linked]
 
 
 def queries() -> dict:

@@ -56,20 +56,6 @@ def j17(spark, d):
     return near.groupBy("district_id").agg(F.min_by("dep_id", F.struct(cost, F.col("dep_id"))).alias("dep_id"))
 
 
-@query(
-    "j18_first_conditional_match",
-    """SELECT mine_id, min(row_id) AS row_id FROM reviewed_grade_evidence g JOIN rows_igs_b11 r ON r.state = g.state AND r.county = g.county
-       AND trim(regexp_replace(lower(r.name), '[^a-z]+', ' ', 'g')) = trim(regexp_replace(lower(g.name), '[^a-z]+', ' ', 'g')) WHERE coalesce(r.district = g.district, true) GROUP BY 1""",
-)
-def j18(spark, d):
-    """The first row with the canonical name in the county whose district doesn't differ."""
-    canon = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z]+", " "))
-    g = table(spark, d, "reviewed_grade_evidence").select("mine_id", "state", "county", F.col("district").alias("gd"), canon("name").alias("k"))
-    r = table(spark, d, "rows_igs_b11").select("row_id", "state", "county", "district", canon("name").alias("k"))
-    j = g.join(r, ["state", "county", "k"]).where(F.coalesce(F.col("district") == F.col("gd"), F.lit(True)))
-    return j.groupBy("mine_id").agg(F.min("row_id").alias("row_id"))
-
-
 @query("j27_foreign_key_containment", f"SELECT a.district_id, b.district_id AS parent, abs(a.lon - b.lon) < 1 AND abs(a.lat - b.lat) < 1 AS held FROM (SELECT * FROM {_D}) a JOIN (SELECT * FROM {_D}) b ON b.district_id = a.district_id // 2")
 def j27(spark, d):
     """Children by key and the proof that the parent's box holds them."""

@@ -47,15 +47,48 @@ def s27(spark, d):
     return f.select("id", F.col("properties")["nm"].alias("nm"), F.col("geometry.coordinates")[0].alias("x"))
 
 
+def _landed(spark, d):
+    p = _tmp(spark, "pages")
+    rows = table(spark, d, "nation").orderBy("n_nationkey").collect()  # 25 nations stand for a landed service
+    paged.write_pages([(r.n_nationkey, {"name": r.n_name, "x": r.n_nationkey % 7, "y": r.n_regionkey}) for r in rows], spark, p, 4)
+    return p
+
+
 @query("s02_paged_cursor_scan", "SELECT n_nationkey AS objectid, n_name AS name FROM nation WHERE n_nationkey > 7")
 def s02(spark, d):
-    """Landed pages through the paged data source, above an id cursor."""
-    from urllib.parse import urlparse
+    """Landed pages above an id cursor; pages below it aren't opened."""
+    return paged.read_pages(spark, _landed(spark, d), 7).select("objectid", F.get_json_object("attributes", "$.name").alias("name"))
+
+
+@query("s03_box_scan", "SELECT n_nationkey AS objectid FROM nation WHERE n_nationkey % 7 BETWEEN 2 AND 4 AND n_regionkey BETWEEN 1 AND 3")
+def s03(spark, d):
+    return paged.read_box(paged.read_pages(spark, _landed(spark, d)), "x", "y", (2, 1, 4, 3)).select("objectid")
+
+
+@query(
+    "s06_chunk_reconciliation",
+    """WITH a AS (SELECT o_orderkey AS k FROM orders), b AS (SELECT o_orderkey + CASE WHEN o_orderkey % 997 = 5 THEN 100000000 ELSE 0 END AS k FROM orders WHERE o_orderkey % 1009 <> 3 UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey % 1013 = 8),
+            j AS (SELECT coalesce(a.k, b.k) AS k, a.k AS ak, b.k AS bk, n FROM (SELECT DISTINCT k FROM a) a FULL JOIN (SELECT k, count(*) AS n FROM b GROUP BY 1) b ON a.k = b.k)
+       SELECT * FROM (SELECT k // 5000 AS chunk, count(ak) AS expected, count(*) FILTER (bk IS NULL) AS missing, count(*) FILTER (ak IS NULL) AS extra, count(*) FILTER (coalesce(n, 1) > 1) AS repeated FROM j GROUP BY 1) WHERE missing + extra + repeated > 0""",
+)
+def s06(spark, d):
+    """Pinned ids against a scan that lost, moved and repeated records."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"))
+    seen = o.where("k % 1009 <> 3").select((F.col("k") + F.when(F.col("k") % 997 == 5, 100_000_000).otherwise(0)).alias("k")).unionAll(o.where("k % 1013 = 8"))
+    return paged.reconciled_chunks(o, seen, "k", 5000)
+
 
-    p = urlparse(_tmp(spark, "pages")).path
+@query("s08_resumable_scan", "SELECT n_nationkey AS objectid, CASE WHEN n_nationkey < 12 THEN 0 ELSE 1 END AS part FROM nation")
+def s08(spark, d):
+    """Two overlapping partitions taken two pages at a time, each step by a scan that begins anew."""
     rows = table(spark, d, "nation").orderBy("n_nationkey").collect()  # 25 nations stand for a landed service
-    paged.write_pages([(r.n_nationkey, {"name": r.n_name}) for r in rows], p, 4)
-    return paged.read_pages(spark, p, 7).select("objectid", F.get_json_object("attributes", "$.name").alias("name"))
+    parts = [_tmp(spark, "pages"), _tmp(spark, "pages")]
+    for p, some in zip(parts, ([r for r in rows if r.n_nationkey < 12], [r for r in rows if r.n_nationkey >= 8])):
+        paged.write_pages([(r.n_nationkey, {"name": r.n_name}) for r in some], spark, p, 3)
+    folder = _tmp(spark, "scan")
+    while paged.ResumableScan(spark, folder, parts).step(2):
+        pass
+    return paged.ResumableScan(spark, folder, parts).records().select("objectid", "part")
 
 
 @query("s04_double_pass_scan", "SELECT o_orderkey AS id, 'changed' AS change FROM orders WHERE o_orderkey % 1000 = 7")

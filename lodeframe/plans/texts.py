@@ -81,30 +81,6 @@ def f17(spark, d):
     return table(spark, d, "documents").where(F.datediff(F.lit("1960-01-01").cast("date"), "published_on").between(0, 365)).select("doc_id")
 
 
-@query(
-    "f18_site_filter_contract",
-    "SELECT dep_id, site_name FROM mrds_sites WHERE state IN ('Idaho', 'Nevada') AND lower(site_name) LIKE '%mine%' AND score <> 'E' ORDER BY dep_id LIMIT 50",
-)
-def f18(spark, d):
-    """Conditions of a request combined by AND; absent ones don't restrict; a limit at the end."""
-    ask = {"states": ["Idaho", "Nevada"], "name": "mine", "not_score": "E", "status": None}
-    t = table(spark, d, "mrds_sites")
-    for ok, cond in (
-        (ask["states"], F.col("state").isin(ask["states"] or [""])),
-        (ask["name"], F.lower("site_name").contains(ask["name"] or "")),
-        (ask["not_score"], F.col("score") != F.lit(ask["not_score"])),
-        (ask["status"], F.col("dev_stat") == F.lit(ask["status"])),
-    ):
-        if ok:
-            t = t.where(cond)
-    return t.orderBy("dep_id").limit(50).select("dep_id", "site_name")
-
-
-@query("f20_richest_first", "SELECT row_id, au_opt FROM rows_igs_b11 WHERE metal = 'Au' AND au_opt >= 0.1 AND state = 'ID' ORDER BY au_opt DESC, row_id LIMIT 25")
-def f20(spark, d):
-    return table(spark, d, "rows_igs_b11").where("metal = 'Au' and au_opt >= 0.1 and state = 'ID'").orderBy(F.col("au_opt").desc(), "row_id").limit(25).select("row_id", "au_opt")
-
-
 @query("f22_fuzzy_name_lookup", "SELECT district_id, name FROM districts WHERE levenshtein(lower(name), 'alkali creek') <= 3")
 def f22(spark, d):
     return table(spark, d, "districts").where(F.levenshtein(F.lower("name"), F.lit("alkali creek"), 3) >= 0).select("district_id", "name")

@@ -104,7 +104,16 @@ def test_similarity_against_difflib(spark):
     got = [r[0] for r in t.select(text.sequence_similarity(F.col("a"), F.col("b"))).collect()]
     assert got == [SequenceMatcher(None, a, b, autojunk=False).ratio() if a is not None else 0.0 for a, b in pairs]
     s = [r[0] for r in t.select(text.name_similarity(F.col("a"), F.col("b"))).collect()]
-    assert s[0] > 0.8 and s[4] < 0.5
+    def blend(x, y, off):
+        shared = len(set(x.split()) & set(y.split())) / len(set(x.split()) | set(y.split()))
+        return min(1.0, 0.6 * SequenceMatcher(None, x, y, autojunk=False).ratio() + 0.4 * shared + off)
+
+    want = [blend("golden shovel", "golden shovel", 0.15), blend("abc", "abd", 0), 0.0, 0.0, blend("a b", "a b", -0.25)]
+    assert s == pytest.approx(want)
+    more = [("PMG 370", "PMG 371"), ("The Lucky Peach Mine (east drift)", "Lucky Peech claim"), ("Mine No. 2", "Shaft"), ("Blue Bird #07", "bluebird 7")]
+    want = [blend("pmg", "pmg", -0.25), blend("lucky peach", "lucky peech", 0), 0.0, blend("blue bird", "bluebird", 0.15)]
+    m = spark.createDataFrame(more, "a string, b string")
+    assert [r[0] for r in m.select(text.name_similarity(F.col("a"), F.col("b"))).collect()] == pytest.approx(want)
 
 
 def test_quote_score(spark):
@@ -212,10 +221,39 @@ def test_vector_tiles(spark, tmp_path):
 
 
 def test_paged_source(spark, tmp_path):
-    paged.write_pages([(i, {"v": i}) for i in range(1, 11)], str(tmp_path / "p"), 3)
-    assert [r.objectid for r in paged.read_pages(spark, str(tmp_path / "p"), 4).orderBy("objectid").collect()] == list(range(5, 11))
-    os.makedirs(tmp_path / "none")
-    assert paged.read_pages(spark, str(tmp_path / "none")).count() == 0
+    p = f"file://{tmp_path}/p"
+    paged.write_pages([(i, {"v": i}) for i in range(1, 11)], spark, p, 3)
+    ids = lambda *a: [r.objectid for r in paged.read_pages(spark, p, *a).orderBy("objectid").collect()]
+    assert ids(4) == list(range(5, 11)) and ids(4, 6) == [5, 6] and ids(10) == [] and ids() == list(range(1, 11))
+    assert len(paged.list_pages(spark, p, 6)) == 2 and len(paged.list_pages(spark, p, 3, 6)) == 1
+    assert paged.read_pages(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_resumable_scan(spark, tmp_path, monkeypatch):
+    a, b, f = (f"file://{tmp_path}/{x}" for x in "abf")
+    paged.write_pages([(i, {}) for i in range(7)], spark, a, 2)
+    paged.write_pages([(i, {}) for i in range(5, 9)], spark, b, 2)
+    scan = lambda: paged.ResumableScan(spark, f, [a, b])
+    assert scan().records().count() == 0 and scan().step(3)
+    assert scan().checkpoint()["cursor"] == 5 and sorted(r.objectid for r in scan().records().collect()) == list(range(6))
+    # a step that fails after its records are written is taken again
+    monkeypatch.setattr(paged, "move_pointer", lambda *x: (_ for _ in ()).throw(RuntimeError("stopped")))
+    with pytest.raises(RuntimeError):
+        scan().step(3)
+    assert scan().records().count() == 6
+    monkeypatch.undo()
+    while scan().step(3):
+        pass
+    got = rows(scan().records().select("objectid", "part"))
+    assert got == [(i, 0) for i in range(7)] + [(7, 1), (8, 1)] and not scan().step(1)
+    with pytest.raises(ValueError, match="malformed"):
+        paged.ResumableScan(spark, f, [a]).checkpoint()
+    sinks.move_pointer(spark, f"{f}/checkpoint", "scan", {"schema": paged.SCHEMA, "partition": True, "cursor": 1, "rows": 0, "step": 1, "parts": 2})
+    with pytest.raises(ValueError, match="malformed"):
+        scan().step(1)
+    sinks.move_pointer(spark, f"{f}/checkpoint", "scan", {"schema": 0})
+    assert scan().checkpoint() is None  # of another schema: begun again
+
 
 
 def test_tile_planning():
