@@ -53,12 +53,14 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    It is what the cluster names in ``spark.checkpoint.dir``; only where that is
-    unset (tests, a single machine) is a temporary folder used.
+    It is what the cluster names in ``spark.checkpoint.dir``. Where that is unset, a
+    temporary folder serves a local master; on a cluster it is an error, as no machine's own folder is shared.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="lodeframe-")
         sc.setCheckpointDir(named)
     return named
