@@ -6,22 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..functions.states import state_code
 from ..session import broadcast_if_small, materialize
 from . import entities, matching, names
 
-# Postal codes of the states by full name.
-STATES = dict(
-    x.split(":")
-    for x in (
-        "alabama:AL alaska:AK arizona:AZ arkansas:AR california:CA colorado:CO connecticut:CT delaware:DE florida:FL georgia:GA hawaii:HI idaho:ID "
-        "illinois:IL indiana:IN iowa:IA kansas:KS kentucky:KY louisiana:LA maine:ME maryland:MD massachusetts:MA michigan:MI minnesota:MN mississippi:MS "
-        "missouri:MO montana:MT nebraska:NE nevada:NV new_hampshire:NH new_jersey:NJ new_mexico:NM new_york:NY north_carolina:NC north_dakota:ND ohio:OH "
-        "oklahoma:OK oregon:OR pennsylvania:PA rhode_island:RI south_carolina:SC south_dakota:SD tennessee:TN texas:TX utah:UT vermont:VT virginia:VA "
-        "washington:WA west_virginia:WV wisconsin:WI wyoming:WY"
-    ).split()
-)
-
-
 def rows_part(spark: SparkSession, d: str, *more: Column) -> DataFrame:
     return spark.read.parquet(f"{d}/rows_igs_b11.parquet").select(
         F.lit("rows").alias("src"), F.col("row_id").cast("string").alias("id"), "name", F.col("keys").alias("further"), "state", "county", "district", "lat", "lon", *more
@@ -37,11 +25,10 @@ def reviewed_part(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sites_part(spark: SparkSession, d: str) -> DataFrame:
-    code = F.element_at(F.create_map(*[F.lit(x) for kv in STATES.items() for x in kv]), F.regexp_replace(F.lower(F.trim("state")), " ", "_"))
     none = F.lit(None)
     return spark.read.parquet(f"{d}/mrds_sites.parquet").select(
         F.lit("sites").alias("src"), F.col("dep_id").cast("string").alias("id"), F.col("site_name").alias("name"), none.cast("array<string>").alias("further"),
-        F.coalesce(code, F.upper(F.trim("state"))).alias("state"), "county", none.cast("string").alias("district"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon"),
+        F.coalesce(state_code(F.col("state")), F.upper(F.trim("state"))).alias("state"), "county", none.cast("string").alias("district"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon"),
     )
 
 
