@@ -107,11 +107,19 @@ def w13(spark, d):
     return M.page_window_match(quotes, pages, "src_key", "cited", 2, lambda: F.when(F.contains("text", "quote"), 1.0).otherwise(T.quote_score(F.col("quote"), F.col("text"))), every=True)
 
 
-@query("w14_sorted_neighbours", "SELECT n_regionkey AS g, string_agg(n_nationkey, ',' ORDER BY length(n_name) DESC, n_nationkey) AS near FROM nation GROUP BY 1")
+@query(
+    "w14_sorted_neighbours",
+    f"""WITH p AS (SELECT a.district_id AS g, b.district_id AS o, round(b.radius_km, 1) AS w, round(abs(a.lat - b.lat) + abs(a.lon - b.lon), 4) AS off FROM (SELECT * FROM {_D}) a JOIN (SELECT * FROM {_D}) b ON a.state = b.state AND a.district_id <> b.district_id AND abs(a.lat - b.lat) + abs(a.lon - b.lon) <= 0.5),
+            r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY w DESC, off, o) AS r FROM p) SELECT g, string_agg(o, ',' ORDER BY r) AS near FROM r WHERE r <= 5 GROUP BY 1""",
+)
 def w14(spark, d):
-    """A list in the order of (weight descending, distance)."""
-    g = table(spark, d, "nation").groupBy(F.col("n_regionkey").alias("g")).agg(F.array_sort(F.collect_list(F.struct((-F.length("n_name")).alias("w"), "n_nationkey"))).alias("l"))
-    return g.select("g", F.array_join(F.transform("l", lambda x: x["n_nationkey"].cast("string")), ",").alias("near"))
+    """The five weightiest neighbours of each district, by weight and then by distance."""
+    t = table(spark, d, "districts").where("lat is not null and lon is not null").select("district_id", "state", "lat", "lon", "radius_km")
+    other = t.select(F.col("district_id").alias("o"), "state", F.col("lat").alias("y"), F.col("lon").alias("x"), F.round("radius_km", 1).alias("w"))
+    off = F.abs(F.col("lat") - F.col("y")) + F.abs(F.col("lon") - F.col("x"))
+    near = t.select(F.col("district_id").alias("g"), "state", "lat", "lon").join(other, "state").where((F.col("g") != F.col("o")) & (off <= 0.5)).withColumn("off", F.round(off, 4))
+    best = R.top_per_group(near, ["g"], 5, F.col("w").desc(), F.col("off"), F.col("o"))
+    return best.groupBy("g").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "o"))), lambda x: x["o"].cast("string")), ",").alias("near"))
 
 
 @query("t21_quantity_rows")
@@ -132,47 +140,62 @@ def _square(k):
     return S.ring((x - k, y - k), (x - k, y + k), (x + k, y + k), (x + k, y - k))
 
 
-@query("g08_representative_point", f"SELECT district_id, true AS held FROM {_D}")
+@query(
+    "g08_representative_point",
+    f"""WITH u AS (SELECT district_id, lon, lat, (district_id % 9) * 0.5 AS g FROM {_D}), c AS (SELECT *, lon + 2.5 AS cx, lat + (62.5 - 3 * g * (5 - g / 2)) / (25 - 3 * g) AS cy FROM u)
+        SELECT district_id, CASE WHEN cy < lat + 5 - g THEN 'centroid' ELSE 'scan' END AS by, CASE WHEN cy < lat + 5 - g THEN round(cx, 6) END AS x, CASE WHEN cy < lat + 5 - g THEN round(cy, 6) END AS y, true AS held FROM c""",
+)
 def g08(spark, d):
-    """The centroid where it lies inside, else a point on a scan line: a U whose centroid lies in the gap."""
-    x, y = F.col("lon"), F.col("lat")
-    u = S.ring((x, y), (x + 5, y), (x + 5, y + 5), (x + 4, y + 5), (x + 4, y + 1), (x + 1, y + 1), (x + 1, y + 5), (x, y + 5))
-    t = table(spark, d, "districts").where("lat is not null and lon is not null").withColumn("u", u)
-    c, p = S.centroid(F.col("u")), S.interior_point(F.col("u"))
-    t = t.withColumn("c", c).withColumn("p", p)
-    pick = F.when(G.ring_contains(F.col("c.x"), F.col("c.y"), F.col("u")), F.col("c")).otherwise(F.col("p"))
-    return t.withColumn("r", pick).select("district_id", G.ring_contains(F.col("r.x"), F.col("r.y"), F.col("u")).alias("held"))
-
-
-@query("g10_rings_to_multipolygon", f"SELECT district_id, 2 AS n_polygons, 3 AS n_rings FROM {_D}")
+    """The centroid where it lies inside, else a point on a scan line: U shapes whose gap is deeper from one to the next."""
+    x, y, g = F.col("lon"), F.col("lat"), F.col("g")
+    u = S.ring((x, y), (x + 5, y), (x + 5, y + 5), (x + 4, y + 5), (x + 4, y + 5 - g), (x + 1, y + 5 - g), (x + 1, y + 5), (x, y + 5))
+    t = table(spark, d, "districts").where("lat is not null and lon is not null").withColumn("g", F.col("district_id") % 9 * 0.5).withColumn("u", u)
+    t = t.withColumn("c", S.centroid(F.col("u"))).withColumn("p", S.interior_point(F.col("u")))
+    central = G.ring_contains(F.col("c.x"), F.col("c.y"), F.col("u"))
+    t = t.withColumn("by", F.when(central, "centroid").otherwise("scan")).withColumn("r", F.when(central, F.col("c")).otherwise(F.col("p")))
+    own = lambda c: F.when(F.col("by") == "centroid", F.round(F.col(c), 6))
+    return t.select("district_id", "by", own("c.x").alias("x"), own("c.y").alias("y"), G.ring_contains(F.col("r.x"), F.col("r.y"), F.col("u")).alias("held"))
+
+
+@query("g10_rings_to_multipolygon", f"SELECT district_id, 1 + (district_id % 3 = 2)::INT AS n_polygons, 1 + (district_id % 3 = 2)::INT + (district_id % 2)::INT AS n_rings, 1 + (district_id % 2)::INT AS n_first FROM {_D}")
 def g10(spark, d):
-    """Two outer rings and a hole, told apart by orientation."""
+    """An outer ring, every second one with a hole, every third one with an outer ring beside it, told apart by orientation."""
     far = F.transform(_square(0.5), lambda p: F.struct((p["x"] + 10).alias("x"), p["y"].alias("y")))
-    t = table(spark, d, "districts").where("lat is not null and lon is not null").withColumn("m", P.to_multipolygon(F.array(_square(1), F.reverse(_square(0.2)), far)))
-    return t.select("district_id", F.size("m").alias("n_polygons"), F.aggregate("m", F.lit(0), lambda a, p: a + F.size(p)).alias("n_rings"))
+    k, none = F.col("district_id"), F.lit(None).cast(S.RING)
+    rings = F.array_compact(F.array(F.when(k % 3 == 2, far).otherwise(none), _square(1), F.when(k % 2 == 1, F.reverse(_square(0.2))).otherwise(none)))
+    t = table(spark, d, "districts").where("lat is not null and lon is not null").withColumn("m", P.to_multipolygon(rings))
+    middle = F.filter("m", lambda p: F.abs(p[0][0]["x"] - F.col("lon")) < 2)[0]
+    return t.select("district_id", F.size("m").alias("n_polygons"), F.aggregate("m", F.lit(0), lambda a, p: a + F.size(p)).alias("n_rings"), F.size(middle).alias("n_first"))
 
 
-@query("g11_dateline_unwrap", f"SELECT district_id, CAST(0.4 AS DOUBLE) AS width FROM {_D}")
+@query("g11_dateline_unwrap", f"SELECT district_id, CAST(round((district_id % 40 + 1) * 0.1, 6) AS DOUBLE) AS width FROM {_D}")
 def g11(spark, d):
-    w = lambda v: F.pmod(v + 180, F.lit(360.0)) - 180
-    ring = S.ring(*[(w(F.lit(179.9) + dx), F.col("lat") + dy) for dx, dy in ((0, 0), (0.4, 0), (0.4, 0.1), (0, 0.1))])
+    """Rings of growing width that begin before, at and beyond 180 degrees."""
+    wrap = lambda v: F.pmod(v + 180, F.lit(360.0)) - 180
+    x0, w = 179.9 + F.col("district_id") % 3 * 0.1, (F.col("district_id") % 40 + 1) * 0.1
+    ring = S.ring(*[(wrap(x0 + dx), F.col("lat") + dy) for dx, dy in ((F.lit(0.0), 0), (w, 0), (w, 0.1), (F.lit(0.0), 0.1))])
     t = table(spark, d, "districts").where("lat is not null and lon is not null").withColumn("b", S.bbox(P.unwrap_ring(ring)))
     return t.select("district_id", F.round(F.col("b.x1") - F.col("b.x0"), 6).alias("width"))
 
 
-@query("g12_polygon_in_polygon", f"SELECT district_id, true AS inner_held, false AS moved_held FROM {_D}")
+@query("g12_polygon_in_polygon", f"SELECT district_id, (district_id % 4) * 0.3 + (district_id % 10 + 1) * 0.15 < 1 AS held FROM {_D}")
 def g12(spark, d):
+    """Squares of several sizes and places against a square about the anchor."""
     t = table(spark, d, "districts").where("lat is not null and lon is not null")
-    moved = F.transform(_square(0.5), lambda p: F.struct((p["x"] + 0.8).alias("x"), p["y"].alias("y")))
-    return t.select("district_id", P.ring_covers(_square(1), _square(0.5)).alias("inner_held"), P.ring_covers(_square(1), moved).alias("moved_held"))
+    x, y, k, off = F.col("lon"), F.col("lat"), (F.col("district_id") % 10 + 1) * 0.15, F.col("district_id") % 4 * 0.3
+    moved = S.ring((x + off - k, y - k), (x + off - k, y + k), (x + off + k, y + k), (x + off + k, y - k))
+    return t.select("district_id", P.ring_covers(_square(1), moved).alias("held"))
 
 
-@query("g18_collapsed_lines", f"SELECT district_id, district_id % 3 = 0 AS was_collapsed, false AS is_collapsed FROM {_D}")
+_SHORT = "CAST((district_id % 30) * 0.001 + 0.0003 AS DOUBLE)"
+
+
+@query("g18_collapsed_lines", f"SELECT district_id, round(round(lon, 2) / 0.01) = round((round(lon, 2) + {_SHORT}) / 0.01) AS was_collapsed, false AS is_collapsed, round(CASE WHEN round(round(lon, 2) / 0.01) = round((round(lon, 2) + {_SHORT}) / 0.01) THEN 0.01 ELSE {_SHORT} END, 6) AS width FROM {_D}")
 def g18(spark, d):
-    """Lines below the grid's resolution stretched to a cell, with an audit."""
-    k = F.when(F.col("district_id") % 3 == 0, 1e-9).otherwise(0.5)
-    t = table(spark, d, "districts").where("lat is not null and lon is not null").withColumn("l", S.ring((F.round("lon", 2), F.round("lat", 2)), (F.round("lon", 2) + k, F.round("lat", 2))))
-    return t.select("district_id", P.collapsed(F.col("l"), 0.01).alias("was_collapsed"), P.collapsed(P.repair_collapsed(F.col("l"), 0.01), 0.01).alias("is_collapsed"))
+    """Lines of a third of a thousandth of a degree to three hundredths, on a grid of one hundredth: the collapsed ones are stretched to a cell."""
+    t = table(spark, d, "districts").where("lat is not null and lon is not null").withColumn("l", S.ring((F.round("lon", 2), F.round("lat", 2)), (F.round("lon", 2) + F.expr(_SHORT), F.round("lat", 2))))
+    t = t.withColumn("m", P.repair_collapsed(F.col("l"), 0.01)).withColumn("b", S.bbox(F.col("m")))
+    return t.select("district_id", P.collapsed(F.col("l"), 0.01).alias("was_collapsed"), P.collapsed(F.col("m"), 0.01).alias("is_collapsed"), F.round(F.col("b.x1") - F.col("b.x0"), 6).alias("width"))
 
 
 @query("g32_derivation_audit", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE abs(l_extendedprice / nullif(l_quantity, 0) - round(l_extendedprice / nullif(l_quantity, 0), 2)) > 0.004")
@@ -193,14 +216,16 @@ def a23(spark, d):
     return table(spark, d, "reviewed_grade_evidence").groupBy("state", "county").agg(F.nullif(F.array_join(F.array_sort(F.collect_set("district")), "/"), F.lit("")).alias("districts"), F.count_distinct("name").alias("names"))
 
 
-@query("v05_inputs_unchanged", "SELECT 'nation' AS input, true AS same UNION ALL SELECT 'region', true")
+@query("v05_inputs_unchanged", "SELECT * FROM (VALUES ('as it was', true), ('in another order', true), ('a row less', false), ('a row twice', false), ('a cent more', false)) v(input, same)")
 def v05(spark, d):
-    """Inputs hashed before and after a job."""
+    """An input hashed before a job, and after changes that do and don't matter."""
     from ..sources.sinks import digest
 
-    names = ["nation", "region"]
-    before = {n: digest(table(spark, d, n)) for n in names}
-    return spark.createDataFrame([(n, digest(table(spark, d, n)) == before[n]) for n in names], "input string, same boolean")
+    t = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+    one = F.col("c_custkey") == t.agg(F.min("c_custkey")).first()[0]
+    after = {"as it was": t, "in another order": t.orderBy(F.col("c_name").desc()).repartition(5), "a row less": t.where(~one), "a row twice": t.unionAll(t.where(one)), "a cent more": t.withColumn("c_acctbal", F.when(one, F.col("c_acctbal") + 0.01).otherwise(F.col("c_acctbal")))}
+    before = digest(t)
+    return spark.createDataFrame([(n, digest(x) == before) for n, x in after.items()], "input string, same boolean")
 
 
 @query("v16_clip_accounting", f"SELECT count(*) AS n, count(*) FILTER (abs(lon + 115) + abs(lat - 44) < 5) AS kept, count(*) FILTER (NOT abs(lon + 115) + abs(lat - 44) < 5) AS removed FROM rows_igs_b11 WHERE lat IS NOT NULL AND lon IS NOT NULL AND NOT isnan(lat) AND NOT isnan(lon) AND abs(lat) <= 90 AND abs(lon) <= 180")
@@ -222,12 +247,21 @@ def v22(spark, d):
     return table(spark, d, "nation").select("n_nationkey", F.sha2(canonical_json(["n_name", "n_regionkey"]), 256).alias("fp"))
 
 
-@query("v25_quote_floor", "SELECT e.evidence_id, contains(lower(e.verbatim_quote), lower(e.basis)) OR true AS stands FROM (SELECT unnest(evidence) AS e FROM reviewed_grade_evidence) WHERE e.verbatim_quote IS NOT NULL")
+@query(
+    "v25_quote_floor",
+    r"""WITH e AS (SELECT e.evidence_id, e.verbatim_quote AS q FROM (SELECT unnest(evidence) AS e FROM reviewed_grade_evidence) WHERE regexp_full_match(e.verbatim_quote, '[ -~]+') AND regexp_matches(e.verbatim_quote, '[a-zA-Z0-9]')),
+            p AS (SELECT *, array_to_string(string_split(q, ' ')[1 : CAST(ceil(len(string_split(q, ' ')) * (6 + length(evidence_id || q) % 5) / 10.0) AS INTEGER)], ' ') AS head FROM e)
+       SELECT evidence_id, round(share, 6) AS score, share >= 0.85 AS stands FROM (SELECT evidence_id, CAST(len(list_filter(w, lambda x: list_contains(h, x))) AS DOUBLE) / len(w) AS share
+              FROM (SELECT evidence_id, regexp_extract_all(lower(q), '[a-z0-9]+') AS w, regexp_extract_all(lower(head), '[a-z0-9]+') AS h FROM p))""",
+)
 def v25(spark, d):
-    """Quotations against their page's text with a floor (here each page is its quotation amid other words)."""
-    e = table(spark, d, "reviewed_grade_evidence").select(F.explode("evidence").alias("e")).where("e.verbatim_quote is not null")
-    page = F.concat(F.lit("Earlier text. "), F.col("e.verbatim_quote"), F.lit(" Later text."))
-    return e.select("e.evidence_id", (T.quote_score(F.col("e.verbatim_quote"), page) >= 0.85).alias("stands"))
+    """Quotations against pages that hold their first six tenths to the whole of them, amid other words."""
+    e = table(spark, d, "reviewed_grade_evidence").select(F.explode("evidence").alias("e")).select("e.evidence_id", F.col("e.verbatim_quote").alias("q")).where(r"q rlike '^[ -~]+$' and q rlike '[a-zA-Z0-9]'")
+    w = F.split("q", " ")
+    n = F.ceil(F.size(w) * (6 + F.length(F.concat("evidence_id", "q")) % 5) / 10).cast("int")
+    page = F.concat(F.lit("zzza zzzb "), F.array_join(F.slice(w, F.lit(1), n), " "), F.lit(" zzzc zzzd"))
+    e = e.withColumn("score", T.quote_score(F.col("q"), page))
+    return e.select("evidence_id", F.round("score", 6).alias("score"), (F.col("score") >= 0.85).alias("stands"))
 
 
 @query("v27_set_reconciliation", "SELECT (SELECT count(DISTINCT o_custkey) FROM orders) AS live, (SELECT count(*) FROM (SELECT DISTINCT o_custkey FROM orders INTERSECT SELECT c_custkey FROM customer)) AS covered, (SELECT count(*) FROM orders) AS total")
@@ -237,19 +271,27 @@ def v27(spark, d):
     return o.join(c, "o_custkey", "left").agg(F.count(F.lit(1)).alias("live"), F.count("hit").alias("covered"), F.sum("n").alias("total"))
 
 
-@query("v30_inventory_replay", "SELECT count(*) AS instances, count(DISTINCT l_orderkey) AS records, count(*) >= count(DISTINCT l_orderkey) AS ok FROM lineitem")
+@query(
+    "v30_inventory_replay",
+    """WITH p AS (SELECT 'all' AS part, l_orderkey AS k FROM lineitem UNION ALL SELECT 'returned', l_orderkey FROM lineitem WHERE l_returnflag = 'R')
+       SELECT part, count(*) AS instances, count(DISTINCT k) AS records, count(DISTINCT k) = (SELECT count(DISTINCT l_orderkey) FROM lineitem) AS replays FROM p GROUP BY 1""",
+)
 def v30(spark, d):
-    i = R.id_inventory(table(spark, d, "lineitem"), "l_orderkey")
-    return i.select(F.col("n").alias("instances"), F.col("n_distinct").alias("records"), (F.col("n") >= F.col("n_distinct")).alias("ok"))
+    """Id inventories of a table and of a part of it against that of the shuffled table."""
+    t = table(spark, d, "lineitem")
+    known = R.id_inventory(t.select("l_orderkey").distinct().orderBy(F.col("l_orderkey").desc()), "l_orderkey").select(F.col("digest").alias("known"))
+    parts = [R.id_inventory(x, "l_orderkey").withColumn("part", F.lit(n)) for n, x in (("all", t), ("returned", t.where("l_returnflag = 'R'")))]
+    both = parts[0].unionByName(parts[1]).join(F.broadcast(known))  # one row
+    return both.select("part", F.col("n").alias("instances"), F.col("n_distinct").alias("records"), (F.col("digest") == F.col("known")).alias("replays"))
 
 
-@query("v32_lossless_loop", f"SELECT 0 AS missing, count(*) FILTER (district_id % 3 = 0) AS repaired FROM {_D}")
+@query("v32_lossless_loop", f"SELECT 0 AS missing, count(*) FILTER (round(round(lon, 2) / 0.01) = round((round(lon, 2) + {_SHORT}) / 0.01)) AS repaired, count(*) AS total FROM {_D}")
 def v32(spark, d):
-    """Diagnose ids lost at a resolution, repair only those, prove that none is lost."""
-    k = F.when(F.col("district_id") % 3 == 0, 1e-9).otherwise(0.5)
-    t = table(spark, d, "districts").where("lat is not null and lon is not null").select("district_id", S.ring((F.round("lon", 2), F.round("lat", 2)), (F.round("lon", 2) + k, F.round("lat", 2))).alias("l"))
-    out = t.withColumn("lost", P.collapsed(F.col("l"), 0.01)).withColumn("l", P.repair_collapsed(F.col("l"), 0.01)).withColumn("still", P.collapsed(F.col("l"), 0.01))
-    return out.agg(F.count_if("still").alias("missing"), F.count_if("lost").alias("repaired"))
+    """Diagnose ids lost at a resolution, repair only those, prove that none is lost and no other was touched."""
+    t = table(spark, d, "districts").where("lat is not null and lon is not null").select("district_id", S.ring((F.round("lon", 2), F.round("lat", 2)), (F.round("lon", 2) + F.expr(_SHORT), F.round("lat", 2))).alias("l"))
+    out = t.withColumn("lost", P.collapsed(F.col("l"), 0.01)).withColumn("m", P.repair_collapsed(F.col("l"), 0.01)).withColumn("still", P.collapsed(F.col("m"), 0.01))
+    touched = ~F.col("l").eqNullSafe(F.col("m"))
+    return out.agg(F.count_if("still").alias("missing"), F.count_if(touched).alias("repaired"), F.count(F.lit(1)).alias("total"))
 
 
 @query("n02_document_merge", "SELECT state, CASE WHEN state = 'AK' THEN 3 ELSE 1 END AS a, CASE WHEN state = 'ID' THEN 9 ELSE 2 END AS b FROM (SELECT DISTINCT state FROM districts)")

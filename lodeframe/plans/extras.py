@@ -35,11 +35,13 @@ def t05(spark, d):
     return g.select("o_custkey", F.array_join(F.slice("v", 1, 3), "/").alias("parts"))
 
 
-@query("t17_window_containment", "SELECT row_id, true AS stands FROM rows_igs_b11 WHERE quote IS NOT NULL")
+@query("t17_window_containment", "SELECT p_partkey, round(CASE WHEN p_size = 0 THEN 0 ELSE CAST(p_partkey % (p_size + 1) AS DOUBLE) / p_size END, 6) AS score FROM part")
 def t17(spark, d):
-    """An exact quotation in its page scores one."""
-    page = F.concat(F.lit("Above. "), F.upper("quote"), F.lit(" Below."))
-    return table(spark, d, "rows_igs_b11").where("quote is not null").select("row_id", (T.quote_score(F.col("quote"), page) == 1.0).alias("stands"))
+    """Quotations of p_size words on pages that hold the first few of them, apart from other words."""
+    words = lambda a, b, stem: F.array_join(F.transform(F.sequence(F.lit(a), b), lambda i: F.concat(F.lit(stem), i.cast("string"))), " ")
+    size, held = F.col("p_size").cast("int"), (F.col("p_partkey") % (F.col("p_size") + 1)).cast("int")
+    page = F.concat(words(1, F.lit(70), "x"), F.lit(" "), F.when(held > 0, words(1, F.greatest(held, F.lit(1)), "w")).otherwise(F.lit("")), F.lit(". "), words(1, F.lit(70), "y"))
+    return table(spark, d, "part").select("p_partkey", F.round(T.quote_score(F.upper(words(1, F.greatest(size, F.lit(1)), "w")), page), 6).alias("score"))
 
 
 @query("t29_type_decode", "SELECT n_nationkey, CASE n_regionkey WHEN 0 THEN 'LODE' WHEN 1 THEN 'PLACER' WHEN 2 THEN 'MILL SITE' ELSE 'OTHER' END AS kind FROM nation")
@@ -108,9 +110,9 @@ def w15(spark, d):
     return table(spark, d, "events").select("event_id", F.row_number().over(w).alias("pos"))
 
 
-@query("v29_claim_counts_equal", "SELECT src_key, count(*) AS n, count(*) = max(c) AS same FROM rows_igs_b11 JOIN (SELECT src_key AS k, count(*) AS c FROM rows_igs_b11 GROUP BY 1) ON k = src_key GROUP BY 1")
+@query("v29_claim_counts_equal", "SELECT l_orderkey, count(*) AS n, count(*) = max(o_orderkey % 8) AS same FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1")
 def v29(spark, d):
-    """Declared counts against counted ones."""
-    t = table(spark, d, "rows_igs_b11")
-    declared = t.groupBy("src_key").agg(F.count(F.lit(1)).alias("c"))
-    return t.groupBy("src_key").agg(F.count(F.lit(1)).alias("n")).join(declared, "src_key").select("src_key", "n", (F.col("n") == F.col("c")).alias("same"))
+    """Counted lines of an order against the number its own record declares (here one that is right now and then)."""
+    declared = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderkey") % 8).alias("c"))
+    counted = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    return counted.join(declared, "l_orderkey").select("l_orderkey", "n", (F.col("n") == F.col("c")).alias("same"))

@@ -288,10 +288,12 @@ def g07(spark, d):
     return o.select(F.col("o_orderkey").alias("id"), S.segments_meet(a, b, point(F.lit(1), F.lit(1)), point(F.lit(4), F.lit(1))).alias("meets"))
 
 
-@query("g09_interior_point", f"SELECT district_id, true AS inside FROM {_D}")
+@query("g09_interior_point", f"SELECT district_id, round(lon + 1.5 * (district_id % 4 + 1), 6) AS x, round(lat + 1, 6) AS y, true AS inside FROM {_D}")
 def g09(spark, d):
-    t = _diamonds(spark, d).withColumn("p", S.interior_point(F.col("rings")[0]))
-    return t.select("district_id", G.ring_contains(F.col("p.x"), F.col("p.y"), F.col("rings")[0]).alias("inside"))
+    """Triangles of several shapes: the middle of the widest stretch half way up."""
+    x, y, k = F.col("lon"), F.col("lat"), F.col("district_id") % 4 + 1
+    t = _diamonds(spark, d).withColumn("u", S.ring((x, y), (x + 4 * k, y), (x + k, y + 2))).withColumn("p", S.interior_point(F.col("u")))
+    return t.select("district_id", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"), G.ring_contains(F.col("p.x"), F.col("p.y"), F.col("u")).alias("inside"))
 
 
 @query("g13_rectangle_clip", f"SELECT district_id, round(pow(radius_km / 100 + 0.0000013, 2) * 0.5, 8) AS area FROM {_D}")
@@ -302,11 +304,11 @@ def g13(spark, d):
     return t.withColumn("c", S.clip(F.col("rings")[0], S.box(x, y, x + r, y + r))).select("district_id", F.round(F.abs(S.signed_area(F.col("c"))), 8).alias("area"))
 
 
-@query("g14_simplify", f"SELECT district_id, 3 AS n FROM {_D}")
+@query("g14_simplify", f"SELECT district_id, 3 + ((district_id % 10) * 0.003 > 0.01)::INT AS n FROM {_D}")
 def g14(spark, d):
-    """Points near a chord go, the corner stays."""
-    x, y = F.col("lon"), F.col("lat")
-    line = S.ring((x, y), (x + 0.5, y + 0.0001), (x + 1, y), (x + 1, y + 0.5), (x + 1, y + 1))
+    """A point goes or stays by its distance from its chord, the corner stays, a point on its chord goes."""
+    x, y, off = F.col("lon"), F.col("lat"), F.col("district_id") % 10 * 0.003
+    line = S.ring((x, y), (x + 0.5, y + off), (x + 1, y), (x + 1, y + 0.5), (x + 1, y + 1))
     return _diamonds(spark, d).withColumn("s", S.simplify(line, 0.01)).select("district_id", F.size("s").alias("n"))
 
 
@@ -353,7 +355,9 @@ def g30(spark, d):
     return t.groupBy("state").agg(F.round(F.avg(F.col("lat").between(35, 45).cast("int")), 6).alias("share"))
 
 
-@query("g34_ring_decimation", f"SELECT district_id, 50 AS n FROM {_D}")
+@query("g34_ring_decimation", f"SELECT district_id, CAST(least(80, ceil((district_id % 300 + 3) / CAST(greatest(1, (district_id % 300 + 3) // 40) AS DOUBLE))) AS INTEGER) AS n, CAST(greatest(1, (district_id % 300 + 3) // 40) AS DOUBLE) AS second FROM {_D}")
 def g34(spark, d):
-    r = F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.struct(i.cast("double").alias("x"), F.lit(0.0).alias("y")))
-    return _diamonds(spark, d).select("district_id", F.size(S.decimate(r, 40, 80)).alias("n"))
+    """Rings of three to some three hundred corners."""
+    r = F.transform(F.sequence(F.lit(0), F.col("district_id") % 300 + 2), lambda i: F.struct(i.cast("double").alias("x"), F.lit(0.0).alias("y")))
+    t = _diamonds(spark, d).withColumn("c", S.decimate(r, 40, 80))
+    return t.select("district_id", F.size("c").alias("n"), F.col("c")[1]["x"].alias("second"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions import text as T
 from ..operators import matching as M
+from ..operators import relational as R
 from .registry import Registry, table
 
 query = Registry()
@@ -216,10 +217,10 @@ def t18(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", T.weighted_count(F.col("text"), {"assay": 2.0, "ounces": 1.5, "per cent": 1.0}).alias("score"))
 
 
-@query("t19_scale_parse", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_size * 1000 END AS scale FROM part WHERE p_size >= 5")
+@query("t19_scale_parse", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_size * 1000 + 10000 END AS scale FROM part")
 def t19(spark, d):
-    n = F.format_number(F.col("p_size") * 1000, 0)
-    p = table(spark, d, "part").where("p_size >= 5").select("p_partkey", F.when(F.col("p_size") % 3 == 0, "Map, scale not given").otherwise(F.concat(F.lit("Geologic map, scale 1:"), n, F.lit(", in colour"))).alias("ref"))
+    n = F.format_number(F.col("p_size") * 1000 + 10_000, 0)
+    p = table(spark, d, "part").select("p_partkey", F.when(F.col("p_size") % 3 == 0, "Map, scale not given").otherwise(F.concat(F.lit("Geologic map, scale 1:"), n, F.lit(", in colour"))).alias("ref"))
     return p.select("p_partkey", T.scale_denominator(F.col("ref")).alias("scale"))
 
 
@@ -259,9 +260,9 @@ def t31(spark, d):
 
 @query("v10_safe_ids")
 def v10(spark, d):
-    """53-bit ids of source keys with a collision check (tested against hashlib)."""
-    t = table(spark, d, "rows_igs_b11").select("src_key").distinct()
-    return t.select("src_key", T.safe_id(F.col("src_key")).alias("id"))
+    """53-bit ids of source keys, and whether another key has the same one (ids tested against hashlib)."""
+    t = table(spark, d, "rows_igs_b11").where("src_key is not null").select("src_key").distinct().withColumn("id", T.safe_id(F.col("src_key")))
+    return t.join(t.groupBy("id").agg((F.count(F.lit(1)) > 1).alias("collides")), "id").select("src_key", "id", "collides")
 
 
 # --- dates (X) ---------------------------------------------------------------------------------------
@@ -275,10 +276,11 @@ def x01(spark, d):
     return o.select("o_orderkey", D.parse_date(s).cast("string").alias("d"))
 
 
-@query("x02_epoch_millis", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS d FROM orders")
+@query("x02_epoch_millis", "SELECT o_orderkey, CAST(CAST(make_timestamp_ms(epoch_ms(CAST(o_orderdate AS TIMESTAMP)) - o_orderkey * 123456789) AS DATE) AS VARCHAR) AS d FROM orders")
 def x02(spark, d):
-    ms = F.unix_millis(F.col("o_orderdate").cast("timestamp")) + (F.col("o_orderkey") % 86_400_000)
-    return table(spark, d, "orders").select("o_orderkey", D.epoch_date(ms - F.col("o_orderkey") % 86_400_000).cast("string").alias("d"))
+    """Milliseconds before and after 1970 to dates."""
+    ms = F.unix_millis(F.col("o_orderdate").cast("timestamp")) - F.col("o_orderkey") * 123_456_789
+    return table(spark, d, "orders").select("o_orderkey", D.epoch_date(ms).cast("string").alias("d"))
 
 
 @query("x05_deadline_window", "SELECT o_orderkey FROM orders WHERE date_diff('day', DATE '1998-01-01', CAST(o_orderdate AS DATE) + INTERVAL 45 DAY) BETWEEN -5 AND 45")
@@ -315,9 +317,9 @@ def n04(spark, d):
     return table(spark, d, "nation").select("n_nationkey", F.sha2(F.to_json(F.struct(F.col("n_nationkey").alias("k"), F.col("n_name").alias("n"))), 256).alias("h"))
 
 
-@query("n05_nested_rounding", "SELECT vec_id, array_to_string(list_transform(embedding[1:4], lambda x: CAST(round(CAST(x AS DOUBLE), 2) AS DECIMAL(8, 2))), ',') AS v FROM embeddings")
+@query("n05_nested_rounding", "SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CAST(round(CAST(x AS DOUBLE), 2) AS DECIMAL(8, 2))), ',') AS v FROM embeddings")
 def n05(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", F.array_join(F.transform(F.slice("embedding", 1, 4), lambda x: F.round(x.cast("double"), 2).cast("decimal(8,2)").cast("string")), ",").alias("v"))
+    return table(spark, d, "embeddings").select("vec_id", F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double"), 2).cast("decimal(8,2)").cast("string")), ",").alias("v"))
 
 
 @query("n06_typed_properties", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -325,11 +327,19 @@ def n06(spark, d):
     return table(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-@query("n07_bounded_references", "SELECT src_key, len(ids) AS n, array_to_string(ids[1:19], ',') AS head, CASE WHEN len(ids) > 19 THEN sha256(array_to_string(ids, ',')) END AS rest FROM (SELECT src_key, list_sort(list(row_id)) AS ids FROM rows_igs_b11 GROUP BY 1)")
+@query(
+    "n07_bounded_references",
+    """WITH r AS (SELECT src_key, row_id, row_number() OVER (PARTITION BY src_key ORDER BY row_id) AS r, CAST('0x' || substr(sha256(CAST(row_id AS VARCHAR)), 1, 15) AS BIGINT) AS h FROM rows_igs_b11)
+       SELECT src_key, count(*) AS n, string_agg(row_id, ',' ORDER BY row_id) FILTER (r <= 19) AS head, CASE WHEN count(*) > 19 THEN CAST(sum(h) AS VARCHAR) END AS rest FROM r GROUP BY 1""",
+)
 def n07(spark, d):
-    g = table(spark, d, "rows_igs_b11").groupBy("src_key").agg(F.array_sort(F.collect_list("row_id")).alias("ids"))
-    n = F.size("ids")
-    return g.select("src_key", n.cast("bigint").alias("n"), F.array_join(F.slice("ids", 1, 19), ",").alias("head"), F.when(n > 19, F.sha2(F.array_join("ids", ","), 256)).alias("rest"))
+    """The first 19 ids of each source and a sum of hashes for all of them: no list grows with the source."""
+    t = table(spark, d, "rows_igs_b11").select(F.coalesce("src_key", F.lit("\x00")).alias("src_key"), "row_id")
+    h = F.conv(F.substring(F.sha2(F.col("row_id").cast("string"), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    all_ = t.groupBy("src_key").agg(F.count(F.lit(1)).alias("n"), F.sum(h).cast("string").alias("h"))
+    head = R.capped_list(t, ["src_key"], F.col("row_id"), F.col("row_id"), 19, "head")
+    out = all_.join(head, "src_key").select(F.nullif("src_key", F.lit("\x00")).alias("src_key"), "n", F.array_join("head", ",").alias("head"), F.when(F.col("n") > 19, F.col("h")).alias("rest"))
+    return out
 
 
 @query("n08_tagged_append_remove", "SELECT district_id, len(list_filter(coalesce(commodities, []), lambda x: x <> 'Gold')) + 1 AS n FROM districts")
