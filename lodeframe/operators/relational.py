@@ -45,7 +45,7 @@ def capped_list(df: DataFrame, keys: Sequence[str], value: Column, order: Column
     return t.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "_v"))), lambda x: x["_v"]).alias(name))
 
 
-#: Rows in a range partition of a table that is put in order.
+#: Rows in a range partition of a table that is put in order; tests set it lower.
 RANGE_ROWS = 1 << 20
 
 
@@ -89,14 +89,19 @@ def nearest_key(df: DataFrame, key: str, table: DataFrame, table_key: str, value
     """As-of lookup of the nearest key by absolute difference; ties go to the earlier (or later) key.
 
     Both neighbours of each distinct key are found by one pass over the union in key
-    order, so that no pair is formed but the two that count.
+    order, so that no pair is formed but the two that count. The union lies in range partitions; what the
+    partitions before and after end and begin with is carried over, one row a partition.
     """
     t = table.where(F.col(table_key).isNotNull()).groupBy(F.col(table_key).alias("_k")).agg(*[F.max(v).alias(v) for v in values])
     known = t.select("_k", F.struct("_k", *values).alias("_row"))
     asked = df.where(F.col(key).isNotNull()).select(F.col(key).alias("_k")).distinct().withColumn("_row", F.lit(None).cast(known.schema["_row"].dataType))
-    w = Window.orderBy("_k")  # distinct keys of a dimension (years, codes)
-    both = known.unionByName(asked)
+    both = in_ranges(known.unionByName(asked), "_k", name="keys")
+    w = Window.partitionBy("_b").orderBy("_k")
+    ends = both.groupBy("_b").agg(F.max_by("_row", F.when(F.col("_row").isNotNull(), F.col("_k"))).alias("_last"), F.min_by("_row", F.when(F.col("_row").isNotNull(), F.col("_k"))).alias("_first"))
+    parts = Window.orderBy("_b")  # one row a partition
+    carried = ends.select("_b", F.last("_last", True).over(parts.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.first("_first", True).over(parts.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
     both = both.withColumn("_lo", F.last("_row", True).over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn("_hi", F.first("_row", True).over(w.rangeBetween(0, Window.unboundedFollowing)))
+    both = both.join(F.broadcast(carried), "_b").withColumns({"_lo": F.coalesce("_lo", "_before"), "_hi": F.coalesce("_hi", "_after")})
     lo, hi = F.col("_k") - F.col("_lo._k"), F.col("_hi._k") - F.col("_k")
     near_hi = (hi < lo) | ((hi == lo) & F.lit(later_first))
     pick = F.when(F.col("_lo").isNull(), F.col("_hi")).when(F.col("_hi").isNull(), F.col("_lo")).when(near_hi, F.col("_hi")).otherwise(F.col("_lo"))

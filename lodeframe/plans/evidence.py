@@ -56,15 +56,20 @@ def j17(spark, d):
     return near.groupBy("district_id").agg(F.min_by("dep_id", F.struct(cost, F.col("dep_id"))).alias("dep_id"))
 
 
-@query("j27_foreign_key_containment", f"SELECT a.district_id, b.district_id AS parent, abs(a.lon - b.lon) < 1 AND abs(a.lat - b.lat) < 1 AS held FROM (SELECT * FROM {_D}) a JOIN (SELECT * FROM {_D}) b ON b.district_id = a.district_id // 2")
+@query(
+    "j27_foreign_key_containment",
+    f"""WITH p AS (SELECT state, min(lon) AS x0, min(lat) AS y0, max(lon) AS x1, max(lat) AS y1 FROM {_D} AND era IS NOT NULL GROUP BY 1)
+        SELECT district_id, p.state IS NOT NULL AS known, coalesce(lon - radius_km / 200 >= x0 AND lon + radius_km / 200 <= x1 AND lat - radius_km / 200 >= y0 AND lat + radius_km / 200 <= y1, false) AS held FROM (SELECT * FROM {_D}) d LEFT JOIN p USING (state)""",
+)
 def j27(spark, d):
-    """Children by key and the proof that the parent's box holds them."""
+    """Each district with its state's polygon by key, and the proof that the polygon holds the district's own."""
     t = table(spark, d, "districts").where("lat is not null and lon is not null")
-    a = t.select("district_id", F.floor(F.col("district_id") / 2).alias("parent"), "lat", "lon")
-    b = t.select(F.col("district_id").cast("bigint").alias("parent"), F.col("lat").alias("plat"), F.col("lon").alias("plon"))
-    j = a.join(b, "parent")
-    box = S.box(F.col("plon") - 1, F.col("plat") - 1, F.col("plon") + 1, F.col("plat") + 1)
-    return j.select("district_id", "parent", G.ring_contains(F.col("lon"), F.col("lat"), box).alias("held"))
+    box = t.where("era is not null").groupBy("state").agg(*[f(c).alias(n) for f, c, n in ((F.min, "lon", "x0"), (F.min, "lat", "y0"), (F.max, "lon", "x1"), (F.max, "lat", "y1"))])
+    parents = box.select("state", S.box(*[F.col(c) for c in ("x0", "y0", "x1", "y1")]).alias("outer"))
+    r = F.col("radius_km") / 200
+    child = S.box(F.col("lon") - r, F.col("lat") - r, F.col("lon") + r, F.col("lat") + r)
+    j = t.select("district_id", "state", child.alias("inner")).join(parents, "state", "left")
+    return j.select("district_id", F.col("outer").isNotNull().alias("known"), F.coalesce(P.ring_covers(F.col("outer"), F.col("inner"), 0.0), F.lit(False)).alias("held"))
 
 
 @query("j31_mandatory_lookups", "SELECT l_orderkey, l_linenumber, p_name, s_name FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey")

@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import relational as R
+from ..session import broadcast_if_small, materialize, shared_dir
 from ..sources import files, paged, sinks, snapshot
-from ..session import shared_dir
 from .registry import Registry, table
 
 query = Registry()
@@ -118,9 +119,12 @@ def s12(spark, d):
 
 @query("s14_member_parse", "SELECT n_nationkey AS id, n_name AS nm FROM nation")
 def s14(spark, d):
-    """Members of a markup text by patterns."""
-    t = table(spark, d, "nation").select(F.format_string('<m id="%d"><nm>%s</nm></m>', "n_nationkey", "n_name").alias("m"))
-    return t.select(F.regexp_extract("m", r'id="(\d+)"', 1).cast("int").alias("id"), F.regexp_extract("m", "<nm>([^<]*)</nm>", 1).alias("nm"))
+    """Members of markup files, several to a line and to a file, by patterns."""
+    p = _tmp(spark, "markup")
+    t = table(spark, d, "nation").select("n_regionkey", F.format_string('<m id="%d"><nm>%s</nm></m>', "n_nationkey", "n_name").alias("m"))
+    t.groupBy("n_regionkey").agg(F.concat(F.lit("<f>"), F.array_join(F.collect_list("m"), "  "), F.lit("</f>")).alias("value")).select("value").write.text(p)  # five regions
+    m = spark.read.text(p).select(F.explode(F.regexp_extract_all("value", F.lit(r"(<m .*?</m>)"), F.lit(1))).alias("m"))
+    return m.select(F.regexp_extract("m", r'id="(\d+)"', 1).cast("int").alias("id"), F.regexp_extract("m", "<nm>([^<]*)</nm>", 1).alias("nm"))
 
 
 @query("s24_user_layers", "SELECT n_name AS name, CAST(n_nationkey AS DOUBLE) AS lon, CAST(n_regionkey AS DOUBLE) AS lat FROM nation")
@@ -140,10 +144,14 @@ def s33(spark, d):
 
 @query("s37_pages_to_rows", "SELECT src_key, CAST(row_number() OVER (PARTITION BY src_key ORDER BY row_id) + 4 AS INTEGER) AS pdf_page, quote AS text FROM rows_igs_b11")
 def s37(spark, d):
-    """Page-indexed documents with an offset, as rows."""
+    """Page-indexed documents with an offset, written 64 pages to a line and read as rows; no line grows with the document."""
     p = _tmp(spark, "pagetext")
-    t = table(spark, d, "rows_igs_b11")
-    t.groupBy(F.col("src_key").alias("key")).agg(F.array_sort(F.collect_list(F.struct("row_id", "quote"))).getField("quote").alias("pages")).withColumn("offset", F.lit(4)).repartition(200).write.option("maxRecordsPerFile", 1).json(p)
+    t = R.dense_rank_where(table(spark, d, "rows_igs_b11").select(F.coalesce("src_key", F.lit("")).alias("k"), "src_key", "row_id", "quote"), F.lit(True), F.col("k"), F.col("src_key").isNull(), F.col("row_id"))
+    t = materialize(t, "ranked")
+    first = t.groupBy("k", F.col("src_key").isNull().alias("none")).agg(F.min("rank").alias("_first"))
+    t = t.withColumn("none", F.col("src_key").isNull()).join(broadcast_if_small(materialize(first, "first")), ["k", "none"]).withColumn("_n", F.col("rank") - F.col("_first"))
+    lines = t.groupBy(F.col("src_key").alias("key"), (F.floor(F.col("_n") / 64) * 64).cast("int").alias("first")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "quote"))), lambda x: x["quote"]).alias("pages"))
+    lines.withColumn("offset", F.lit(4)).write.option("ignoreNullFields", "false").json(p)
     return files.read_pages(spark, p)
 
 

@@ -206,14 +206,17 @@ def j40(spark, d):
 
 
 @query(
-    "j42_first_match_lookup",
-    """SELECT s_suppkey, (SELECT min(p_partkey) FROM part WHERE p_size = s_suppkey % 50 + 1 AND p_brand LIKE '%1') AS seed FROM supplier""",
+    "j42_forced_seeds",
+    """WITH r AS (SELECT c_nationkey, c_custkey, c_acctbal, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer)
+       SELECT c_nationkey, c_custkey, CASE WHEN rank <= 5 THEN rank END AS rank, rank > 5 AS forced FROM r WHERE rank <= 5 OR c_custkey IN (SELECT s_suppkey FROM supplier)""",
 )
 def j42(spark, d):
-    """The first row of a table that matches all given fields."""
-    p = table(spark, d, "part").where("p_brand like '%1'").groupBy(F.col("p_size").alias("k")).agg(F.min("p_partkey").alias("seed"))
-    s = table(spark, d, "supplier").withColumn("k", (F.col("s_suppkey") % 50 + 1).cast("int"))
-    return s.join(F.broadcast(p), "k", "left").select("s_suppkey", "seed")
+    """The first five of each nation, and the forced seeds that aren't among them, without a rank and displacing none."""
+    c = table(spark, d, "customer")
+    top = R.top_per_group(c.select("c_nationkey", "c_custkey", "c_acctbal"), ["c_nationkey"], 5, F.col("c_acctbal").desc(), F.col("c_custkey")).select("c_nationkey", "c_custkey", "rank", F.lit(False).alias("forced"))
+    seeds = table(spark, d, "supplier").select(F.col("s_suppkey").alias("c_custkey"))
+    extra = c.select("c_nationkey", "c_custkey").join(seeds, "c_custkey", "left_semi").join(top.select("c_custkey"), "c_custkey", "left_anti")
+    return top.unionByName(extra.select("c_nationkey", "c_custkey", F.lit(None).cast("int").alias("rank"), F.lit(True).alias("forced")))
 
 
 @query("j43_salted_hot_key_join", "SELECT l_returnflag, count(*) AS n, CAST(sum(v) AS BIGINT) AS v FROM lineitem JOIN (VALUES ('A', 1), ('N', 2), ('R', 3)) t(f, v) ON f = l_returnflag GROUP BY 1")
@@ -483,14 +486,15 @@ def w12(spark, d):
 
 @query(
     "w16_top_five_binding",
-    """WITH r AS (SELECT n_regionkey, n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS rank FROM nation)
-       SELECT a.n_regionkey, a.n_nationkey, a.rank FROM r a WHERE a.rank <= 5 AND NOT EXISTS (SELECT 1 FROM r b WHERE b.n_nationkey = a.n_nationkey AND b.rank = a.rank AND b.n_nationkey % 5 = a.n_regionkey)""",
+    """WITH a AS (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer),
+            b AS (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY round(c_acctbal / 200) DESC, c_custkey) AS rank FROM customer)
+       SELECT * FROM (SELECT * FROM a WHERE rank <= 5 EXCEPT SELECT * FROM b WHERE rank <= 5)""",
 )
 def w16(spark, d):
-    """Ranked triples that differ from a declared list."""
-    r = R.top_per_group(table(spark, d, "nation"), ["n_regionkey"], 5, F.col("n_name")).select("n_regionkey", "n_nationkey", "rank")
-    declared = r.where("n_nationkey % 5 = n_regionkey")
-    return r.join(declared, ["n_regionkey", "n_nationkey", "rank"], "left_anti")
+    """Computed first fives against a declared list, drawn up by coarser balances: triples that it doesn't bind."""
+    c = table(spark, d, "customer")
+    five = lambda order: R.top_per_group(c, ["c_nationkey"], 5, order.desc(), F.col("c_custkey")).select("c_nationkey", "c_custkey", "rank")
+    return five(F.col("c_acctbal")).join(five(F.round(F.col("c_acctbal") / 200)), ["c_nationkey", "c_custkey", "rank"], "left_anti")
 
 
 # --- sets (U) and checks (V) ----------------------------------------------------------------------

@@ -159,10 +159,15 @@ def t08(spark, d):
 
 @query("t09_name_similarity")
 def t09(spark, d):
-    """Similarity of reviewed names and row names of one county and district (tested against difflib)."""
-    a = table(spark, d, "reviewed_grade_evidence").select("state", "county", "district", F.col("name").alias("a"))
-    b = table(spark, d, "rows_igs_b11").select("state", "county", "district", F.col("name").alias("b")).distinct()
-    return a.join(b, ["state", "county", "district"]).select("a", "b", F.round(T.name_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
+    """Similarity of reviewed names and row names of one county that share a word (tested against difflib)."""
+    from ..operators.linking import canon
+
+    def words(name, side):
+        t = table(spark, d, name).where("state is not null and county is not null").select("state", "county", F.col("name").alias(side)).distinct()
+        return t.withColumn("w", F.explode(F.array_distinct(F.split(canon(F.col(side)), " "))))
+
+    pairs = words("reviewed_grade_evidence", "a").join(words("rows_igs_b11", "b"), ["state", "county", "w"]).select("a", "b").distinct()
+    return pairs.select("a", "b", F.round(T.name_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
 @query("t09_jaccard", """SELECT row_id, round(len(list_intersect(a, b)) / nullif(len(list_distinct(list_concat(a, b))), 0), 6) AS j FROM (SELECT row_id, list_distinct(list_filter(string_split_regex(lower(name), '[^a-z0-9]+'), lambda w: w <> '')) AS a, list_distinct(list_filter(string_split_regex(lower(quote), '[^a-z0-9]+'), lambda w: w <> '')) AS b FROM rows_igs_b11)""")

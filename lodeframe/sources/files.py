@@ -148,6 +148,10 @@ def read_workbook(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Page-indexed texts {key, offset, pages[]} as rows (src_key, pdf_page, text), pages from 1 plus the offset."""
-    t = spark.read.schema("key string, offset int, pages array<string>").option("multiLine", True).json(path)
-    return t.select(F.col("key").alias("src_key"), F.coalesce("offset", F.lit(0)).alias("_o"), F.posexplode("pages").alias("_i", "text")).select("src_key", (F.col("_i") + 1 + F.col("_o")).alias("pdf_page"), "text")
+    """Page-indexed texts as rows (src_key, pdf_page, text), pages from 1 plus the offset.
+
+    A line is {key, offset, first, pages[]}; a long document comes in several, ``first`` (0 where absent) being the pages before.
+    """
+    t = spark.read.schema("key string, offset int, first int, pages array<string>").json(path)
+    at = F.coalesce("offset", F.lit(0)) + F.coalesce("first", F.lit(0))
+    return t.select(F.col("key").alias("src_key"), at.alias("_o"), F.posexplode("pages").alias("_i", "text")).select("src_key", (F.col("_i") + 1 + F.col("_o")).alias("pdf_page"), "text")

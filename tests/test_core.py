@@ -64,7 +64,7 @@ def test_inventory_digest_ignores_order(spark):
 
 def test_id_gaps(spark):
     t = spark.createDataFrame([(x,) for x in (1, 2, 5, 6, 10, 10, None)], "k int")
-    assert rows(R.id_gaps(t, "k")) == [(3, 4), (7, 9)]
+    assert sorted(map(tuple, R.id_gaps(t, "k").collect())) == [(3, 4), (7, 9)]
 
 
 def test_unknown_is_not_zero(spark):
@@ -410,3 +410,19 @@ def test_entry_and_catalogue(spark):
     assert set(o) <= set(q) and {"p2_found", "p5_found"} <= set(q)
     if os.path.isdir("/root/testdata/sf0.001"):
         assert e.entry(spark).columns == ["row_id", "district_id"]
+
+
+def test_range_operators_over_several_partitions(spark, monkeypatch):
+    """Ranks, gaps and nearest keys carried over the bounds of range partitions."""
+    monkeypatch.setattr(R, "RANGE_ROWS", 7)
+    rnd = random.Random(2)
+    ids = sorted(rnd.sample(range(300), 60))
+    t = spark.createDataFrame([(i, float(i % 9)) for i in ids], "k long, v double")
+    assert sorted(map(tuple, R.id_gaps(t, "k").collect())) == [(a + 1, b - 1) for a, b in zip(ids, ids[1:]) if b > a + 1]
+    ranked = {r.k: r.rank for r in R.dense_rank_where(t, F.col("v") > 2, F.col("k").desc()).collect()}
+    good = [i for i in reversed(ids) if i % 9 > 2]
+    assert ranked == {i: good.index(i) + 1 if i in good else None for i in ids}
+    prices = {k: k * 10 for k in (5, 50, 51, 200)}
+    table = spark.createDataFrame(list(prices.items()), "year long, price long")
+    got = {r.k: r.price for r in R.nearest_key(t, "k", table, "year", ["price"]).collect()}
+    assert got == {i: prices[min(prices, key=lambda y: (abs(y - i), y))] for i in ids}
