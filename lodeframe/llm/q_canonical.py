@@ -11,13 +11,19 @@ from . import canonical
 MORE_NAMES = {"chrome": "CR", "heavy spar": "BA", "pumicite": "PUM", "s & g": "SDG", "moly": "MO", "gyp": "GYP"}
 
 
-def reference_names(spark: SparkSession, d: str) -> list[tuple[str, int]]:
-    """(name, commodity_id) of all names, codes and aliases: a reference list of hundreds of rows at most."""
+#: Most entries of a reference list that is held as a trie by every task.
+REFERENCE_ROWS = 100_000
+
+
+def reference_names(spark: SparkSession, d: str, more: dict[str, str] = MORE_NAMES) -> list[tuple[str, int]]:
+    """(name, commodity_id) of all names, codes and aliases, and of ``more`` names by code. A list beyond REFERENCE_ROWS is refused."""
     ref = spark.read.parquet(f"{d}/commodity_ref.parquet")
+    if (n := ref.count()) > REFERENCE_ROWS:
+        raise ValueError(f"a reference list of {n} entries is too long to be held by every task")
     names = ref.select("commodity_id", "code", F.explode(F.concat(F.array("canonical_name", "code"), F.coalesce("also_known_as", F.array()))).alias("name"))
     rows = names.where("name is not null").collect()
     by_code = {r.code: r.commodity_id for r in rows}
-    return [(r.name, r.commodity_id) for r in rows] + [(n, by_code[c]) for n, c in MORE_NAMES.items() if c in by_code]
+    return [(r.name, r.commodity_id) for r in rows] + [(n, by_code[c]) for n, c in more.items() if c in by_code]
 
 
 def _lists(spark: SparkSession, d: str) -> DataFrame:

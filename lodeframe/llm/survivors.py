@@ -64,35 +64,37 @@ def best_representatives(
     add to those what ``trust``, ``rank`` and ``when`` need.
     """
     narrow = groups if groups is not None else records
-    g = F.xxhash64(*[F.col(c).cast("string") for c in group])
+    # a group travels as two hashes, 96 bits: two groups in a billion times a billion would meet
+    texts = [F.col(c).cast("string") for c in group]
+    both, G = {"_g": F.xxhash64(*texts), "_h": F.hash(*texts)}, ["_g", "_h"]
     known = F.lit(True)
     for c in group:
         known = known & F.col(c).isNotNull()
-    ids = materialize(narrow.where(known).select(F.col(key), g.alias("_g")), "ids")
-    sizes = materialize(ids.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "sizes")
+    ids = materialize(narrow.where(known).select(F.col(key), *[c.alias(n) for n, c in both.items()]), "ids")
+    sizes = materialize(ids.groupBy(*G).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "sizes")
     age = F.unix_micros(when.cast("timestamp")) / F.lit(86_400e6)
     weight = F.coalesce(trust, F.lit(0.01)) * F.pow(F.lit(2.0), F.coalesce(age - 18_262, F.lit(-7000.0)) / half_life_days)
     values = [F.when(filled(F.col(f)), F.col(f).cast("string")).alias(f"_v{i}") for i, f in enumerate(fields)]
     count = [F.col(f"_v{i}").isNotNull().cast("int") for i in range(len(fields))]
     order = F.struct(sum(count[1:], count[0]).alias("filled"), F.col("_rank").alias("rank"), F.col("_at").alias("at"), (-F.col(key)).alias("key"))
     if groups is not None:
-        members = materialize(ids.join(broadcast_if_small(sizes, limit=1 << 20), "_g"), "members")
+        members = materialize(ids.join(broadcast_if_small(sizes, limit=1 << 20), G), "members")
         src = records.join(broadcast_if_small(members, limit=1 << 20), key)
     else:
-        src = records.where(known).withColumn("_g", g).join(broadcast_if_small(sizes, limit=1 << 20), "_g")
-    src = prepare(src).select("_g", "_n", key, weight.alias("_w"), F.coalesce(-rank.cast("double"), F.lit(-1e18)).alias("_rank"), F.coalesce(age, F.lit(-1e9)).alias("_at"), *values)
-    many = src.select("_g", "_n", "_w", order.alias("_o"), *[f"_v{i}" for i in range(len(fields))])
+        src = records.where(known).withColumns(both).join(broadcast_if_small(sizes, limit=1 << 20), G)
+    src = prepare(src).select(*G, "_n", key, weight.alias("_w"), F.coalesce(-rank.cast("double"), F.lit(-1e18)).alias("_rank"), F.coalesce(age, F.lit(-1e9)).alias("_at"), *values)
+    many = src.select(*G, "_n", "_w", order.alias("_o"), *[f"_v{i}" for i in range(len(fields))])
 
     # one long row for each filled field, and one for the record itself
     entries = [F.when(F.col(f"_v{i}").isNotNull(), F.struct(F.lit(i).alias("field"), plain(F.col(f"_v{i}")).alias("norm"), F.col(f"_v{i}").alias("value"))) for i in range(len(fields))]
     record = F.struct(F.lit(-1).alias("field"), F.lit("").alias("norm"), F.lit(None).cast("string").alias("value"))
-    long = many.select("_g", "_n", "_w", "_o", F.inline(F.array_compact(F.array(record, *entries))))
-    votes = long.groupBy("_g", "field", "norm").agg(F.sum("_w").alias("v"), F.max("_o").alias("o"), F.max_by("value", "_o").alias("value"), F.max("_n").alias("_n"))
+    long = many.select(*G, "_n", "_w", "_o", F.inline(F.array_compact(F.array(record, *entries))))
+    votes = long.groupBy(*G, "field", "norm").agg(F.sum("_w").alias("v"), F.max("_o").alias("o"), F.max_by("value", "_o").alias("value"), F.max("_n").alias("_n"))
     wins = [F.max_by("value", F.when(F.col("field") == i, F.struct("v", "o"))).alias(f) for i, f in enumerate(fields)]
-    out = votes.groupBy("_g").agg(F.max("_n").alias("n"), (-F.max("o")["key"]).alias("best"), *wins)
+    out = votes.groupBy(*G).agg(F.max("_n").alias("n"), (-F.max("o")["key"]).alias("best"), *wins)
     if singles:
-        alone = ids.join(broadcast_if_small(sizes.select("_g"), limit=1 << 20), "_g", "left_anti")
-        alone = alone.join(records.select(key, *fields), key) if groups is not None else records.where(known).withColumn("_g", g).join(broadcast_if_small(sizes.select("_g"), limit=1 << 20), "_g", "left_anti")
-        alone = alone.select("_g", F.lit(1).cast("bigint").alias("n"), F.col(key).alias("best"), *[F.when(filled(F.col(f)), F.col(f).cast("string")).alias(f) for f in fields])
+        alone = ids.join(broadcast_if_small(sizes.select(*G), limit=1 << 20), G, "left_anti")
+        alone = alone.join(records.select(key, *fields), key) if groups is not None else records.where(known).withColumns(both).join(broadcast_if_small(sizes.select(*G), limit=1 << 20), G, "left_anti")
+        alone = alone.select(*G, F.lit(1).cast("bigint").alias("n"), F.col(key).alias("best"), *[F.when(filled(F.col(f)), F.col(f).cast("string")).alias(f) for f in fields])
         out = out.unionByName(alone)
-    return out.withColumnRenamed("_g", "group_key")
+    return out.withColumnRenamed("_g", "group_key").drop("_h")
