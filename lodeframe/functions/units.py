@@ -140,6 +140,12 @@ def _longest(text: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
+#: "Near a number", in letters without spaces: how far behind the last word of a quantity its element or denominator
+#: may stand ("0.4 oz of gold to the short ton"), and how far before the number its element ("gold to the value of $4").
+#: What stands further off belongs to no quantity.
+AFTER, BEFORE = 12, 18
+
+
 def quantities(text: str | None) -> list[tuple[str | None, float, float, str]]:
     """Quantities stated in a text: (element or None, low, high, unit id).
 
@@ -189,9 +195,9 @@ def quantities(text: str | None) -> list[tuple[str | None, float, float, str]]:
                     num, den = "oz", "short"
                 elif num == "gpt":
                     num, den = "g", "metric"
-            elif kind == "e" and elem is None and a - pos <= 12:
+            elif kind == "e" and elem is None and a - pos <= AFTER:
                 elem, pos = key, b
-            elif kind == "d" and den is None and a - pos <= 12:
+            elif kind == "d" and den is None and a - pos <= AFTER:
                 den, pos = key, b
                 if num in ("g", "kg") and den == "short":
                     den = "metric"
@@ -217,7 +223,7 @@ def _before(found, at: int) -> str | None:
     """The element named right before a number ("gold 0.4 oz/t", "gold to the value of $4")."""
     for a, b, kind, key in reversed(found):
         if b <= at and kind in "en":
-            if kind == "e" and at - b <= 18:
+            if kind == "e" and at - b <= BEFORE:
                 return key
             if kind == "n" and key == "usd" and at - b <= 1:
                 continue
