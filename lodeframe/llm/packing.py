@@ -9,6 +9,7 @@ window exceeds the capacity.
 from __future__ import annotations
 
 import heapq
+import os
 import math
 from collections.abc import Iterator
 
@@ -27,7 +28,12 @@ WINDOWS = 128
 
 
 def token_counts(docs: DataFrame, id_col: str, text_col: str, vocabulary: str = "/opt/tokenizers/byte_bpe_50k.tiktoken") -> DataFrame:
-    """Rows (id, n_tokens) of whole texts under a public byte-level tokenizer; null texts are left out."""
+    """Rows (id, n_tokens) of whole texts under a public byte-level tokenizer; null texts are left out.
+
+    ``vocabulary`` is a file on the driver; it is sent to the workers.
+    """
+    docs.sparkSession.sparkContext.addFile(vocabulary)
+    name = os.path.basename(vocabulary)
     src = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
     kind = src.schema["_id"].dataType.simpleString()
 
@@ -35,8 +41,9 @@ def token_counts(docs: DataFrame, id_col: str, text_col: str, vocabulary: str =
         import base64
 
         import tiktoken
+        from pyspark import SparkFiles
 
-        with open(vocabulary, "rb") as f:
+        with open(SparkFiles.get(name), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         enc = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for pdf in parts:

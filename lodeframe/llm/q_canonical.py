@@ -50,14 +50,12 @@ QUERIES = {"p4_found": p4_found, "p4_unmatched": p4_unmatched}
 
 _PLAIN = "regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(strip_accents(lower({0})), '\\([^)]*\\)?', ' ', 'g'), '\\s*[&/]\\s*', ' and ', 'g'), '[-_]', ' ', 'g'), '\\s+', ' ', 'g')), '^[\\s.?*!:''\"-]+', ''), '[\\s.?*!:''\"-]+$', '')"
 
-ORACLE = {
-    "p4_found": f"""
-        WITH raw AS (
+_WITH = f"""WITH raw AS (
           SELECT 'rows_igs_b11' AS source_table, row_id AS record_id,
                  unnest(string_split_regex(replace(replace(commodities, ' / ', ' , '), ' + ', ' , '), '[,;|\\n\\r\\t]')) AS e FROM rows_igs_b11
           UNION ALL
           SELECT 'districts', CAST(district_id AS BIGINT), unnest(commodities) FROM districts),
-        entries AS (SELECT source_table, record_id, {_PLAIN.format('e')} AS w FROM raw WHERE trim(e, ' \\n\\t') <> '' AND e IS NOT NULL),
+        entries AS (SELECT source_table, record_id, {_PLAIN.format('e')} AS w, trim(e) AS e FROM raw WHERE trim(e, ' \\n\\t') <> '' AND e IS NOT NULL),
         names AS (
           SELECT DISTINCT commodity_id, {_PLAIN.format('n')} AS n FROM (
             SELECT commodity_id, unnest(list_concat([canonical_name, code], coalesce(also_known_as, []))) AS n FROM commodity_ref
@@ -68,6 +66,11 @@ ORACLE = {
         near AS (SELECT w, commodity_id FROM (SELECT *, min(k) OVER (PARTITION BY w) AS m FROM dist) WHERE k = m),
         starts AS (SELECT w, min(commodity_id) AS commodity_id FROM words, names
                    WHERE length(w) >= 3 AND starts_with(n, w) AND w NOT IN (SELECT w FROM dist) GROUP BY 1 HAVING count(DISTINCT commodity_id) = 1),
-        hit AS (SELECT * FROM near UNION ALL SELECT * FROM starts)
+        hit AS (SELECT * FROM near UNION ALL SELECT * FROM starts)"""
+
+ORACLE = {
+    "p4_found": f"""{_WITH}
         SELECT DISTINCT source_table, record_id, coalesce(commodity_id, 0) AS commodity_id FROM entries LEFT JOIN hit USING (w)""",
+    "p4_unmatched": f"""{_WITH}
+        SELECT CASE WHEN w = '' THEN e ELSE w END AS entry, count(*) AS n FROM entries WHERE w NOT IN (SELECT w FROM hit) GROUP BY 1""",
 }

@@ -156,3 +156,23 @@ def test_leaks_with_items_held_or_joined(spark, monkeypatch, limit):
     got = sorted((r.d, r.i, r.item_from, r.item_to) for r in leakage.leaks(docs, "d", "t", items, "i", "x").collect())
     assert set(got) == {(1, 7, 10, 29)} and len(got) >= 2
     assert leakage.leaks(docs.limit(0), "d", "t", items, "i", "x").count() == leakage.leaks(docs, "d", "t", items.limit(0), "i", "x").count() == 0
+
+
+@pytest.mark.parametrize("cap, spread", [(512, 300), (2048, 700)])
+def test_packing_beside_first_fit(spark, cap, spread):
+    """Containers close to the least number that could do, and to first fit by falling size."""
+    rnd = np.random.default_rng(12)
+    sizes = np.minimum(rnd.lognormal(4.5, 0.9, 3000).astype(int) + 1, spread)
+    df = spark.createDataFrame([(i, int(s)) for i, s in enumerate(sizes)], "id long, n long")
+    boxes = packing.pack_items(df, "id", "n", [(1, cap)]).groupBy("container_id").agg(F.sum("size").alias("used")).collect()
+    assert max(b.used for b in boxes) <= cap and sum(b.used for b in boxes) == sizes.sum()
+    fit: list[int] = []
+    for s in sorted(sizes.tolist(), reverse=True):
+        at = next((k for k, room in enumerate(fit) if room >= s), None)
+        if at is None:
+            fit.append(cap - s)
+        else:
+            fit[at] -= s
+    least = -(-int(sizes.sum()) // cap)
+    print(cap, "containers", len(boxes), "first fit", len(fit), "least", least)
+    assert len(boxes) <= 1.03 * least + 2 and len(boxes) <= 1.03 * len(fit) + 2
