@@ -28,7 +28,8 @@ class SnapshotWatch:
 
     ``part`` names the partition column, ``run`` the snapshot's id (a greater one is
     later), ``declared`` the number of records of the run, ``key`` and ``payload`` the
-    record. A run without a declared number, or with two, is never whole. Rows with a null
+    record. A run without a declared number, or with two, is never whole; one that is whole only
+    after a later one of its partition comes too late and is left out. Rows with a null
     partition or run are left out; a record that comes twice counts once.
     """
 
