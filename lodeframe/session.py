@@ -6,10 +6,15 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 #: Largest estimated size, in bytes, of a side that is broadcast by hint.
 BROADCAST_BYTES = 8 << 20
 
@@ -81,6 +86,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def at_once(*jobs: Callable[[], T]) -> list[T]:
+    """Runs independent jobs in threads of their own and returns their results in order; the first failure is raised.
+
+    Short jobs that wait for one another leave most of a cluster idle.
+    """
+    out: list = [None] * len(jobs)
+    failed: list[BaseException] = []
+
+    def run(i: int) -> None:
+        try:
+            out[i] = jobs[i]()
+        except BaseException as e:  # noqa: BLE001 - raised below
+            failed.append(e)
+
+    threads = [InheritableThread(target=run, args=(i,)) for i in range(len(jobs))]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    if failed:
+        raise failed[0]
+    return out
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of ``df`` in bytes."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
