@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..session import broadcast_if_small, materialize
+from ..session import at_once, broadcast_if_small, materialize
 from . import names as N
 
 #: Names travel to Python and back as one string a record: lists of strings would be converted row by row.
@@ -106,8 +106,8 @@ def lexicon(listed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return counts.join(slips.select("words").union(spelled), "words", "left_anti"), slips
 
 
-def resolve_names(parsed: DataFrame) -> DataFrame:
-    """Adds ``main``, the name a record goes by, and ``others``, its further ones in one string, as "words#number".
+def known_names(parsed: DataFrame) -> DataFrame:
+    """For each distinct ``names``: ``main``, the name a record goes by, and ``others``, its further ones in one string, as "words#number".
 
     Further names come with the main one first; a record without them goes by its own
     name. A name out of reach stays as typed. Each distinct name is resolved once.
@@ -123,7 +123,7 @@ def resolve_names(parsed: DataFrame) -> DataFrame:
     known = F.array_distinct(F.concat(F.transform(part(1, True), lambda x: x["hit"]), own))
     one = one.select("names", known.alias("_known")).where(F.size("_known") > 0)
     one = one.select("names", F.element_at("_known", 1).alias("main"), F.array_join(F.slice("_known", F.lit(2), F.size("_known")), _SEP).alias("others"))
-    return parsed.join(broadcast_if_small(materialize(one, "known"), limit=6 << 20), "names", "left").drop("names")
+    return materialize(one, "known")
 
 
 def plain_place(c: Column) -> Column:
@@ -149,11 +149,15 @@ def place_map(records: DataFrame, place: str) -> DataFrame:
     return slips.select("state", "place", "target").unionByName(cut)
 
 
-def with_places(records: DataFrame) -> DataFrame:
+def place_targets(records: DataFrame, place: str) -> DataFrame:
+    """place_map() as a written table, for a join on the state and the place."""
+    return materialize(place_map(records, place).select("state", F.col("place").alias(place), F.col("target").alias("_t")), "map")
+
+
+def with_places(records: DataFrame, maps: dict[str, DataFrame]) -> DataFrame:
     """Replaces typed counties and districts by the spellings the records support."""
-    for c in ("county", "district"):
-        m = place_map(records, c).select("state", F.col("place").alias(c), F.col("target").alias("_t"))
-        records = records.join(broadcast_if_small(materialize(m, "map"), limit=1 << 20), ["state", c], "left").withColumn(c, F.coalesce("_t", c)).drop("_t")
+    for c, m in maps.items():
+        records = records.join(broadcast_if_small(m, limit=1 << 20), ["state", c], "left").withColumn(c, F.coalesce("_t", c)).drop("_t")
     return records
 
 
@@ -188,8 +192,9 @@ def resolve_records(parts: list[DataFrame], carry: list[str] | None = None) -> D
         "src", "id", *carry, F.upper(F.trim("state")).alias("state"), plain_place(F.col("county")).alias("county"), plain_place(F.col("district")).alias("district"),
         F.when(ok, F.col("lat")).alias("lat"), F.when(ok, F.col("lon")).alias("lon"), parse_names(F.col("name"), F.coalesce("further", F.array().cast("array<string>"))).alias("names"),
     )
-    rec = materialize(rec, "parsed")
-    rec = resolve_names(with_places(rec))
+    parsed = materialize(rec, "parsed")
+    known, county, district = at_once(lambda: known_names(parsed), lambda: place_targets(parsed, "county"), lambda: place_targets(parsed, "district"))
+    rec = with_places(parsed, {"county": county, "district": district}).join(broadcast_if_small(known, limit=6 << 20), "names", "left").drop("names")
     rec = materialize(rec.where("main is not null and state is not null"), "resolved")
 
     # a further name of a county's working stands for the name that its records put first
@@ -202,9 +207,9 @@ def resolve_records(parts: list[DataFrame], carry: list[str] | None = None) -> D
     rec = rec.join(broadcast_if_small(alias, limit=1 << 20), ["state", "county", "main"], "left").withColumn("main", F.coalesce("_to", "main")).drop("_to")
 
     # entities with their weight, district and centre; a record does not vouch for itself
-    known = rec.where("county is not null")
+    placed = rec.where("county is not null")
     # counted by spot and district first: what follows sees a row for each, not for each record
-    spots = known.groupBy("state", "main", "county", "district", F.round("lat", 2).alias("_y"), F.round("lon", 2).alias("_x")).agg(
+    spots = placed.groupBy("state", "main", "county", "district", F.round("lat", 2).alias("_y"), F.round("lon", 2).alias("_x")).agg(
         F.count(F.lit(1)).alias("_n"), F.avg("lat").alias("_lat"), F.avg("lon").alias("_lon"), F.max((F.col("src") == "reviewed").cast("int")).alias("sure")
     )
     spots = materialize(spots, "spots")

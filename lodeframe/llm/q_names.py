@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.states import state_code
-from ..session import broadcast_if_small, materialize
+from ..session import at_once, broadcast_if_small, materialize
 from . import entities, matching, names
 
 def rows_part(spark: SparkSession, d: str, *more: Column) -> DataFrame:
@@ -65,13 +65,18 @@ def p1_matches(spark: SparkSession, d: str) -> DataFrame:
     named = spots.where("district is not null")
     mostly = named.groupBy("entity", "district").agg(F.sum("_all").alias("_n")).groupBy("entity").agg(F.max_by("district", F.struct("_n", "district")).alias("district"))
     middle = _fullest(named, ["state", "district"]).select("state", "district", F.col("clat").alias("dlat"), F.col("clon").alias("dlon"))
-    left = left.join(mostly, "entity", "left").join(broadcast_if_small(materialize(middle, "middle"), limit=1 << 20), ["state", "district"], "left")
+    left_ = left.join(mostly, "entity", "left").join(broadcast_if_small(materialize(middle, "middle"), limit=1 << 20), ["state", "district"], "left")
     # entries of one site: of a county, or of a spot where none is given
     spot = F.concat_ws(",", F.round("lat", 1), F.round("lon", 1))
     sites = sites.withColumn("vkey", F.concat_ws("|", "state", "main", F.coalesce("county", F.when(F.col("lat").isNotNull(), F.concat(F.lit("@"), spot)), F.concat(F.lit("#"), F.col("id")))))
-    right = entities.centres(sites, ["vkey", "state", "main", "county"]).withColumnsRenamed({"clat": "vlat", "clon": "vlon"})
-    left, right = materialize(left, "left"), materialize(right, "right")
-    twins = _twins(left.select("main"), right.select("main"))
+    right_ = entities.centres(sites, ["vkey", "state", "main", "county"]).withColumnsRenamed({"clat": "vlat", "clon": "vlon"})
+    left, right = at_once(lambda: materialize(left_, "left"), lambda: materialize(right_, "right"))
+    # spots without a county that lie at a site of a county are entries of that site
+    host = right.where("county is not null").select("state", "main", F.col("vkey").alias("_host"), F.col("vlat").alias("_hlat"), F.col("vlon").alias("_hlon"))
+    bare = right.where("county is null and vlat is not null").select("vkey", "state", "main", "vlat", "vlon").join(host, ["state", "main"])
+    near = geo.haversine_m(F.col("vlat"), F.col("vlon"), F.col("_hlat"), F.col("_hlon"))
+    hosts = bare.where(near <= 3000).groupBy("vkey").agg(F.min_by("_host", near).alias("_host"))
+    lone, twins = at_once(lambda: materialize(hosts, "lone"), lambda: _twins(left.select("main"), right.select("main")))
     pairs = left.join(right, ["state", "main"]).withColumn("_name", F.lit(0.0))
     close = left.join(broadcast_if_small(twins, limit=1 << 20), "main").drop("main").withColumnRenamed("twin", "main").join(right, ["state", "main"]).withColumn("_name", F.lit(NAME_SLIP))
     km = geo.haversine_m(F.col("ulat"), F.col("ulon"), F.col("vlat"), F.col("vlon")) / 1000
@@ -82,11 +87,6 @@ def p1_matches(spark: SparkSession, d: str) -> DataFrame:
         + F.when(F.col("county").isNull() | F.col("place").isNull(), 0.0).when(F.col("county") == F.col("place"), SAME_COUNTY).otherwise(OTHER_COUNTY)
         + F.coalesce(F.when(km <= 3, NEAR).when(km >= 20, FAR).when(km.isNotNull(), 0.0).when(off <= 30, IN_DISTRICT).when(off >= 90, OUT_OF_DISTRICT), F.lit(0.0))
     )
-    # spots without a county that lie at a site of a county are entries of that site
-    host = right.where("county is not null").select("state", "main", F.col("vkey").alias("_host"), F.col("vlat").alias("_hlat"), F.col("vlon").alias("_hlon"))
-    lone = right.where("county is null and vlat is not null").select("vkey", "state", "main", "vlat", "vlon").join(host, ["state", "main"])
-    near = geo.haversine_m(F.col("vlat"), F.col("vlon"), F.col("_hlat"), F.col("_hlon"))
-    lone = materialize(lone.where(near <= 3000).groupBy("vkey").agg(F.min_by("_host", near).alias("_host")), "lone")
     hosted = lambda df: df.join(broadcast_if_small(lone, limit=1 << 20), "vkey", "left").withColumn("site", F.coalesce("_host", "vkey"))
     # no candidates: counties that differ and centres a district apart; of names a letter apart, all without the county or the spot in common
     apart = F.coalesce((F.col("county") != F.col("place")) & (km >= 20), F.lit(False))
