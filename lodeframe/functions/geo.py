@@ -19,10 +19,11 @@ def valid_point(lat: Column, lon: Column) -> Column:
 
 
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = EARTH_RADIUS_M) -> Column:
-    """Great-circle distance in metres."""
+    """Great-circle distance in metres; null where a coordinate is null or NaN."""
     a, b = F.radians(lat1), F.radians(lat2)
     h = F.pow(F.sin((b - a) / 2), 2) + F.cos(a) * F.cos(b) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * radius * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    # least() would pass over a null and answer half the globe
+    return 2 * radius * F.asin(F.when(h <= 1, F.sqrt(h)).when(h < 1.1, F.lit(1.0)))
 
 
 def equirect_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

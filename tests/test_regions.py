@@ -212,3 +212,10 @@ def test_coverage_fraction_raster(spark):
             if j != i:
                 hit |= (X >= p) & (X <= r) & (Y >= q) & (Y <= s)
         assert abs(hit.mean() - got[i]) < 0.01
+
+
+def test_distance_of_missing_points_is_null(spark):
+    nan, none = float("nan"), None
+    t = spark.createDataFrame([(44.0, -114.0, 44.0, -114.0), (none, -114.0, 44.0, -114.0), (44.0, -114.0, 44.0, none), (nan, 0.0, 1.0, 1.0), (0.0, 0.0, 0.0, 180.0), (90.0, 5.0, -90.0, 77.0)], "a double, b double, c double, d double")
+    got = [r[0] for r in t.select(geo.haversine_m(*map(F.col, "abcd"))).collect()]
+    assert got[:4] == [0.0, None, None, None] and got[4] == pytest.approx(math.pi * R) and got[5] == pytest.approx(math.pi * R)
